@@ -167,28 +167,23 @@ def compare_runs(base: DataFrame, other: DataFrame) -> DataFrame:
 def batch_progress(batches: DataFrame, group: str) -> DataFrame:
     """Running vectors, percent, rate and remaining seconds after each batch of a run.
 
-    ``batches`` is ``(group, batch, vectors, seconds)``. The running sums are
+    ``batches`` is ``(group, batch, vectors, elapsed_ms)``. The running sums are
     taken over all runs in (group, batch) order and shifted to start at zero in
     every run, so a run with very many batches is still spread over tasks.
     """
     sums = running_sums(
-        batches, [group, "batch"], {"_v": F.col("vectors"), "_s": F.col("seconds")}
+        batches, [group, "batch"], {"_v": F.col("vectors"), "_ms": F.col("elapsed_ms")}
     )
     runs = sums.groupBy(group).agg(
-        F.min("_v").alias("_v0"), F.min("_s").alias("_s0"), F.sum("vectors").alias("_all")
+        F.min("_v").alias("_v0"), F.min("_ms").alias("_ms0"), F.sum("vectors").alias("_all")
     )
-    done, spent = F.col("vectors_done"), F.col("seconds_done")
+    done, ms = F.col("vectors_done"), F.col("ms_done")
     return (
         sums.join(runs, group)
         .withColumn("vectors_done", F.col("_v") - F.col("_v0") + F.col("vectors"))
-        .withColumn("seconds_done", F.col("_s") - F.col("_s0") + F.col("seconds"))
+        .withColumn("ms_done", F.col("_ms") - F.col("_ms0") + F.col("elapsed_ms"))
         .withColumn("percent", 100 * done / F.col("_all"))
-        .withColumn("vectors_per_s", F.when(spent > 0, done / spent).otherwise(0.0))
-        .withColumn(
-            "eta_s",
-            F.when(
-                F.col("vectors_per_s") > 0, (F.col("_all") - done) / F.col("vectors_per_s")
-            ).otherwise(0.0),
-        )
-        .drop("_v", "_s", "_v0", "_s0", "_all")
+        .withColumn("vectors_per_s", F.when(ms > 0, 1000 * done / ms).otherwise(0.0))
+        .withColumn("eta_s", F.when(done > 0, (F.col("_all") - done) * ms / (1000 * done)))
+        .drop("_v", "_ms", "_v0", "_ms0", "_all")
     )

@@ -10,7 +10,6 @@ from quillvec.operators.chunking import chunk, corpus_profile
 from quillvec.operators.embedding import embed, hashed_words, profile_set, rows_of, with_retry
 from quillvec.operators.ids import dense_chunk_ids
 from quillvec.operators.search import query_set, top_k, with_text
-from quillvec.plans.tables import CREATED_AT  # noqa: F401  (re-exported for the SQL side)
 from quillvec.plans.tables import DIM, documents, longs, messages, rounded, table
 from quillvec.session import scratch_path
 from quillvec.sources.corpus import (
@@ -45,7 +44,7 @@ def src_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_text_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "texts")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("value"))
     docs.write.partitionBy("doc_id").text(path)
     # Spark names text parts .txt; each folder holds the one file of its document.
     return read_corpus(spark, "text_dir", path).select(
@@ -142,7 +141,7 @@ def _searched_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def knn_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: texts, chunks, vectors, the first 5000 as queries, exact top K."""
     _, hits = _searched_corpus(spark, sf_dir)
-    return longs(hits.select("qid", "rank", "id", rounded("score").alias("score")), "rank")
+    return longs(hits.select("qid", "rank", "id", "score"), "rank")
 
 
 def knn_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:

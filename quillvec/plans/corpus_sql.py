@@ -190,7 +190,7 @@ FROM emb JOIN ids USING (doc_id, pos) WHERE id < 5000""",
     "embedding_sets": f"""
 WITH RECURSIVE {SENTENCES}, {PARAGRAPHS}, {_words('sentence')}, {_words('paragraph')}
 {" UNION ALL ".join(_set_profile(d, g) for d in (1024, 384) for g in ("sentence", "paragraph"))}""",
-    "knn_corpus": f"{NEAREST} SELECT qid, rank, id, round(s, 6) AS score FROM ranked",
+    "knn_corpus": f"{NEAREST} SELECT qid, rank, id, s AS score FROM ranked",
     "knn_with_text": f"""
 {NEAREST} SELECT qid, rank, id, doc_id, text FROM ranked JOIN vecs USING (id)""",
     "stream_equals_batch": f"WITH {SENTENCES} SELECT doc_id, pos, text FROM sentences",

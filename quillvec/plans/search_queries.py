@@ -37,7 +37,7 @@ def lsh() -> HyperplaneHash:
 
 
 def _shown(hits: DataFrame, *columns: str) -> DataFrame:
-    out = hits.select(*columns, "rank", "id", rounded("score").alias("score"))
+    out = hits.select(*columns, "rank", "id", (F.col("score") + 0.0).alias("score"))
     return longs(out, *(c for c in ("k", "shard", "rank") if c in out.columns))
 
 
@@ -180,7 +180,7 @@ def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     floors = search.snapshot_floor(_pushes(spark, sf_dir), MAX_K)
-    return floors.withColumn("floor", rounded("floor"))
+    return floors.withColumn("floor", F.col("floor") + 0.0)
 
 
 def stream_snapshot_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def stream_snapshot_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(inbox)
     keep_latest(arriving, slots, scratch_path(spark, "slots-state")).awaitTermination()
     latest = latest_snapshots(spark.read.parquet(slots))
-    return search.snapshot_floor(latest, MAX_K).withColumn("floor", rounded("floor"))
+    return search.snapshot_floor(latest, MAX_K).withColumn("floor", F.col("floor") + 0.0)
 
 
 def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,11 +219,10 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("run"),
         F.col("event_id").alias("batch"),
         F.lit(500).cast("long").alias("vectors"),
-        F.col("value").alias("seconds"),
+        F.floor(F.col("value") * 10).alias("elapsed_ms"),
     )
-    shown = ("seconds_done", "percent", "vectors_per_s", "eta_s")
-    progress = quality.batch_progress(log, "run")
-    return progress.select("run", "batch", "vectors_done", *(rounded(c, 4).alias(c) for c in shown))
+    shown = ("vectors_done", "ms_done", "percent", "vectors_per_s", "eta_s")
+    return quality.batch_progress(log, "run").select("run", "batch", *shown)
 
 
 QUERIES = {

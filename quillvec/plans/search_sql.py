@@ -104,29 +104,29 @@ WITH {SCORED}, {ranked('hits', 'scored', MAX_K, 'qid, shard')},
 latest AS (SELECT * EXCLUDE (rank) FROM hits WHERE rank <= CASE WHEN shard % 2 = 0 THEN 100 ELSE 10 END),
 {ranked('merged', 'latest', MAX_K)}
 SELECT qid, (SELECT count(DISTINCT shard) FROM latest l WHERE l.qid = m.qid) AS shards,
-       count(*) AS merged, round(min(s), 6) + 0.0 AS floor
+       count(*) AS merged, min(s) + 0.0 AS floor
 FROM merged m GROUP BY qid"""
 
 PLAIN_TOP = f"""
 WITH {SCORED}, {ranked('exact', 'scored', 10)}
-SELECT qid, rank, id, round(s, 6) + 0.0 AS score FROM exact"""
+SELECT qid, rank, id, s + 0.0 AS score FROM exact"""
 
 ORACLES = {
     "knn_exact": PLAIN_TOP,
     "knn_per_shard": f"""
 WITH {SCORED}, {ranked('hits', 'scored', 10, 'qid, shard')}
-SELECT qid, shard, rank, id, round(s, 6) + 0.0 AS score FROM hits""",
+SELECT qid, shard, rank, id, s + 0.0 AS score FROM hits""",
     "knn_merge": PLAIN_TOP,
     "knn_multi_k": f"""
 WITH {SCORED}, {ranked('exact', 'scored', MAX_K)}
-SELECT CAST(k AS BIGINT) AS k, qid, rank, id, round(s, 6) + 0.0 AS score
+SELECT CAST(k AS BIGINT) AS k, qid, rank, id, s + 0.0 AS score
 FROM exact JOIN {KS_TABLE} ON rank <= k""",
     "knn_lsh": f"""
 WITH {SCORED}, {HASH_CANDIDATES}, {ranked('hits', 'hash_scored', 10)}
-SELECT qid, rank, id, round(s, 6) + 0.0 AS score FROM hits""",
+SELECT qid, rank, id, s + 0.0 AS score FROM hits""",
     "knn_ivf": f"""
 WITH {SCORED}, {CELL_CANDIDATES}, {ranked('hits', 'cell_scored', 10)}
-SELECT qid, rank, id, round(s, 6) + 0.0 AS score FROM hits""",
+SELECT qid, rank, id, s + 0.0 AS score FROM hits""",
     "knn_floor_pruned": PLAIN_TOP,
     "lookups_saved": f"""
 WITH {SCORED}, {HASH_CANDIDATES},
@@ -182,12 +182,12 @@ FROM per_query GROUP BY k""",
     "batch_progress": """
 WITH sums AS (
   SELECT event_type AS run, event_id AS batch,
-         500 * count(*) OVER w AS vectors_done, sum(value) OVER w AS seconds_done,
+         500 * count(*) OVER w AS vectors_done,
+         CAST(sum(CAST(floor(value * 10) AS BIGINT)) OVER w AS BIGINT) AS ms_done,
          500 * count(*) OVER (PARTITION BY event_type) AS total
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
-SELECT run, batch, vectors_done, round(seconds_done, 4) AS seconds_done,
-       round(100 * vectors_done / total, 4) AS percent,
-       round(vectors_done / seconds_done, 4) AS vectors_per_s,
-       round((total - vectors_done) / (vectors_done / seconds_done), 4) AS eta_s
+SELECT run, batch, vectors_done, ms_done, 100 * vectors_done / total AS percent,
+       CASE WHEN ms_done > 0 THEN 1000 * vectors_done / ms_done ELSE 0 END AS vectors_per_s,
+       (total - vectors_done) * ms_done / (1000 * vectors_done) AS eta_s
 FROM sums""",
 }

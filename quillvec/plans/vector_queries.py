@@ -41,10 +41,10 @@ FIT_DIMS = (48, 96)
 LADDER = (8, 4, 2, 1)
 
 
-def values(df: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
-    """One row per vector element, rounded."""
-    flat = df.select(*keys, F.posexplode(vector).alias("d", "value"))
-    return longs(flat.withColumn("value", rounded("value")), "d")
+def values(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per vector element, to the last bit."""
+    flat = df.select(*keys, F.posexplode("embedding").alias("d", "value"))
+    return longs(flat.withColumn("value", F.col("value").cast("double") + 0.0), "d")
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,8 @@ def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     tripled = F.transform("embedding", lambda x: x * F.lit(3.0).cast("float"))
-    return values(vectors(spark, sf_dir).select("id", V.normalize(tripled).alias("embedding")), "id")
+    unit = vectors(spark, sf_dir).select("id", V.normalize(tripled).alias("embedding"))
+    return values(unit, "id").withColumn("value", rounded("value"))
 
 
 def vec_fit_dim(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 
-def elements(source: str, keys: str, vector: str = "v") -> str:
+def elements(source: str, keys: str, value: str = "CAST(value AS DOUBLE)") -> str:
     return f"""
-SELECT {keys}, d, round(CAST(value AS DOUBLE), 6) + 0.0 AS value FROM (
-  SELECT {keys}, unnest({vector}) AS value, generate_subscripts({vector}, 1) - 1 AS d
-  FROM {source})"""
+SELECT {keys}, d, {value} + 0.0 AS value FROM (
+  SELECT {keys}, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS d FROM {source})"""
 
 
 NEIGHBOURS = """
@@ -63,6 +62,7 @@ ORACLES = {
                 list_transform(embedding, lambda x: CAST(x * CAST(3 AS FLOAT) AS FLOAT)) AS w
                 FROM embeddings)))""",
         "id",
+        "round(CAST(value AS DOUBLE), 6)",
     ),
     "vec_fit_dim": elements(
         """(SELECT vec_id AS id, CAST(48 AS BIGINT) AS dim, embedding[1:48] AS v FROM embeddings
