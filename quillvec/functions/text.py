@@ -11,9 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The splitting rule and its thresholds.
-# Whitespace is Unicode white space plus the four ASCII separators U+001C-001F.
-WHITESPACE = r"[\s\x1c-\x1f]"
-SENTENCE_BOUNDARY = rf"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|!){WHITESPACE}"
+# White space is what Unicode calls so, plus the four ASCII separators U+001C-001F.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = f"[{WHITESPACE}]"
+WORD = r"[\p{L}\p{N}_]"
+# A sentence ends at white space after . ? or !, but not after "e.g." or "Mr."
+# The cheap test for the mark comes first; the others only run where it holds.
+SENTENCE_BOUNDARY = (
+    rf"(?<=[.?!]){SPACE}(?<!{WORD}\.{WORD}[.?!]{SPACE})(?<![A-Z][a-z]\.{SPACE})"
+)
 PARAGRAPH_BREAK = "\n\n"
 LONG_PARAGRAPH = 20  # blocks must be longer than this to be cut into sentences
 MIN_SENTENCE = 10
@@ -28,8 +37,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space from both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(text, rf"(?U)^{WHITESPACE}+|{WHITESPACE}+\z", "")
+    """Remove Unicode white space from both ends (plain ``trim`` only knows U+0020)."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -53,9 +62,9 @@ def wrap(text: Column, max_chars: int = MAX_PARAGRAPH) -> Column:
     A text already short enough comes back as it is, even when empty.
     """
     line = (
-        rf"(?U)(?s)(.{{1,{max_chars}}}\z"
+        rf"(?s)(.{{1,{max_chars}}}\z"
         + (rf"|.{{1,{max_chars - 1}}}(?= )" if max_chars > 1 else "")
-        + rf"|.{{{max_chars}}}){WHITESPACE}*"
+        + rf"|.{{{max_chars}}}){SPACE}*"
     )
     return F.when(F.length(text) <= max_chars, F.array(text)).otherwise(
         F.regexp_extract_all(text, F.lit(line), F.lit(1))

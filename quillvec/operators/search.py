@@ -9,16 +9,20 @@ key-partitioned cogroup instead.
 
 Scores are inner products in double precision, rounded to nine decimals, which
 is finer than float32 resolves on unit vectors and makes the result independent
-of summation order. Equal scores rank by ascending id.
+of summation order. Equal scores rank by ascending id. Blocks are first scored in
+single precision; whatever could be among the best K within the error bound of
+that is scored again in double, so the shortcut never shows in the result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ _LOWEST = -np.finfo(np.float64).max
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Vectors of an Arrow list column as a double matrix; wrong lengths fail."""
+    """Vectors of an Arrow list column as a float32 matrix; wrong lengths fail."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -48,7 +52,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
         column.value_lengths().to_numpy(zero_copy_only=False) == dim
     ).all():
         raise ValueError(f"every vector must have {dim} values")
-    return flat.reshape(-1, dim).astype(np.float64)
+    return flat.reshape(-1, dim).astype(np.float32, copy=False)
 
 
 class QueryBlock:
@@ -57,12 +61,13 @@ class QueryBlock:
     def __init__(self, table: pa.Table, dim: int, rule=None):
         self.ids = table["qid"].to_numpy()
         self.vectors = _matrix(table["embedding"], dim)
+        self.norms = np.linalg.norm(self.vectors.astype(np.float64), axis=1)
         self.floors = np.full(len(self.ids), _LOWEST)
         if "floor" in table.column_names:
             given = table["floor"].to_numpy()
             self.floors = np.where(np.isnan(given), _LOWEST, given)
         self.rule = rule
-        self.keys = rule.query_keys(self.vectors) if rule else None
+        self.keys = rule.query_keys(self.vectors.astype(np.float64)) if rule else None
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -77,20 +82,26 @@ def _tiles(queries: int, documents: int) -> Iterator[slice]:
         yield slice(start, min(start + step, queries))
 
 
-def _scores(queries: np.ndarray, documents: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
-    """Score matrix; unwanted cells are -inf and, where they prevail, not computed."""
-    if wanted is None:
-        return queries @ documents.T
-    out = np.full(wanted.shape, -np.inf)
-    if np.count_nonzero(wanted) * 4 > wanted.size:
-        np.copyto(out, queries @ documents.T, where=wanted)
-        return out
-    rows, cols = np.nonzero(wanted)
+def _pair_scores(queries: np.ndarray, documents: np.ndarray, q, d) -> np.ndarray:
+    """Double-precision scores of single (query, document) pairs, rounded."""
+    out = np.empty(len(q))
     step = max(1, TILE_CELLS // queries.shape[1])
-    for at in range(0, len(rows), step):
-        r, c = rows[at : at + step], cols[at : at + step]
-        out[r, c] = np.einsum("ij,ij->i", queries[r], documents[c])
-    return out
+    for at in range(0, len(q), step):
+        rows, cols = queries[q[at : at + step]], documents[d[at : at + step]]
+        out[at : at + step] = np.einsum(
+            "ij,ij->i", rows.astype(np.float64), cols.astype(np.float64)
+        )
+    return np.round(out, SCORE_DIGITS)
+
+
+def _above(scores: np.ndarray, floor: np.ndarray, k: int, slack: np.ndarray):
+    """Cells that reach the floor and can be among the row's best ``k``; ties included."""
+    reach = scores >= np.maximum(floor - slack, _LOWEST)[:, None]
+    if scores.shape[1] > k and np.count_nonzero(reach) > 2 * k * len(scores):
+        kth = scores.shape[1] - k
+        best = np.partition(scores, kth, axis=1)[:, kth]
+        reach &= scores >= (best - slack)[:, None]
+    return np.nonzero(reach)
 
 
 class _Best:
@@ -102,16 +113,39 @@ class _Best:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
 
-    def offer(self, tile: slice, scores: np.ndarray, ids: np.ndarray) -> None:
-        floor = self.floors[tile]
-        if scores.shape[1] > self.k:
-            kth = scores.shape[1] - self.k
-            floor = np.maximum(floor, np.partition(scores, kth, axis=1)[:, kth])
-        # All ties of the K-th score pass; the slack covers the rounding below.
-        slack = 2 * 10.0**-SCORE_DIGITS
-        q, d = np.nonzero(scores >= np.maximum(floor - slack, _LOWEST)[:, None])
-        values = np.round(scores[q, d], SCORE_DIGITS)
-        self.parts.append((q + tile.start, ids[d], values))
+    def offer(
+        self,
+        block: QueryBlock,
+        tile: slice,
+        ids: np.ndarray,
+        vectors: np.ndarray,
+        wanted: np.ndarray | None,
+    ) -> None:
+        """Score one tile of queries against one block of documents."""
+        queries, floor = block.vectors[tile], self.floors[tile]
+        if wanted is not None and np.count_nonzero(wanted) * 4 <= wanted.size:
+            q, d = np.nonzero(wanted)  # few candidates: score just those
+            score = _pair_scores(queries, vectors, q, d)
+            reach = score >= floor[q]
+            q, d, score = q[reach], d[reach], score[reach]
+        elif self.k * 4 >= len(ids):  # most of the block will be kept
+            exact = queries.astype(np.float64) @ vectors.T.astype(np.float64)
+            exact = np.round(exact, SCORE_DIGITS)
+            if wanted is not None:
+                exact[~wanted] = -np.inf
+            q, d = _above(exact, floor, self.k, np.zeros(len(queries)))
+            score = exact[q, d]
+        else:
+            rough = queries @ vectors.T
+            if wanted is not None:
+                rough[~wanted] = -np.inf
+            # Twice the float32 error bound of an inner product, plus the rounding.
+            longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0))
+            error = vectors.shape[1] * 2.0**-23 * block.norms[tile] * longest
+            slack = 2 * error + 2 * 10.0**-SCORE_DIGITS
+            q, d = _above(rough, floor, self.k, slack)
+            score = _pair_scores(queries, vectors, q, d)
+        self.parts.append((q + tile.start, ids[d], score))
         self.rows += len(q)
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,22 +190,22 @@ def _hit_batch(queries: QueryBlock, shard: int, best: _Best) -> pa.RecordBatch:
 
 def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iterator:
     best: dict[int, _Best] = {}
+    settle_from = max(1 << 16, 2 * k * len(queries))
     for batch in batches:
         for shard, ids, vectors in _per_shard(batch, dim):
             mine = best.setdefault(shard, _Best(k, queries.floors))
-            keys = queries.rule.document_keys(vectors) if queries.rule else None
+            keys = queries.rule.document_keys(vectors.astype(np.float64)) if queries.rule else None
             for tile in _tiles(len(queries), len(ids)):
                 wanted = queries.candidates(tile, keys) if queries.rule else None
-                mine.offer(tile, _scores(queries.vectors[tile], vectors, wanted), ids)
+                mine.offer(queries, tile, ids, vectors, wanted)
                 if mine.rows > HELD_ROWS:
                     mine.settle()
+            if mine.rows > settle_from:
+                mine.settle()
         if sum(b.rows for b in best.values()) > HELD_ROWS:
-            for b in best.values():
-                b.settle()
-            if sum(b.rows for b in best.values()) > HELD_ROWS // 2:
-                for shard, b in best.items():
-                    yield _hit_batch(queries, shard, b)
-                best = {}
+            for shard, b in best.items():
+                yield _hit_batch(queries, shard, b)
+            best = {}
     for shard, b in best.items():
         yield _hit_batch(queries, shard, b)
 
@@ -184,7 +218,7 @@ def _scan_counts(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> It
             if queries.rule is None:
                 mine += len(ids)
                 continue
-            keys = queries.rule.document_keys(vectors)
+            keys = queries.rule.document_keys(vectors.astype(np.float64))
             for tile in _tiles(len(queries), len(ids)):
                 mine[tile] += np.count_nonzero(queries.candidates(tile, keys), axis=1)
     for shard, counts in scored.items():
@@ -197,47 +231,66 @@ def _scan_counts(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> It
         )
 
 
-def _query_columns(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", "embedding", *(c for c in ("floor",) if c in queries.columns))
+@dataclass(frozen=True)
+class QuerySet:
+    """Queries ready for scanning: broadcast once if small, else kept as a frame."""
 
+    frame: DataFrame
+    dim: int
+    shared: Broadcast | None
+    max_broadcast_bytes: int
 
-def _doc_columns(docs: DataFrame) -> DataFrame:
-    shard = F.col("shard") if "shard" in docs.columns else F.lit(0)
+
+def load_queries(
+    queries: DataFrame, dim: int, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+) -> QuerySet:
+    """Prepare ``(qid, embedding[, floor])``; reads at most one row more than may be broadcast."""
+    frame = queries.select("qid", "embedding", *(c for c in ("floor",) if c in queries.columns))
+    fits = max(1, max_broadcast_bytes // (dim * 8))
+    table = frame.limit(fits + 1).toArrow()
+    small = table.num_rows <= fits
+    shared = frame.sparkSession.sparkContext.broadcast(table) if small else None
+    return QuerySet(frame, dim, shared, max_broadcast_bytes)
+
+
+def _doc_columns(docs: DataFrame, by_shard: bool) -> DataFrame:
+    shard = F.col("shard") if by_shard and "shard" in docs.columns else F.lit(0)
     return docs.select("id", shard.cast("int").alias("shard"), "embedding")
 
 
 def _scan(
     docs: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | QuerySet,
     k: int,
     dim: int,
     rule,
     body,
     schema: str,
-    max_broadcast_bytes: int,
+    by_shard: bool = True,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    docs, queries = _doc_columns(docs), _query_columns(queries)
-    # Reads at most one row more than may be broadcast, whatever the set holds.
-    fits = max(1, max_broadcast_bytes // (dim * 8))
-    table = queries.limit(fits + 1).toArrow()
-    if table.num_rows <= fits:
-        shared = docs.sparkSession.sparkContext.broadcast(table)
+    docs = _doc_columns(docs, by_shard)
+    if not isinstance(queries, QuerySet):
+        queries = load_queries(queries, dim, max_broadcast_bytes)
+    if queries.shared is None:
+        return _grid(docs, queries, k, rule, body, schema)
+    shared = queries.shared
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return body(batches, QueryBlock(shared.value, dim, rule), k, dim)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return body(batches, QueryBlock(shared.value, dim, rule), k, dim)
 
-        return docs.mapInArrow(scan, schema)
-    return _grid(docs, queries, k, dim, rule, body, schema, max_broadcast_bytes)
+    return docs.mapInArrow(scan, schema)
 
 
-def _grid(docs, queries, k, dim, rule, body, schema, max_broadcast_bytes) -> DataFrame:
+def _grid(docs: DataFrame, asked: QuerySet, k: int, rule, body, schema: str) -> DataFrame:
     """Block pairs for query sets beyond the broadcast bound.
 
     Both sides are spread by a hash of their unique ids, so no cell can grow
     beyond about one block of each, and each cell emits at most K rows per
     query and shard.
     """
-    block_bytes = min(GRID_BLOCK_BYTES, max_broadcast_bytes)
+    queries, dim = asked.frame, asked.dim
+    block_bytes = min(GRID_BLOCK_BYTES, asked.max_broadcast_bytes)
     block_rows = max(1, block_bytes // (dim * 8))
     query_rows = max(1, min(block_rows, HELD_ROWS // max(1, min(k, block_rows))))
     q_blocks = max(1, math.ceil(queries.count() / query_rows))
@@ -250,14 +303,19 @@ def _grid(docs, queries, k, dim, rule, body, schema, max_broadcast_bytes) -> Dat
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     left = docs.withColumn("d_block", block("id", d_blocks)).withColumn("q_block", every(q_blocks))
-    right = queries.withColumn("q_block", block("qid", q_blocks)).withColumn(
-        "d_block", every(d_blocks)
+    # Renamed, because queries are often rows of the same table as the documents
+    # and a cogroup does not tell equal columns of its two sides apart.
+    right = (
+        queries.withColumnRenamed("embedding", "query_vector")
+        .withColumn("q_block", block("qid", q_blocks))
+        .withColumn("d_block", every(d_blocks))
     )
 
     def cell(some_docs: pa.Table, some_queries: pa.Table) -> pa.Table:
         fields = _arrow_schema(schema)
         if some_docs.num_rows == 0 or some_queries.num_rows == 0:
             return fields.empty_table()
+        some_queries = some_queries.rename_columns({"query_vector": "embedding"})
         found = body([some_docs.combine_chunks()], QueryBlock(some_queries, dim, rule), k, dim)
         return pa.Table.from_batches(list(found), schema=fields)
 
@@ -294,18 +352,15 @@ def best_k(hits: DataFrame, k: int, keys: tuple[str, ...] = ("qid",)) -> DataFra
 
 
 def shard_hits(
-    docs: DataFrame,
-    queries: DataFrame,
-    k: int,
-    dim: int,
-    rule=None,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    docs: DataFrame, queries: DataFrame | QuerySet, k: int, dim: int, rule=None, **options
 ) -> DataFrame:
     """Hits found by the scan: at least the best K per query and shard, unranked."""
-    return _scan(docs, queries, k, dim, rule, _scan_hits, HITS, max_broadcast_bytes)
+    return _scan(docs, queries, k, dim, rule, _scan_hits, HITS, **options)
 
 
-def per_shard_top_k(docs, queries, k: int, dim: int, rule=None, **options) -> DataFrame:
+def per_shard_top_k(
+    docs: DataFrame, queries: DataFrame | QuerySet, k: int, dim: int, rule=None, **options
+) -> DataFrame:
     """``(qid, shard, rank, id, score)``: the full K on every shard."""
     return best_k(shard_hits(docs, queries, k, dim, rule, **options), k, ("qid", "shard"))
 
@@ -315,9 +370,12 @@ def merge_top_k(per_shard: DataFrame, k: int) -> DataFrame:
     return best_k(per_shard.select("qid", "shard", "id", "score"), k)
 
 
-def top_k(docs, queries, k: int, dim: int, rule=None, **options) -> DataFrame:
-    """``(qid, rank, id, score, shard)``: exact, or approximate when a rule is given."""
-    return best_k(shard_hits(docs, queries, k, dim, rule, **options), k)
+def top_k(
+    docs: DataFrame, queries: DataFrame | QuerySet, k: int, dim: int, rule=None, **options
+) -> DataFrame:
+    """``(qid, rank, id, score)``: exact, or approximate when a rule is given."""
+    hits = shard_hits(docs, queries, k, dim, rule, by_shard=False, **options)
+    return best_k(hits.drop("shard"), k)
 
 
 def at_each_k(ranked: DataFrame, ks: tuple[int, ...]) -> DataFrame:
@@ -332,7 +390,7 @@ def kth_scores(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def floor_pruned_top_k(
-    docs, queries, k: int, dim: int, floor_shard: int = 0, **options
+    docs: DataFrame, queries: DataFrame, k: int, dim: int, floor_shard: int = 0, **options
 ) -> DataFrame:
     """Same answer as :func:`top_k`, with a shared score floor.
 
@@ -344,14 +402,17 @@ def floor_pruned_top_k(
     return top_k(docs, with_floor, k, dim, **options)
 
 
-def scored_counts(docs, queries, dim: int, rule=None, **options) -> DataFrame:
+def scored_counts(
+    docs: DataFrame, queries: DataFrame | QuerySet, dim: int, rule=None, **options
+) -> DataFrame:
     """``(qid, shard, scored)``: documents each query was compared with."""
-    options.setdefault("max_broadcast_bytes", MAX_BROADCAST_BYTES)
     partial = _scan(docs, queries, 1, dim, rule, _scan_counts, SCORED, **options)
     return partial.groupBy("qid", "shard").agg(F.sum("scored").alias("scored"))
 
 
-def lookups_saved(docs, queries, dim: int, shards: int, rule=None, **options) -> DataFrame:
+def lookups_saved(
+    docs: DataFrame, queries: DataFrame | QuerySet, dim: int, shards: int, rule=None, **options
+) -> DataFrame:
     """``(qid, shard, size, scored, saved)`` with ``saved = max(0, size - scored)``."""
     sizes = shard_sizes(docs, shards).select("shard", "size")
     counts = scored_counts(docs, queries, dim, rule, **options)

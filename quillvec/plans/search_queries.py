@@ -91,37 +91,44 @@ def lookups_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(search.lookups_saved(docs, queries(spark, sf_dir), DIM, SHARDS, lsh()), "shard")
 
 
-def _per_query(spark: SparkSession, sf_dir: str, rule=None) -> DataFrame:
-    found = _approximate(spark, sf_dir, rule=rule)
-    return quality.overlaps(found, _exact(spark, sf_dir), queries(spark, sf_dir), KS)
+def _per_query(spark: SparkSession, sf_dir: str, asked: search.QuerySet, rule=None) -> DataFrame:
+    docs = vectors(spark, sf_dir)
+    found = search.top_k(docs, asked, MAX_K, DIM, rule or lsh())
+    exact = search.top_k(docs, asked, MAX_K, DIM)
+    return quality.overlaps(found, exact, asked.frame, KS)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> search.QuerySet:
+    return search.load_queries(queries(spark, sf_dir), DIM)
 
 
 def knn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _per_query(spark, sf_dir).select("k", "qid", "overlap", "retrieved", "relevant")
-    return longs(rows, "k")
+    rows = _per_query(spark, sf_dir, _asked(spark, sf_dir))
+    return longs(rows.select("k", "qid", "overlap", "retrieved", "relevant"), "k")
 
 
 def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _per_query(spark, sf_dir).select(
+    rows = _per_query(spark, sf_dir, _asked(spark, sf_dir)).select(
         "k", "qid", rounded("recall").alias("recall"), rounded("recall_at_k").alias("recall_at_k")
     )
     return longs(rows, "k")
 
 
-def _report(spark: SparkSession, sf_dir: str, rule=None) -> DataFrame:
+def _report(spark: SparkSession, sf_dir: str, asked: search.QuerySet, rule=None) -> DataFrame:
     docs = sharded(spark, sf_dir)
-    saved = search.lookups_saved(docs, queries(spark, sf_dir), DIM, SHARDS, rule or lsh())
-    per_query = _per_query(spark, sf_dir, rule)
+    saved = search.lookups_saved(docs, asked, DIM, SHARDS, rule or lsh())
+    per_query = _per_query(spark, sf_dir, asked, rule)
     return quality.search_report(per_query, saved, row_count(docs), SHARDS)
 
 
 def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, lookups saved and sizes per K: the run summary."""
-    return _report(spark, sf_dir)
+    return _report(spark, sf_dir, _asked(spark, sf_dir))
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(quality.summary_lines(_report(spark, sf_dir), "embeddings"), "k")
+    report = _report(spark, sf_dir, _asked(spark, sf_dir))
+    return longs(quality.summary_lines(report, "embeddings"), "k")
 
 
 def topk_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,15 +140,17 @@ def topk_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashing against cells on the same data."""
-    hashed = _report(spark, sf_dir)
-    by_cell = _report(spark, sf_dir, cells(spark, sf_dir))
+    asked = _asked(spark, sf_dir)
+    hashed = _report(spark, sf_dir, asked)
+    by_cell = _report(spark, sf_dir, asked, cells(spark, sf_dir))
     both = quality.compare_runs(hashed, by_cell)
     return both.withColumn("merged_recall_delta", rounded("merged_recall_delta", 4))
 
 
 def shard_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per shard count and K: hits gathered from the shards, and recall after merging."""
-    asked, exact, rows = queries(spark, sf_dir), _exact(spark, sf_dir), None
+    asked, rows = _asked(spark, sf_dir), None
+    exact = search.top_k(vectors(spark, sf_dir), asked, MAX_K, DIM)
     for shards in SWEEP:
         docs = assign_even(vectors(spark, sf_dir), shards)
         per_shard = search.per_shard_top_k(docs, asked, MAX_K, DIM, lsh())
@@ -150,7 +159,7 @@ def shard_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("gathered")) for k in KS))
         )
         merged = search.merge_top_k(per_shard, MAX_K)
-        recall = quality.mean_recall(quality.overlaps(merged, exact, asked, KS))
+        recall = quality.mean_recall(quality.overlaps(merged, exact, asked.frame, KS))
         row = recall.join(gathered.select(per_k), "k").select(
             F.lit(shards).cast("long").alias("num_shards"),
             F.col("k").cast("long").alias("k"),

@@ -135,10 +135,13 @@ def test_wrong_dimension_fails(docs, asked):
         search.top_k(docs, asked, 3, DIM + 1).collect()
 
 
-def test_documents_are_not_shuffled(docs, asked):
-    plan = search.top_k(docs, asked, 10, DIM)._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("MapInArrow"):].split("Subquery")[0]
-    assert "Exchange" not in below and plan.count("WindowGroupLimit") == 2
+def test_documents_are_not_shuffled(spark, sf_dir):
+    stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    hits = search.top_k(stored, search.query_set(stored), 10, 64)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("MapInArrow"):]
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
+    assert "label" not in plan
 
 
 def test_snapshot_floor(spark):
