@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,6 +64,18 @@ def require_dim(v: Column, dim: int) -> Column:
     )
 
 
+@arrow_udf(BinaryType())
+def _md5_of_bytes(vectors: pa.Array) -> pa.Array:
+    raw = memoryview(vectors.flatten().to_numpy(zero_copy_only=False).view("uint8"))
+    ends = (vectors.offsets.to_numpy() - vectors.offsets[0].as_py()) * 4
+    digests = [hashlib.md5(raw[a:b]).digest() for a, b in zip(ends[:-1], ends[1:])]
+    return pa.array(digests, pa.binary())
+
+
 def fingerprint(v: Column) -> Column:
-    """128-bit content hash that, like the raw bytes, tells 0.0 from -0.0."""
-    return F.md5(F.array_join(v.cast("array<string>"), ","))
+    """MD5 of the little-endian float32 bytes, so 0.0 and -0.0 differ.
+
+    Spark has no function from floats to bytes, and going through text inside
+    the JVM takes more than twice as long at 1024 dimensions.
+    """
+    return _md5_of_bytes(v)

@@ -9,25 +9,28 @@ from quillvec.operators.ids import running_sums
 
 
 def overlaps(
-    retrieved: DataFrame, exact: DataFrame, queries: DataFrame, ks: tuple[int, ...]
+    retrieved: DataFrame,
+    exact: DataFrame,
+    queries: DataFrame,
+    ks: tuple[int, ...],
+    by: tuple[str, ...] = ("qid",),
 ) -> DataFrame:
     """``(k, qid, overlap, retrieved, relevant, recall, recall_at_k)`` per K and query.
 
     ``retrieved`` and ``exact`` are rankings ``(qid, id, rank)`` at the largest K.
     They meet in one equi-join on ``(qid, id)``; every K is then a condition on
     the two ranks. ``recall`` divides by what was retrieved, ``recall_at_k`` by
-    what could have been. A query without hits counts with recall 0.
+    what could have been. A query without hits counts with recall 0. More columns
+    in ``by``, present in ``retrieved`` and ``queries``, keep several runs apart.
     """
-    pairs = (
-        retrieved.select("qid", "id", F.col("rank").alias("r"))
-        .join(exact.select("qid", "id", F.col("rank").alias("e")), ["qid", "id"], "full")
-    )
+    truth = exact.select("qid", "id", F.col("rank").alias("e"))
+    pairs = retrieved.select(*by, "id", F.col("rank").alias("r")).join(truth, ["qid", "id"], "left")
     # Conditional counts per K in one aggregate: no row is copied per K.
-    found = pairs.groupBy("qid").agg(
+    found = pairs.groupBy(*by).agg(
         *(F.count_if((F.col("r") <= k) & (F.col("e") <= k)).alias(f"o{k}") for k in ks),
         *(F.count_if(F.col("r") <= k).alias(f"r{k}") for k in ks),
-        *(F.count_if(F.col("e") <= k).alias(f"e{k}") for k in ks),
     )
+    possible = truth.groupBy("qid").agg(*(F.count_if(F.col("e") <= k).alias(f"e{k}") for k in ks))
     per_k = F.array(
         *(
             F.struct(
@@ -45,17 +48,18 @@ def overlaps(
         return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 
     return (
-        queries.select("qid")
-        .join(found, "qid", "left")
-        .select("qid", F.inline(per_k))
+        queries.select(*by)
+        .join(found, list(by), "left")
+        .join(possible, "qid", "left")
+        .select(*by, F.inline(per_k))
         .withColumn("recall", share("overlap", "retrieved"))
         .withColumn("recall_at_k", share("overlap", "relevant"))
     )
 
 
-def mean_recall(per_query: DataFrame) -> DataFrame:
+def mean_recall(per_query: DataFrame, by: tuple[str, ...] = ("k",)) -> DataFrame:
     """``(k, num_queries, merged_recall, recall_at_k)``, rounded to four decimals."""
-    return per_query.groupBy("k").agg(
+    return per_query.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_queries"),
         F.round(F.avg("recall"), 4).alias("merged_recall"),
         F.round(F.avg("recall_at_k"), 4).alias("recall_at_k"),
@@ -69,7 +73,7 @@ def mean_lookups_saved(saved: DataFrame) -> DataFrame:
 
 
 def search_report(
-    per_query: DataFrame, saved: DataFrame, num_docs: Column, shards: int, run_log=None
+    per_query: DataFrame, saved: DataFrame, num_docs: int, shards: int, run_log=None
 ) -> DataFrame:
     """One row per K: recall, lookups saved and sizes; timings when a run log is given."""
     report = mean_recall(per_query).select(
@@ -77,7 +81,7 @@ def search_report(
         "merged_recall",
         "recall_at_k",
         mean_lookups_saved(saved).scalar().alias("lookups_saved"),
-        num_docs.alias("num_docs"),
+        F.lit(num_docs).cast("long").alias("num_docs"),
         F.lit(shards).cast("long").alias("num_shards"),
         "num_queries",
     )

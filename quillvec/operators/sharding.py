@@ -10,43 +10,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def even_shard(position: Column, total: Column, shards: Column) -> Column:
+def even_shard(position: Column, total: int, shards: int) -> Column:
     """Shard of a position when ``total`` rows are cut as evenly as possible.
 
     The first ``total % shards`` shards hold one row more than the others.
     """
-    base = F.floor(total / shards).cast("long")
-    longer = total % shards
+    base, longer = divmod(total, shards)
     in_longer = longer * (base + 1)
     return F.when(position < in_longer, F.floor(position / (base + 1))).otherwise(
-        longer + F.floor((position - in_longer) / F.greatest(base, F.lit(1)))
+        longer + F.floor((position - in_longer) / max(base, 1))
     ).cast("int")
 
 
-def row_count(df: DataFrame) -> Column:
-    """The number of rows as a scalar subquery, so it stays part of the plan."""
-    return df.agg(F.count(F.lit(1)).cast("long").alias("n")).scalar()
-
-
 def assign_even(
-    df: DataFrame, shards: int, id_col: str = "id", total: Column | None = None
+    df: DataFrame, shards: int, id_col: str = "id", total: int | None = None
 ) -> DataFrame:
     """Add ``shard`` for an even contiguous split; ids must be dense from 0.
 
-    ``total`` spares the count where the number of rows is already known.
+    Rows are counted unless ``total`` is given; on a stored table that reads
+    file footers only. The shard itself is arithmetic on the id.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    shard = even_shard(F.col(id_col), F.col("_total"), F.lit(shards).cast("long"))
-    counted = df.withColumn("_total", row_count(df) if total is None else total)
-    return counted.withColumn("shard", shard).drop("_total")
+    n = df.count() if total is None else total
+    return df.withColumn("shard", even_shard(F.col(id_col), n, shards))
 
 
-def assign_ceil(df: DataFrame, shards: int, id_col: str = "id") -> DataFrame:
+def assign_ceil(
+    df: DataFrame, shards: int, id_col: str = "id", total: int | None = None
+) -> DataFrame:
     """Add ``shard`` for slices of ``ceil(n / shards)``; the last may be short or absent."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    per_shard = F.ceil(row_count(df) / F.lit(shards)).cast("long")
+    n = df.count() if total is None else total
+    per_shard = max(1, -(-n // shards))
     return df.withColumn("shard", F.floor(F.col(id_col) / per_shard).cast("int"))
 
 
@@ -80,14 +77,12 @@ def regroup_ladder(df: DataFrame, from_shards: int, targets: list[int]) -> DataF
     The data are counted once at the finest level; every rung is an aggregate
     of those few rows.
     """
-    finest = shard_sizes(df, from_shards)
-    rungs = None
     for target in targets:
-        rung = (
-            regroup(finest, from_shards, target)
-            .groupBy("shard")
-            .agg(F.sum("size").alias("size"), F.min("first_id").alias("first_id"))
-            .select(F.lit(target).alias("target"), "shard", "size", "first_id")
-        )
-        rungs = rung if rungs is None else rungs.unionByName(rung)
-    return rungs
+        regroup(df, from_shards, target)  # same checks
+    return (
+        shard_sizes(df, from_shards)
+        .withColumn("target", F.explode(F.array(*(F.lit(t) for t in targets))))
+        .withColumn("shard", F.floor(F.col("shard") * F.col("target") / from_shards).cast("int"))
+        .groupBy("target", "shard")
+        .agg(F.sum("size").alias("size"), F.min("first_id").alias("first_id"))
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillvec.operators import quality, search
 from quillvec.operators.candidates import HyperplaneHash, NearestCells
 from quillvec.operators.embedding import centroid_matrix, mean_pool
-from quillvec.operators.sharding import assign_even, row_count
+from quillvec.operators.sharding import assign_even
 from quillvec.plans.tables import (
     DIM,
     KS,
@@ -118,7 +118,7 @@ def _report(spark: SparkSession, sf_dir: str, asked: search.QuerySet, rule=None)
     docs = sharded(spark, sf_dir)
     saved = search.lookups_saved(docs, asked, DIM, SHARDS, rule or lsh())
     per_query = _per_query(spark, sf_dir, asked, rule)
-    return quality.search_report(per_query, saved, row_count(docs), SHARDS)
+    return quality.search_report(per_query, saved, docs.count(), SHARDS)
 
 
 def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,27 +148,38 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per shard count and K: hits gathered from the shards, and recall after merging."""
-    asked, rows = _asked(spark, sf_dir), None
-    exact = search.top_k(vectors(spark, sf_dir), asked, MAX_K, DIM)
+    """Per shard count and K: hits gathered from the shards, and recall after merging.
+
+    Each shard count is a scan of its own; ranking, merging and recall are shared.
+    """
+    asked, docs = _asked(spark, sf_dir), vectors(spark, sf_dir)
+    total, hits = docs.count(), None
     for shards in SWEEP:
-        docs = assign_even(vectors(spark, sf_dir), shards)
-        per_shard = search.per_shard_top_k(docs, asked, MAX_K, DIM, lsh())
-        gathered = per_shard.agg(*(F.count_if(F.col("rank") <= k).alias(f"g{k}") for k in KS))
-        per_k = F.inline(
-            F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("gathered")) for k in KS))
-        )
-        merged = search.merge_top_k(per_shard, MAX_K)
-        recall = quality.mean_recall(quality.overlaps(merged, exact, asked.frame, KS))
-        row = recall.join(gathered.select(per_k), "k").select(
-            F.lit(shards).cast("long").alias("num_shards"),
-            F.col("k").cast("long").alias("k"),
-            "gathered",
-            "merged_recall",
-            "num_queries",
+        cut = assign_even(docs, shards, total=total)
+        found = search.shard_hits(cut, asked, MAX_K, DIM, lsh()).withColumn(
+            "num_shards", F.lit(shards).cast("long")
         )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        hits = found if hits is None else hits.unionByName(found)
+    run = ("num_shards", "qid")
+    per_shard = search.best_k(hits, MAX_K, (*run, "shard"))
+    gathered = F.inline(
+        F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("gathered")) for k in KS))
+    )
+    counts = (
+        per_shard.groupBy("num_shards")
+        .agg(*(F.count_if(F.col("rank") <= k).alias(f"g{k}") for k in KS))
+        .select("num_shards", gathered)
+    )
+    merged = search.best_k(per_shard.drop("rank"), MAX_K, run)
+    exact = search.top_k(docs, asked, MAX_K, DIM)
+    runs = asked.frame.select(
+        "qid", F.explode(F.array(*(F.lit(n).cast("long") for n in SWEEP))).alias("num_shards")
+    )
+    per_query = quality.overlaps(merged, exact, runs, KS, run)
+    recall = quality.mean_recall(per_query, ("num_shards", "k"))
+    return recall.join(counts, ["num_shards", "k"]).select(
+        "num_shards", F.col("k").cast("long").alias("k"), "gathered", "merged_recall", "num_queries"
+    )
 
 
 def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:

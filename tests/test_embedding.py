@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,4 @@ def test_fingerprint_tells_signed_zero_apart(spark):
     df = spark.createDataFrame([([0.0, 1.0],), ([-0.0, 1.0],), ([0.0, 1.0],)], "v array<float>")
     a, b, c = (r[0] for r in df.select(V.fingerprint(F.col("v"))).collect())
     assert a == c != b
+    assert bytes(a) == hashlib.md5(np.array([0.0, 1.0], "<f4").tobytes()).digest()
