@@ -37,6 +37,7 @@ DEFAULT_KS = (10, 100, 1000, 10000)
 MAX_BROADCAST_BYTES = 256 << 20  # query matrix held by driver and executors
 GRID_BLOCK_BYTES = 64 << 20  # one side of a block pair when the matrix is larger
 TILE_CELLS = 4 << 20  # scores computed at a time inside a task
+PAIR_CELLS = 1 << 18  # vector values gathered at a time; fits a core's cache
 HELD_ROWS = 8 << 20  # hits a task may hold before it hands them on
 SALT_FROM_PARTITIONS = 64
 
@@ -85,12 +86,10 @@ def _tiles(queries: int, documents: int) -> Iterator[slice]:
 def _pair_scores(queries: np.ndarray, documents: np.ndarray, q, d) -> np.ndarray:
     """Double-precision scores of single (query, document) pairs, rounded."""
     out = np.empty(len(q))
-    step = max(1, TILE_CELLS // queries.shape[1])
+    step = max(1, PAIR_CELLS // queries.shape[1])
     for at in range(0, len(q), step):
-        rows, cols = queries[q[at : at + step]], documents[d[at : at + step]]
-        out[at : at + step] = np.einsum(
-            "ij,ij->i", rows.astype(np.float64), cols.astype(np.float64)
-        )
+        some = slice(at, at + step)
+        out[some] = np.einsum("ij,ij->i", queries[q[some]], documents[d[some]], dtype=np.float64)
     return np.round(out, SCORE_DIGITS)
 
 
