@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from quillvec.functions import text as T
 from quillvec.operators.chunking import chunk, corpus_profile
-from quillvec.operators.embedding import embed, hashed_words, profile_set, rows_of, with_retry
+from quillvec.operators.embedding import (
+    embed,
+    hashed_words,
+    masked_mean_pool,
+    profile_set,
+    rows_of,
+    with_retry,
+)
 from quillvec.operators.ids import dense_chunk_ids
 from quillvec.operators.search import query_set, top_k, with_text
 from quillvec.plans.tables import DIM, documents, longs, messages, rounded, table
@@ -105,6 +112,15 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(flat, "pos", "d")
 
 
+def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector per document: the mean of its sentences, short ones masked out."""
+    chunks = chunk(documents(spark, sf_dir), "sentence").withColumn(
+        "mask", (F.length("text") >= 40).cast("int")
+    )
+    pooled = masked_mean_pool(embed(chunks, hashed_words(DIM), DIM), "doc_id")
+    return longs(pooled.withColumn("value", rounded("value")), "pos")
+
+
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk(documents(spark, sf_dir), "sentence").select(
         "doc_id", "pos", F.length("text").alias("n_chars")
@@ -183,6 +199,7 @@ QUERIES = {
     "chunk_wrap": chunk_wrap,
     "corpus_profile": profile,
     "embed_chunks": embed_chunks,
+    "doc_vectors": doc_vectors,
     "chunk_ids": chunk_ids,
     "query_set": query_vectors,
     "embedding_sets": embedding_sets,

@@ -179,6 +179,15 @@ FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN p USING (doc_id) GROUP BY la
     "embed_chunks": f"""
 WITH {SENTENCES}, {embedded('sentences')}
 SELECT doc_id, pos, d, round(CAST(value AS DOUBLE), 6) AS value FROM emb""",
+    "doc_vectors": f"""
+WITH {SENTENCES}, {embedded('sentences')},
+kept AS (SELECT doc_id, count(*) FILTER (length(text) >= 40) AS n FROM sentences GROUP BY 1),
+sums AS (
+  SELECT doc_id, d, sum(CAST(value AS DOUBLE)) AS total
+  FROM emb JOIN sentences USING (doc_id, pos) WHERE length(text) >= 40 GROUP BY ALL)
+SELECT doc_id, pos, round(coalesce(total, 0) / greatest(n, 1e-9), 6) + 0.0 AS value
+FROM (SELECT doc_id, n, unnest(range({DIM})) AS pos FROM kept)
+LEFT JOIN (SELECT doc_id, d AS pos, total FROM sums) USING (doc_id, pos)""",
     "chunk_ids": f"""
 WITH {SENTENCES}
 SELECT id AS chunk_id, doc_id, pos, length(text) AS n_chars FROM ({numbered('sentences')})""",

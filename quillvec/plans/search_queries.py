@@ -72,9 +72,9 @@ def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> NearestCells:
-    """One cell per label; the labels are a fixed handful, so the matrix is small."""
-    pooled = mean_pool(vectors(spark, sf_dir), "label").collect()
-    return NearestCells(centroid_matrix(pooled, "label"), PROBES)
+    """One cell per label."""
+    pooled = mean_pool(vectors(spark, sf_dir), "label")
+    return NearestCells(centroid_matrix(pooled, "label", DIM), PROBES)
 
 
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Corpus readers and the JSON-lines writer.
 
 Every reader gives ``(doc_id, text)`` with dense ids in a stated order: file
-path, then position in the file. File readers learn the position from the
-input split, so ids cost one extra pass over keys, never a global sort of text.
+path, then position in the file. What is ranked to get there is one row per
+input split or per file; the texts themselves are never sorted.
 """
 
 from __future__ import annotations
@@ -12,12 +12,28 @@ from pyspark.sql import functions as F
 
 from quillvec.functions.text import is_blank, strip
 from quillvec.operators.ids import dense_ids, running_offsets
+from quillvec.session import pin
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with the input split they come from."""
+# Up to this many documents a sorted limit is the cheapest way to the first ones.
+SORTED_LIMIT = 10_000
+
+
+def _is_utf8(encoding: str) -> bool:
+    return encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
+
+
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines with the input split they come from.
+
+    The text source hands on the bytes of a line as they are, so encodings that
+    write line ends as ASCII does are decoded afterwards.
+    """
+    value = F.col("value")
+    if not _is_utf8(encoding):
+        value = F.decode(value.cast("binary"), encoding)
     return spark.read.text(path).select(
-        "value",
+        value.alias("value"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
     )
@@ -27,11 +43,11 @@ def _number_lines(kept: DataFrame) -> DataFrame:
     """Dense ``doc_id`` by file path, then position, for the lines that were kept.
 
     Rows of a split are consecutive in its task, so a position is the split's
-    base plus the distance from its first row. Only one row per split is ranked;
-    the texts are neither sorted nor written out on the way.
+    base plus the distance from its first row. The parsed lines are pinned once,
+    because another evaluation may cut the files into other splits.
     """
     split = ["_file", "_start"]
-    rows = kept.withColumn("_row", F.monotonically_increasing_id())
+    rows = pin(kept.withColumn("_row", F.monotonically_increasing_id()))
     splits = rows.groupBy(*split).agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_kept")
     )
@@ -40,6 +56,21 @@ def _number_lines(kept: DataFrame) -> DataFrame:
     return numbered.select((F.col("_base") + F.col("_row") - F.col("_first")).alias("doc_id"), "text")
 
 
+def _up_to(docs: DataFrame, max_docs: int | None) -> DataFrame:
+    """The first ``max_docs`` of densely numbered documents."""
+    return docs if max_docs is None else docs.where(F.col("doc_id") < max_docs)
+
+
+def first_docs(docs: DataFrame, max_docs: int | None) -> DataFrame:
+    """The first ``max_docs`` documents in ``doc_id`` order, gaps allowed; ``None`` keeps all."""
+    if max_docs is None:
+        return docs
+    if max_docs <= SORTED_LIMIT:
+        return docs.orderBy("doc_id").limit(max_docs)
+    places = dense_ids(docs.select("doc_id"), ["doc_id"], "_place")
+    return docs.join(places.where(F.col("_place") < max_docs).select("doc_id"), "doc_id", "left_semi")
+
+
 def parse_jsonl(lines: DataFrame, text_key: str = "text") -> DataFrame:
     """``text`` of each JSON line; blank, malformed, keyless and empty ones drop out."""
     key = text_key.replace("`", "``")
@@ -68,43 +99,50 @@ def message_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     return parse_messages(df.select(*keep, F.posexplode(lines).alias("line", "value")))
 
 
-def first_docs(docs: DataFrame, max_docs: int | None) -> DataFrame:
-    """The first ``max_docs`` kept documents in id order; ``None`` keeps all."""
-    return docs if max_docs is None else docs.orderBy("doc_id").limit(max_docs)
-
-
 def read_jsonl(
-    spark: SparkSession, path: str, text_key: str = "text", max_docs: int | None = None
+    spark: SparkSession,
+    path: str,
+    text_key: str = "text",
+    max_docs: int | None = None,
+    encoding: str = "UTF-8",
 ) -> DataFrame:
-    docs = _number_lines(parse_jsonl(_lines(spark, path), text_key))
-    return first_docs(docs, max_docs)
+    return _up_to(_number_lines(parse_jsonl(_lines(spark, path, encoding), text_key)), max_docs)
 
 
-def read_messages(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
-    docs = _number_lines(parse_messages(_lines(spark, path)))
-    return first_docs(docs, max_docs)
+def read_messages(
+    spark: SparkSession, path: str, max_docs: int | None = None, encoding: str = "UTF-8"
+) -> DataFrame:
+    return _up_to(_number_lines(parse_messages(_lines(spark, path, encoding))), max_docs)
 
 
-def text_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """``(path, text)``: one row per readable, non-blank UTF-8 file below ``path``."""
+def text_files(
+    spark: SparkSession, path: str, glob: str = "*.txt", encoding: str = "UTF-8"
+) -> DataFrame:
+    """``(path, text)``: one row per readable, non-blank file below ``path``."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", "true")
         .load(path)
-        .where(F.is_valid_utf8(F.col("content").cast("string")))
-        .select("path", F.decode("content", "UTF-8").alias("text"))
+        .select("path", "content")
     )
-    return files.where(~is_blank(F.col("text")))
+    if _is_utf8(encoding):
+        files = files.where(F.is_valid_utf8(F.col("content").cast("string")))
+    texts = files.select("path", F.decode("content", encoding).alias("text"))
+    return texts.where(~is_blank(F.col("text")))
 
 
 def read_text_dir(
-    spark: SparkSession, path: str, glob: str = "*.txt", max_docs: int | None = None
+    spark: SparkSession,
+    path: str,
+    glob: str = "*.txt",
+    max_docs: int | None = None,
+    encoding: str = "UTF-8",
 ) -> DataFrame:
-    files = text_files(spark, path, glob)
+    files = text_files(spark, path, glob, encoding)
     numbered = dense_ids(files.select("path"), ["path"], "doc_id")
-    return first_docs(files.join(numbered, "path").select("doc_id", "text"), max_docs)
+    return files.join(_up_to(numbered, max_docs), "path").select("doc_id", "text")
 
 
 READERS = {"wikipedia": read_jsonl, "text_dir": read_text_dir, "messages": read_messages}

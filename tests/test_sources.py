@@ -2,7 +2,9 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillvec.sources import corpus
 from quillvec.sources.corpus import read_corpus, read_jsonl, read_messages, write_jsonl
 
 
@@ -53,6 +55,27 @@ def test_text_dir_skips_unusable_files(spark, tmp_path):
     assert texts(docs) == [(0, "first"), (1, "second\nfile"), (2, "third")]
 
 
+def test_first_documents(spark, monkeypatch):
+    docs = spark.range(0, 300, 3).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for limit in (100, 5):  # sorted limit, then ranking of the keys
+        monkeypatch.setattr(corpus, "SORTED_LIMIT", limit)
+        found = corpus.first_docs(docs.repartition(5), 7)
+        assert [i for i, _ in texts(found)] == [0, 3, 6, 9, 12, 15, 18]
+    assert corpus.first_docs(docs, None) is docs
+
+
+def test_other_encoding(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("na\u00efve\n\u00fcber".encode("latin-1"))
+    path = str(tmp_path)
+    assert texts(read_corpus(spark, "messages", path, encoding="ISO-8859-1")) == [
+        (0, "na\u00efve"), (1, "\u00fcber"),
+    ]
+    assert texts(read_corpus(spark, "text_dir", path, encoding="ISO-8859-1")) == [
+        (0, "na\u00efve\n\u00fcber"),
+    ]
+    assert texts(read_corpus(spark, "text_dir", path)) == []
+
+
 def test_source_choice(spark):
     with pytest.raises(ValueError):
         read_corpus(spark, "other", "/x")
