@@ -25,7 +25,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
+from quillvec.operators.candidates import NearestCells
 from quillvec.operators.sharding import shard_sizes
 
 SCORE_DIGITS = 9
@@ -115,13 +118,13 @@ class _Best:
     def offer(
         self,
         block: QueryBlock,
-        tile: slice,
+        rows: np.ndarray,
         ids: np.ndarray,
         vectors: np.ndarray,
         wanted: np.ndarray | None,
     ) -> None:
-        """Score one tile of queries against one block of documents."""
-        queries, floor = block.vectors[tile], self.floors[tile]
+        """Score the queries numbered ``rows`` against one block of documents."""
+        queries, floor = block.vectors[rows], self.floors[rows]
         if wanted is not None and np.count_nonzero(wanted) * 4 <= wanted.size:
             q, d = np.nonzero(wanted)  # few candidates: score just those
             score = _pair_scores(queries, vectors, q, d)
@@ -140,11 +143,11 @@ class _Best:
                 rough[~wanted] = -np.inf
             # Twice the float32 error bound of an inner product, plus the rounding.
             longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0))
-            error = vectors.shape[1] * 2.0**-23 * block.norms[tile] * longest
+            error = vectors.shape[1] * 2.0**-23 * block.norms[rows] * longest
             slack = 2 * error + 2 * 10.0**-SCORE_DIGITS
             q, d = _above(rough, floor, self.k, slack)
             score = _pair_scores(queries, vectors, q, d)
-        self.parts.append((q + tile.start, ids[d], score))
+        self.parts.append((rows[q], ids[d], score))
         self.rows += len(q)
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,15 +167,20 @@ class _Best:
         return q, ids, score
 
 
-def _per_shard(batch: pa.RecordBatch | pa.Table, dim: int):
-    """The batch cut by shard: ``(shard, ids, vectors)``."""
-    vectors = _matrix(batch["embedding"] if isinstance(batch, pa.Table)
-                      else batch.column("embedding"), dim)
+def _per_shard(batch: pa.RecordBatch | pa.Table, dim: int, rule):
+    """The batch cut by shard: ``(shard, ids, vectors, candidate keys)``."""
+    vectors = _matrix(batch.column("embedding"), dim)
     ids = np.asarray(batch.column("id"))
     shards = np.asarray(batch.column("shard"))
+    stored = np.asarray(batch.column("cell")) if "cell" in batch.schema.names else None
     for shard in np.unique(shards):
         rows = shards == shard
-        yield int(shard), ids[rows], vectors[rows]
+        some, keys = vectors[rows], None
+        if stored is not None:
+            keys = stored[rows][None, :]
+        elif rule is not None:
+            keys = rule.document_keys(some.astype(np.float64))
+        yield int(shard), ids[rows], some, keys
 
 
 def _hit_batch(queries: QueryBlock, shard: int, best: _Best) -> pa.RecordBatch:
@@ -191,12 +199,16 @@ def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iter
     best: dict[int, _Best] = {}
     settle_from = max(1 << 16, 2 * k * len(queries))
     for batch in batches:
-        for shard, ids, vectors in _per_shard(batch, dim):
+        for shard, ids, vectors, keys in _per_shard(batch, dim, queries.rule):
             mine = best.setdefault(shard, _Best(k, queries.floors))
-            keys = queries.rule.document_keys(vectors.astype(np.float64)) if queries.rule else None
             for tile in _tiles(len(queries), len(ids)):
-                wanted = queries.candidates(tile, keys) if queries.rule else None
-                mine.offer(queries, tile, ids, vectors, wanted)
+                rows, wanted = np.arange(tile.start, tile.stop), None
+                if keys is not None:
+                    wanted = queries.candidates(tile, keys)
+                    visiting = wanted.any(axis=1)  # others skip the block altogether
+                    rows, wanted = rows[visiting], wanted[visiting]
+                if len(rows):
+                    mine.offer(queries, rows, ids, vectors, wanted)
                 if mine.rows > HELD_ROWS:
                     mine.settle()
             if mine.rows > settle_from:
@@ -212,12 +224,11 @@ def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iter
 def _scan_counts(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iterator:
     scored: dict[int, np.ndarray] = {}
     for batch in batches:
-        for shard, ids, vectors in _per_shard(batch, dim):
+        for shard, ids, _, keys in _per_shard(batch, dim, queries.rule):
             mine = scored.setdefault(shard, np.zeros(len(queries), dtype=np.int64))
-            if queries.rule is None:
+            if keys is None:
                 mine += len(ids)
                 continue
-            keys = queries.rule.document_keys(vectors.astype(np.float64))
             for tile in _tiles(len(queries), len(ids)):
                 mine[tile] += np.count_nonzero(queries.candidates(tile, keys), axis=1)
     for shard, counts in scored.items():
@@ -252,9 +263,10 @@ def load_queries(
     return QuerySet(frame, dim, shared, max_broadcast_bytes)
 
 
-def _doc_columns(docs: DataFrame, by_shard: bool) -> DataFrame:
+def _doc_columns(docs: DataFrame, by_shard: bool, rule) -> DataFrame:
     shard = F.col("shard") if by_shard and "shard" in docs.columns else F.lit(0)
-    return docs.select("id", shard.cast("int").alias("shard"), "embedding")
+    cell = ["cell"] if isinstance(rule, NearestCells) and "cell" in docs.columns else []
+    return docs.select("id", shard.cast("int").alias("shard"), "embedding", *cell)
 
 
 def _scan(
@@ -268,7 +280,7 @@ def _scan(
     by_shard: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    docs = _doc_columns(docs, by_shard)
+    docs = _doc_columns(docs, by_shard, rule)
     if not isinstance(queries, QuerySet):
         queries = load_queries(queries, dim, max_broadcast_bytes)
     if queries.shared is None:
@@ -420,6 +432,40 @@ def lookups_saved(
     )
 
 
+def assign_cells(docs: DataFrame, rule: NearestCells) -> DataFrame:
+    """Add ``cell``, the number of the nearest centroid."""
+
+    @arrow_udf(LongType())
+    def nearest(column: pa.Array) -> pa.Array:
+        vectors = _matrix(column, rule.centroids.shape[1]).astype(np.float64)
+        return pa.array(rule.document_keys(vectors)[0], pa.int64())
+
+    return docs.withColumn("cell", nearest("embedding"))
+
+
+def write_cells(
+    docs: DataFrame, rule: NearestCells, path: str, files_per_cell: int = 1, mode: str = "error"
+) -> None:
+    """Store documents by cell, so that a search reads only the cells it visits.
+
+    A cell is spread over ``files_per_cell`` tasks by id, however large it is.
+    """
+    salted = assign_cells(docs, rule).withColumn(
+        "_file", F.pmod(F.xxhash64("id"), F.lit(files_per_cell))
+    )
+    placed = salted.repartition("cell", "_file").drop("_file")
+    placed.write.mode(mode).partitionBy("cell").parquet(path)
+
+
+def visited_cells(stored: DataFrame, queries: QuerySet, rule: NearestCells) -> DataFrame:
+    """The part of a cell table that at least one query visits; pruned by directory."""
+    if queries.shared is None:
+        return stored
+    block = QueryBlock(queries.shared.value, queries.dim, rule)
+    visited = np.flatnonzero(block.keys.any(axis=1))
+    return stored.where(F.col("cell").isin([int(c) for c in visited]))
+
+
 def with_text(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Hits with the text of the document they point to."""
     return hits.join(chunks.withColumnRenamed(id_col, "id"), "id")

@@ -81,6 +81,15 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_approximate(spark, sf_dir, TOP, cells(spark, sf_dir)), "qid")
 
 
+def knn_ivf_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over documents stored by cell, reading visited cells only."""
+    rule, path = cells(spark, sf_dir), scratch_path(spark, "cells")
+    search.write_cells(vectors(spark, sf_dir).select("id", "embedding"), rule, path)
+    asked = _asked(spark, sf_dir)
+    stored = search.visited_cells(spark.read.parquet(path), asked, rule)
+    return _shown(search.top_k(stored, asked, TOP, DIM, rule), "qid")
+
+
 def knn_floor_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharded(spark, sf_dir)
     return _shown(search.floor_pruned_top_k(docs, queries(spark, sf_dir), TOP, DIM), "qid")
@@ -252,6 +261,7 @@ QUERIES = {
     "knn_multi_k": knn_multi_k,
     "knn_lsh": knn_lsh,
     "knn_ivf": knn_ivf,
+    "knn_ivf_stored": knn_ivf_stored,
     "knn_floor_pruned": knn_floor_pruned,
     "lookups_saved": lookups_saved,
     "knn_overlap": knn_overlap,

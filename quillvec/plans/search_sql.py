@@ -111,6 +111,10 @@ PLAIN_TOP = f"""
 WITH {SCORED}, {ranked('exact', 'scored', 10)}
 SELECT qid, rank, id, s + 0.0 AS score FROM exact"""
 
+CELL_TOP = f"""
+WITH {SCORED}, {CELL_CANDIDATES}, {ranked('hits', 'cell_scored', 10)}
+SELECT qid, rank, id, s + 0.0 AS score FROM hits"""
+
 ORACLES = {
     "knn_exact": PLAIN_TOP,
     "knn_per_shard": f"""
@@ -124,9 +128,8 @@ FROM exact JOIN {KS_TABLE} ON rank <= k""",
     "knn_lsh": f"""
 WITH {SCORED}, {HASH_CANDIDATES}, {ranked('hits', 'hash_scored', 10)}
 SELECT qid, rank, id, s + 0.0 AS score FROM hits""",
-    "knn_ivf": f"""
-WITH {SCORED}, {CELL_CANDIDATES}, {ranked('hits', 'cell_scored', 10)}
-SELECT qid, rank, id, s + 0.0 AS score FROM hits""",
+    "knn_ivf": CELL_TOP,
+    "knn_ivf_stored": CELL_TOP,
     "knn_floor_pruned": PLAIN_TOP,
     "lookups_saved": f"""
 WITH {SCORED}, {HASH_CANDIDATES},

@@ -130,6 +130,20 @@ def test_cell_candidates(matrix, docs, asked):
     assert ids(search.top_k(docs, asked, 10, DIM, NearestCells(centroids, 4))) == brute(matrix, 10)
 
 
+def test_stored_cells_are_read_only_where_visited(spark, matrix, docs, tmp_path):
+    rule = NearestCells(matrix[[1, 50, 100, 200]], 1)
+    path = str(tmp_path / "cells")
+    search.write_cells(docs, rule, path, files_per_cell=3)
+    stored = spark.read.parquet(path)
+    few = search.load_queries(search.query_set(docs, 2), DIM)
+    part = search.visited_cells(stored, few, rule)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell#" in plan.replace("isnotnull(", "")
+    assert part.count() < N
+    hits = search.top_k(part, few, 10, DIM, rule)
+    assert ids(hits) == ids(search.top_k(docs, few, 10, DIM, rule))
+
+
 def test_wrong_dimension_fails(docs, asked):
     with pytest.raises(Exception, match="values"):
         search.top_k(docs, asked, 3, DIM + 1).collect()
