@@ -17,7 +17,9 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = f"[{WHITESPACE}]"
-WORD = r"[\p{L}\p{N}_]"
+# U+10400 is a letter already; naming it makes Java look behind by code points, not
+# by UTF-16 units, so letters outside the basic plane count as one as well.
+WORD = "[\\p{L}\\p{N}_\U00010400]"
 # A sentence ends at white space after . ? or !, but not after "e.g." or "Mr."
 # The cheap test for the mark comes first; the others only run where it holds.
 SENTENCE_BOUNDARY = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillvec.operators import quality, search
 from quillvec.operators.candidates import HyperplaneHash, NearestCells
 from quillvec.operators.embedding import centroid_matrix, mean_pool
+from quillvec.operators.evaluation import evaluate
 from quillvec.operators.sharding import assign_even
 from quillvec.plans.tables import (
     DIM,
@@ -124,10 +125,7 @@ def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str, asked: search.QuerySet, rule=None) -> DataFrame:
-    docs = sharded(spark, sf_dir)
-    saved = search.lookups_saved(docs, asked, DIM, SHARDS, rule or lsh())
-    per_query = _per_query(spark, sf_dir, asked, rule)
-    return quality.search_report(per_query, saved, docs.count(), SHARDS)
+    return evaluate(sharded(spark, sf_dir), asked, KS, SHARDS, rule or lsh()).report
 
 
 def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:

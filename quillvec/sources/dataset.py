@@ -1,16 +1,24 @@
-"""Write a complete vector dataset: documents, queries and manifest."""
+"""Whole vector datasets: writing, cutting into shards, removing duplicates."""
 
 from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillvec.operators.dedup import dedup_vectors
 from quillvec.operators.search import DEFAULT_QUERIES, query_set
-from quillvec.operators.sharding import assign_even, shard_sizes
-from quillvec.sources.manifest import build_manifest, is_complete, write_manifest
-from quillvec.sources.vecfile import write_vec
+from quillvec.operators.sharding import assign_even, regroup, shard_sizes
+from quillvec.session import scratch_path
+from quillvec.sources.manifest import (
+    build_manifest,
+    is_complete,
+    read_manifest,
+    validate_dataset,
+    write_manifest,
+)
+from quillvec.sources.vecfile import read_vec, write_vec
 
 DEFAULT_SHARDS = 16
 
@@ -50,3 +58,41 @@ def write_queries(queries: DataFrame, path: str, dim: int) -> None:
 
 def queries_path(path: str) -> str:
     return posixpath.join(path, "queries.vec")
+
+
+def build_shards(spark: SparkSession, path: str, shards: int) -> DataFrame:
+    """``(id, shard, embedding)`` of a dataset, cut for searching.
+
+    A dataset of several files has neighbouring files joined, so ``shards`` must
+    divide their number; a single file is split evenly. The row count must be
+    the manifest's. Store the result with ``partitionBy("shard")``.
+    """
+    validate_dataset(spark, path)
+    row = read_manifest(spark, path).select("dim", "num_docs", "num_shards").first()
+    docs = read_vec(spark, path, row["dim"])
+    if (row["num_shards"] or 1) > 1:
+        return regroup(docs, row["num_shards"], shards)
+    return assign_even(docs, shards, total=row["num_docs"])
+
+
+def dedup_dataset(spark: SparkSession, path: str, out: str) -> None:
+    """Write the dataset without duplicate vectors to ``out``; the input stays as it is.
+
+    First copies keep their order, are numbered anew and split into as many
+    shards as before. Queries are again the first vectors, so that query numbers
+    and document ids still agree.
+    """
+    row = read_manifest(spark, path).first().asDict()
+    shards = row["num_shards"] or 1
+    unique = scratch_path(spark, "unique")
+    kept = dedup_vectors(read_vec(spark, path, row["dim"]).drop("shard"), shards)
+    kept.select(F.col("new_id").alias("id"), "embedding").write.parquet(unique)
+    fields = ("source", "source_path", "granularity", "model_name", "created_at", "dataset_name")
+    write_dataset(
+        spark.read.parquet(unique),
+        out,
+        row["dim"],
+        shards,
+        row["num_query_vectors"],
+        **{f: row[f] for f in fields},
+    )

@@ -2,7 +2,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from quillvec.operators import quality
+from quillvec.operators import quality, search
+from quillvec.operators.candidates import HyperplaneHash
+from quillvec.operators.evaluation import evaluate
+from quillvec.plans.tables import sharded
 
 
 def ranking(spark, rows):
@@ -88,3 +91,18 @@ def test_progress(spark):
     assert (rows["a", 0].vectors_per_s, rows["a", 0].eta_s) == (500.0, 0.6)
     assert rows["a", 1].percent == 100.0 and rows["a", 1].eta_s == 0.0
     assert rows["b", 0].vectors_per_s == 0.0 and rows["b", 1].vectors_done == 20
+
+
+def test_evaluation_in_one_call(spark, sf_dir):
+    docs = sharded(spark, sf_dir)
+    asked = search.load_queries(search.query_set(docs), 64)
+    exact = evaluate(docs, asked, (5, 1000), 8, max_queries=20)
+    rows = {r.k: r for r in exact.report.collect()}
+    assert {r.merged_recall for r in rows.values()} == {1.0}  # K beyond the data as well
+    assert rows[5].num_queries == 20 and rows[5].lookups_saved == 0
+    assert exact.dump((5, 1000)).count() == 40
+    log = spark.createDataFrame([(5, q, s, q + s, 1, 50) for q in range(3) for s in range(2)], LOG)
+    line = quality.summary_lines(
+        evaluate(docs, asked, (5,), 8, HyperplaneHash(2, 4, 64), 20, log).report, "set"
+    ).first().line.split("\t")
+    assert line[3:6] == ["2", "1.5", "0.5"] and int(line[7]) > 0

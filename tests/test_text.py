@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,25 @@ def test_edges_agree_with_sql(edges, duck, granularity, options, oracle):
     assert found == sorted(wanted.itertuples(index=False, name=None))
 
 
+def test_random_texts_agree_with_sql(spark):
+    rng = random.Random(3)
+    bits = ["Mr.", "e.g.", "U.S.", "Dr. ", "word", "Été", "ñandú", "9.5", "a_b.c.", "日本。", "?", "!",
+            ".", "...", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\u00a0", "\u2003", "\x1d", "\u0085", ",",
+            "Zx.", "zX.", "\U0001d538.", "x" * 90, "long words here and there " * 9]
+    made = [(i, "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 90))))
+            for i in range(400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", made)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    for granularity, oracle in (("sentence", "chunk_sentences"), ("paragraph", "chunk_paragraphs")):
+        wanted = con.execute(corpus_sql.ORACLES[oracle]).df()[["doc_id", "pos", "text"]]
+        assert rows(chunk(df, granularity)) == sorted(wanted.itertuples(index=False, name=None))
+    pieces = df.select("doc_id", F.posexplode(T.wrap(T.strip(F.col("text")))).alias("pos", "text"))
+    wanted = con.execute(corpus_sql.ORACLES["chunk_wrap"]).df()[["doc_id", "pos", "text"]]
+    assert rows(pieces) == sorted(wanted.itertuples(index=False, name=None))
+
+
 def sentences_of(spark, text, **kw):
     return spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t"), **kw)).first()[0]
 

@@ -5,8 +5,13 @@ import numpy as np
 import pytest
 
 from quillvec.operators.sharding import assign_even
-from quillvec.sources.dataset import write_dataset
-from quillvec.sources.manifest import is_complete, resolve_dataset, validate_dataset
+from quillvec.sources.dataset import build_shards, dedup_dataset, write_dataset
+from quillvec.sources.manifest import (
+    is_complete,
+    read_manifest,
+    resolve_dataset,
+    validate_dataset,
+)
 from quillvec.sources.vecfile import dataset_files, read_vec, write_vec
 
 DIM = 16
@@ -113,3 +118,30 @@ def test_single_file_dataset(spark, mock, tmp_path):
     assert row.output_docs_vec == "data/embeddings/one/docs.vec"
     with pytest.raises(ValueError, match="not found"):
         resolve_dataset(spark, "two", str(tmp_path))
+
+
+def test_shards_for_searching(spark, mock, tmp_path):
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    write_dataset(mock, many, DIM, shards=4, **FIELDS)
+    write_dataset(mock, one, DIM, shards=1, **FIELDS)
+    for path, sizes in ((many, [502, 501]), (one, [502, 501])):
+        docs = build_shards(spark, path, 2)
+        counts = {r.shard: (r["count"], r.first) for r in
+                  docs.groupBy("shard").agg({"*": "count", "id": "min"})
+                  .toDF("shard", "count", "first").collect()}
+        assert counts == {0: (sizes[0], 0), 1: (sizes[1], sizes[0])}
+    with pytest.raises(ValueError):
+        build_shards(spark, many, 3)
+
+
+def test_dataset_without_duplicates(spark, mock, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    doubled = mock.union(mock.selectExpr("id + 1003 AS id", "embedding"))
+    write_dataset(doubled, path, DIM, shards=3, num_queries=1500, **FIELDS)
+    dedup_dataset(spark, path, out)
+    row = read_manifest(spark, out).first()
+    assert row.num_docs == 1003 and row.shard_sizes == [335, 334, 334]
+    assert row.num_query_vectors == 1003
+    parts = [on_disk(f"{out}/docs-shard-{i}.vec") for i in range(3)]
+    assert np.array_equal(np.concatenate(parts), expected(1003))
+    assert read_manifest(spark, path).first().num_docs == 2006
