@@ -38,17 +38,22 @@ def evaluate(
 
     Shards are searched each for the full K and merged; the exact side ignores
     them. Hits, truth and savings are one scan of the documents each, whatever
-    the number of Ks.
+    the number of Ks. Large document sets are searched with a score floor, which
+    leaves the results as they are.
     """
     k, dim = max(ks), queries.dim
     if max_queries is not None:
         some = queries.frame.where(F.col("qid") < max_queries)
         queries = search.load_queries(some, dim, queries.max_broadcast_bytes)
-    per_shard = search.per_shard_top_k(docs, queries, k, dim, rule)
-    hits = search.merge_top_k(per_shard, k)
-    exact = search.top_k(docs, queries, k, dim)
+    n = docs.count() if total is None else total
+    if n >= search.FLOOR_FROM_ROWS:
+        part = search.floor_part(docs, n)
+        hits = search.floor_pruned_top_k(docs, queries, k, dim, rule, part)
+        exact = search.floor_pruned_top_k(docs, queries, k, dim, floor_docs=part)
+    else:
+        hits = search.merge_top_k(search.per_shard_top_k(docs, queries, k, dim, rule), k)
+        exact = search.top_k(docs, queries, k, dim)
     per_query = quality.overlaps(hits, exact, queries.frame, ks)
     saved = search.lookups_saved(docs, queries, dim, shards, rule)
-    n = docs.count() if total is None else total
     report = quality.search_report(per_query, saved, n, shards, run_log)
     return Evaluation(hits, per_query, saved, report)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ TILE_CELLS = 4 << 20  # scores computed at a time inside a task
 PAIR_CELLS = 1 << 18  # vector values gathered at a time; fits a core's cache
 HELD_ROWS = 8 << 20  # hits a task may hold before it hands them on
 SALT_FROM_PARTITIONS = 64
+ROWS_PER_TASK = 32_768  # about 128 MB of vectors at 1024 dimensions
+FLOOR_FROM_ROWS = 10_000_000  # documents from which a floor repays its own search
 
 _LOWEST = -np.finfo(np.float64).max
 
@@ -214,9 +217,13 @@ def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iter
             if mine.rows > settle_from:
                 mine.settle()
         if sum(b.rows for b in best.values()) > HELD_ROWS:
-            for shard, b in best.items():
-                yield _hit_batch(queries, shard, b)
-            best = {}
+            for b in best.values():
+                b.settle()
+            # One shard's best K always fit, see _scan; only several may not.
+            if sum(b.rows for b in best.values()) > HELD_ROWS:
+                for shard, b in best.items():
+                    yield _hit_batch(queries, shard, b)
+                best = {}
     for shard, b in best.items():
         yield _hit_batch(queries, shard, b)
 
@@ -287,10 +294,18 @@ def _scan(
         return _grid(docs, queries, k, rule, body, schema)
     shared = queries.shared
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return body(batches, QueryBlock(shared.value, dim, rule), k, dim)
+    def scan_for(start: int, count: int) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return body(batches, QueryBlock(shared.value.slice(start, count), dim, rule), k, dim)
 
-    return docs.mapInArrow(scan, schema)
+        return docs.mapInArrow(scan, schema)
+
+    # A task holds K hits per query. Where that is too much for all queries at
+    # once, the documents are scanned once per group of queries; reading again
+    # costs little next to the arithmetic, which stays the same.
+    group = max(1, HELD_ROWS // (2 * k))
+    starts = range(0, max(1, shared.value.num_rows), group)
+    return reduce(DataFrame.unionByName, (scan_for(start, group) for start in starts))
 
 
 def _grid(docs: DataFrame, asked: QuerySet, k: int, rule, body, schema: str) -> DataFrame:
@@ -401,16 +416,36 @@ def kth_scores(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def floor_pruned_top_k(
-    docs: DataFrame, queries: DataFrame, k: int, dim: int, floor_shard: int = 0, **options
+    docs: DataFrame,
+    queries: DataFrame | QuerySet,
+    k: int,
+    dim: int,
+    rule=None,
+    floor_docs: DataFrame | None = None,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Same answer as :func:`top_k`, with a shared score floor.
 
-    One shard is searched first. Its K-th score travels with the queries, and the
-    scan of the others drops what scores below it before anything is shuffled.
+    A part of the documents, by default shard 0, is searched first. No final hit
+    can score below the K-th score found there, so that score travels with the
+    queries and the scan of everything drops what is lower before any shuffle.
     """
-    first = top_k(docs.where(F.col("shard") == floor_shard), queries, k, dim, **options)
+    if isinstance(queries, QuerySet):
+        queries, max_broadcast_bytes = queries.frame, queries.max_broadcast_bytes
+    part = docs.where(F.col("shard") == 0) if floor_docs is None else floor_docs
+    options = {"max_broadcast_bytes": max_broadcast_bytes}
+    first = top_k(part, queries, k, dim, rule, **options)
     with_floor = queries.join(kth_scores(first, k), "qid", "left")
-    return top_k(docs, with_floor, k, dim, **options)
+    return top_k(docs, with_floor, k, dim, rule, **options)
+
+
+def floor_part(docs: DataFrame, total: int) -> DataFrame:
+    """A part of densely numbered documents whose K-th scores make good floors.
+
+    Its size balances the hits this part hands on against those the floor lets
+    through afterwards: the square root of documents times documents per task.
+    """
+    return docs.where(F.col("id") < math.isqrt(total * ROWS_PER_TASK))
 
 
 def scored_counts(

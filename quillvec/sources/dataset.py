@@ -21,25 +21,35 @@ from quillvec.sources.manifest import (
 from quillvec.sources.vecfile import read_vec, write_vec
 
 DEFAULT_SHARDS = 16
+SHARD_BYTES = 1 << 30
+
+
+def fitting_shards(rows: int, dim: int) -> int:
+    """A multiple of 16, so that regrouping stays possible, with shards of about a gigabyte."""
+    files = -(-rows * dim * 4 // SHARD_BYTES)
+    return DEFAULT_SHARDS * max(1, -(-files // DEFAULT_SHARDS))
 
 
 def write_dataset(
     vectors: DataFrame,
     path: str,
     dim: int,
-    shards: int = DEFAULT_SHARDS,
+    shards: int | None = None,
     num_queries: int = DEFAULT_QUERIES,
     skip_complete: bool = True,
     **manifest_fields,
 ) -> None:
     """``vectors`` is ``(id, embedding)`` with dense ids, best read from a table.
 
+    One task writes one shard; without a number given, it follows from the size.
     The query file holds the first ``num_queries`` vectors. The manifest comes
     last, so a dataset that has one is whole; such a dataset is left alone.
     """
     if skip_complete and is_complete(path):
         return
-    docs = assign_even(vectors.select("id", "embedding"), shards)
+    total = vectors.count()
+    shards = fitting_shards(total, dim) if shards is None else shards
+    docs = assign_even(vectors.select("id", "embedding"), shards, total=total)
     write_vec(docs, path, dim, shards)
     queries = query_set(docs, num_queries).select(
         F.col("qid").alias("id"), F.lit(0).alias("shard"), "embedding"

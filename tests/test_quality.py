@@ -93,6 +93,21 @@ def test_progress(spark):
     assert rows["b", 0].vectors_per_s == 0.0 and rows["b", 1].vectors_done == 20
 
 
+def test_evaluation_with_floors_is_the_same(spark, sf_dir, monkeypatch):
+    docs = sharded(spark, sf_dir)
+    asked = search.load_queries(search.query_set(docs, 50), 64)
+    run = lambda: evaluate(docs, asked, (5, 20), 8, HyperplaneHash(4, 4, 64))
+    plain = run()
+    monkeypatch.setattr(search, "FLOOR_FROM_ROWS", 10)
+    monkeypatch.setattr(search, "ROWS_PER_TASK", 30)
+    floored = run()
+    key = lambda r: (r.qid, r["rank"])
+    rows = [[(r.qid, r["rank"], r.id, r.score) for r in sorted(e.hits.collect(), key=key)]
+            for e in (plain, floored)]
+    assert rows[0] == rows[1]
+    assert sorted(plain.report.collect()) == sorted(floored.report.collect())
+
+
 def test_evaluation_in_one_call(spark, sf_dir):
     docs = sharded(spark, sf_dir)
     asked = search.load_queries(search.query_set(docs), 64)

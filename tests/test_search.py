@@ -73,6 +73,13 @@ def test_small_tiles_and_early_hand_over(spark, matrix, docs, asked, monkeypatch
     assert ids(search.top_k(docs, asked, 10, DIM)) == brute(matrix, 10)
 
 
+def test_queries_scanned_in_groups(matrix, docs, asked, monkeypatch):
+    monkeypatch.setattr(search, "HELD_ROWS", 500)  # 25 queries at K = 10
+    hits = search.shard_hits(docs, asked, 10, DIM)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+    assert ids(search.best_k(hits, 10)) == brute(matrix, 10)
+
+
 def test_merge_of_full_shard_results_is_exact(matrix, docs, asked):
     per_shard = search.per_shard_top_k(docs, asked, 10, DIM)
     assert per_shard.groupBy("qid", "shard").count().where("count <> 10").count() == 0
@@ -92,6 +99,10 @@ def test_salted_merge(spark, matrix, docs, asked):
 
 def test_floor_pruning_changes_nothing_but_the_rows_shuffled(matrix, docs, asked):
     assert ids(search.floor_pruned_top_k(docs, asked, 10, DIM)) == brute(matrix, 10)
+    hashed = HyperplaneHash(4, 5, DIM)
+    assert ids(search.floor_pruned_top_k(docs, asked, 10, DIM, hashed)) == ids(
+        search.top_k(docs, asked, 10, DIM, hashed)
+    )
     # A floor shard with fewer than K rows gives no floor.
     assert ids(search.floor_pruned_top_k(docs, asked, 90, DIM)) == brute(matrix, 90)
     floors = search.kth_scores(search.top_k(docs.where("shard = 0"), asked, 10, DIM), 10)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quillvec.operators.sharding import assign_even
-from quillvec.sources.dataset import build_shards, dedup_dataset, write_dataset
+from quillvec.sources.dataset import build_shards, dedup_dataset, fitting_shards, write_dataset
 from quillvec.sources.manifest import (
     is_complete,
     read_manifest,
@@ -145,3 +145,9 @@ def test_dataset_without_duplicates(spark, mock, tmp_path):
     parts = [on_disk(f"{out}/docs-shard-{i}.vec") for i in range(3)]
     assert np.array_equal(np.concatenate(parts), expected(1003))
     assert read_manifest(spark, path).first().num_docs == 2006
+
+
+def test_shards_grow_with_the_data():
+    assert fitting_shards(1000, 1024) == 16
+    assert fitting_shards(25_000_000_000, 1024) % 16 == 0
+    assert fitting_shards(25_000_000_000, 1024) >= 25_000_000_000 * 4096 / 2**30
