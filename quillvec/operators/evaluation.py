@@ -36,10 +36,10 @@ def evaluate(
 ) -> Evaluation:
     """Search ``docs(id, shard, embedding)`` and compare with exact results.
 
-    Shards are searched each for the full K and merged; the exact side ignores
-    them. Hits, truth and savings are one scan of the documents each, whatever
-    the number of Ks. Large document sets are searched with a score floor, which
-    leaves the results as they are.
+    Hits, truth and savings are one scan of the documents each, whatever the
+    number of Ks. The hits are those of full-K searches of every shard, merged,
+    which needs no ranking per shard. Large document sets are searched with a
+    score floor, which leaves the results as they are.
     """
     k, dim = max(ks), queries.dim
     if max_queries is not None:
@@ -51,7 +51,7 @@ def evaluate(
         hits = search.floor_pruned_top_k(docs, queries, k, dim, rule, part)
         exact = search.floor_pruned_top_k(docs, queries, k, dim, floor_docs=part)
     else:
-        hits = search.merge_top_k(search.per_shard_top_k(docs, queries, k, dim, rule), k)
+        hits = search.top_k(docs, queries, k, dim, rule)
         exact = search.top_k(docs, queries, k, dim)
     per_query = quality.overlaps(hits, exact, queries.frame, ks)
     saved = search.lookups_saved(docs, queries, dim, shards, rule)
