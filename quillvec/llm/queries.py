@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.llm import exact_dedup, packing, quality_rules, sharding
+from quillvec.llm import exact_dedup, packing, quality_rules, sharding, shingle_join
 from quillvec.llm.common import table
 
 
@@ -50,7 +50,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op4_sharding, op6_quality_rules, op8_exact_dedup)
+    for f in (op1_packing, op4_sharding, op6_quality_rules, op8_exact_dedup, op9_shingle_join)
 }
