@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.llm import exact_dedup, packing, quality_rules, sharding, shingle_join
+from quillvec.llm import (
+    exact_dedup,
+    packing,
+    private_spans,
+    quality_rules,
+    sharding,
+    shingle_join,
+    suffix_dedup,
+)
 from quillvec.llm.common import table
 
 
@@ -21,6 +29,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -33,6 +45,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans.digest(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(f"n_{k}" for k in private_spans.KINDS), "base_sha256", "spans"
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -56,5 +74,13 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op4_sharding, op6_quality_rules, op8_exact_dedup, op9_shingle_join)
+    for f in (
+        op1_packing,
+        op2_suffix_dedup,
+        op4_sharding,
+        op5_private_spans,
+        op6_quality_rules,
+        op8_exact_dedup,
+        op9_shingle_join,
+    )
 }
