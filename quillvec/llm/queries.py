@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quillvec.llm import (
     exact_dedup,
+    language_id,
     packing,
     private_spans,
     quality_rules,
+    sampled_pieces,
     sharding,
     shingle_join,
+    site_tree,
     suffix_dedup,
 )
 from quillvec.llm.common import table
@@ -33,6 +36,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -64,6 +72,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -72,15 +84,35 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of ``conversations``; ``round_trip`` says whether the ids decode to the text."""
+    turns = table(spark, sf_dir, "conversations")
+    keys = ["conv_id", "turn", "role", "text"]
+    return sampled_pieces.encode(turns, keys).select(
+        "conv_id",
+        "turn",
+        "sample",
+        "ids",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "log_prob",
+        "perturbed",
+        "inclusion",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing,
         op2_suffix_dedup,
+        op3_language_id,
         op4_sharding,
         op5_private_spans,
         op6_quality_rules,
+        op7_site_tree,
         op8_exact_dedup,
         op9_shingle_join,
+        op10_sampled_pieces,
     )
 }
