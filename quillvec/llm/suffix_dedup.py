@@ -47,6 +47,10 @@ GRAM = 40
 SPREAD = WIDTH - GRAM + 1
 #: Bytes of text, and entries, that a task packs together before it sends them.
 PACK = 4 << 20
+#: Buckets per task; a task holds the data of one bucket at a time.
+FINE = 6
+#: Strings of different segments that are sorted at a time.
+SORTED = 1 << 16
 LAST = (1 << 63) - 1
 PACKED = "bucket int, kind int, data binary"
 
@@ -59,9 +63,12 @@ def _bucket(key: int, buckets: int) -> int:
     return (key >> 17) % buckets
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: anchor hashes, the first string start of each, and the number of its strings."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per text: anchor hashes, the first string start of each, how many strings, the anchor's place.
+
+    The place counts from the first string start.
+    """
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     for start, end in chunks(texts, 1 << 19):
         part = texts[start:end]
         data = np.frombuffer(b"".join(part), dtype=np.uint8)
@@ -86,7 +93,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
             else:
                 mine = at[begin : begin + count]
                 first = np.flatnonzero(np.diff(mine, prepend=-1))
-                yield hashes[mine[first]], first, np.diff(first, append=count)
+                lead = mine[first] - begin - first
+                yield hashes[mine[first]], first, np.diff(first, append=count), lead
             begin += len(text)
 
 
@@ -142,12 +150,12 @@ def _parted(data: bytes, n: int) -> list[bytes]:
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """``key, anchor``: the anchors of each text that stand in two places."""
-    buckets = partitions(docs)
+    buckets = FINE * partitions(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _texts(batches):
             keys = np.array([k for k, _ in pack], dtype=np.int64)
-            found = [h for h, _, _ in anchors([t for _, t in pack])]
+            found = [h for h, *_ in anchors([t for _, t in pack])]
             owner = np.repeat(np.arange(len(pack), dtype=np.uint32), [len(h) for h in found])
             hashes = np.concatenate(found)
             bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
@@ -158,31 +166,28 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             yield _rows(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys = [], []
-        for batch in batches:
-            for data in batch.column("data"):
-                h, k, place = _parted(data.as_py(), 3)
+        for rows in _by_bucket(batches):
+            hashes, keys = [], []
+            for _, data in rows:
+                h, k, place = _parted(data, 3)
                 hashes.append(np.frombuffer(h, dtype=np.uint64))
                 keys.append(np.frombuffer(k, dtype=np.int64)[np.frombuffer(place, dtype="<u4")])
-        if not hashes:
-            return
-        anchor, key = np.concatenate(hashes), np.concatenate(keys)
-        del hashes, keys
-        order = np.argsort(anchor, kind="stable")
-        anchor, key = anchor[order], key[order]
-        same = anchor[1:] == anchor[:-1]
-        often = np.zeros(len(anchor), dtype=bool)
-        often[1:] |= same
-        often[:-1] |= same
-        anchor, key = anchor[often].view(np.int64), key[often]
-        for at in range(0, len(anchor), 1 << 16):
-            yield pa.record_batch(
-                [pa.array(key[at : at + (1 << 16)]), pa.array(anchor[at : at + (1 << 16)])],
-                names=["key", "anchor"],
-            )
+            anchor, key = np.concatenate(hashes), np.concatenate(keys)
+            order = np.argsort(anchor, kind="stable")
+            anchor, key = anchor[order], key[order]
+            same = anchor[1:] == anchor[:-1]
+            often = np.zeros(len(anchor), dtype=bool)
+            often[1:] |= same
+            often[:-1] |= same
+            anchor, key = anchor[often].view(np.int64), key[often]
+            for at in range(0, len(anchor), 1 << 16):
+                yield pa.record_batch(
+                    [pa.array(key[at : at + (1 << 16)]), pa.array(anchor[at : at + (1 << 16)])],
+                    names=["key", "anchor"],
+                )
 
     sent = docs.mapInArrow(send, PACKED)
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "key long, anchor long")
+    return _dealt(sent, buckets).mapInArrow(meet, "key long, anchor long")
 
 
 def packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -231,17 +236,30 @@ def packed_arrays(rows: DataFrame, buckets: int, columns: list[str]) -> DataFram
     return rows.select(*columns).mapInArrow(send, PACKED)
 
 
-def _read(
-    batches: Iterator[pa.RecordBatch], width: int
-) -> tuple[list[bytes], list[np.ndarray]]:
-    """The packed texts of a task, still compressed, and its arrays sorted by key."""
-    packs, parts = [], []
+def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
+    """Each bucket in one task, which meets its buckets one after the other."""
+    return packed.repartition(-(-buckets // FINE), "bucket").sortWithinPartitions("bucket")
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    """The ``(kind, data)`` rows of each bucket of a task."""
+    here, rows = None, []
     for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-            if kind:
-                parts.append([np.frombuffer(p, np.int64) for p in _parted(data.as_py(), width)])
-            else:
-                packs.append(data.as_py())
+        columns = batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")
+        for bucket, kind, data in zip(*columns, strict=True):
+            if bucket != here and rows:
+                yield rows
+                rows = []
+            here = bucket
+            rows.append((kind, data.as_py()))
+    if rows:
+        yield rows
+
+
+def _read(rows: list[tuple[int, bytes]], width: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """The packed texts of a bucket, still compressed, and its arrays sorted by key."""
+    packs = [data for kind, data in rows if not kind]
+    parts = [[np.frombuffer(p, np.int64) for p in _parted(data, width)] for kind, data in rows if kind]
     columns = [
         np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)
         for c in range(width)
@@ -262,8 +280,12 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            yield from cut_bucket(rows)
+
+    def cut_bucket(found_rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        packs, (keys, firsts, marked) = _read(batches, 3)
+        packs, (keys, firsts, marked) = _read(found_rows, 3)
         first_of: dict[bytes, tuple] = {}
         seen: set[int] = set()
         gone: list[tuple[int, int, int]] = []
@@ -277,7 +299,9 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
                 bucket = ((anchor.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
                 for b, (place,) in _split(bucket, np.arange(len(cells))):
                     own = [cells[i] for i in place.tolist()]
-                    heads = np.array([(c[1][3], c[1][0], c[1][1], c[1][2], c[1][4], len(c[0])) for c in own], dtype=np.int64)
+                    heads = np.array(
+                        [(c[1][3], *c[1][:3], *c[1][4:], len(c[0])) for c in own], dtype=np.int64
+                    )
                     rows.append((b, 0, squeeze.compress(_joined(heads.tobytes(), b"".join(c[0] for c in own)))))
             if gone:
                 table = np.array(gone, dtype=np.int64)
@@ -296,13 +320,13 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
                     seen.add(key)
                     wanted.append((key, text, own))
             found = anchors([t for _, t, _ in wanted])
-            for (key, text, own), (hashes, starts, counts) in zip(wanted, found, strict=True):
+            for (key, text, own), (hashes, starts, counts, leads) in zip(wanted, found, strict=True):
                 mine = np.isin(hashes.view(np.int64), marked[own])
                 doc = int(firsts[own.start])
-                columns = (hashes[mine].view(np.int64), starts[mine], counts[mine])
-                for anchor, start, count in zip(*(c.tolist() for c in columns), strict=True):
+                columns = (hashes[mine].view(np.int64), starts[mine], counts[mine], leads[mine])
+                for anchor, start, count, lead in zip(*(c.tolist() for c in columns), strict=True):
                     piece = text[start : start + count + WIDTH - 1]
-                    new = (doc, key, start, anchor, count)
+                    new = (doc, key, start, anchor, count, lead)
                     old = first_of.get(piece)
                     if old is None:
                         first_of[piece] = new
@@ -318,7 +342,7 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
         yield flush()
 
     both = texts.union(packed_arrays(marks, buckets, ["key", "first", "anchor"]))
-    return both.repartition(buckets, "bucket").mapInArrow(cut, PACKED)
+    return _dealt(both, buckets).mapInArrow(cut, PACKED)
 
 
 def longest_previous(order: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -346,17 +370,40 @@ def longest_previous(order: np.ndarray, common: np.ndarray) -> np.ndarray:
 def _settle(cells: list[tuple], texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
     """``key, start, strings`` that go, from the different segments at one anchor.
 
-    A cell is ``(doc, key, start, strings)``; strings are judged by their bytes.
+    A cell is ``(doc, key, start, strings, lead)``, in order of the first three.
+    Equal strings have the anchor at the same place in them, so strings are taken
+    by that place, as many places at a time as fit.
     """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     begins = np.cumsum([0, *(len(t) for t in texts[:-1])])
-    ranked = np.argsort(np.array([(c[0], c[1], c[2]) for c in cells], dtype="i8,i8,i8"))
     counts = np.array([c[3] for c in cells])
-    where = np.concatenate([begins[i] + np.arange(counts[i]) for i in ranked.tolist()])
-    owner = np.repeat(ranked, counts[ranked])
-    # Strings of one text at one anchor may overlap; their order is that of their starts.
-    place = np.arange(len(where))
-    strings = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[where]
+    owner = np.repeat(np.arange(len(cells)), counts)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    lead = np.array([c[4] for c in cells])[owner] - offset
+    longest = np.empty(len(owner), dtype=np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
+    by_lead = np.argsort(lead, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(lead[by_lead])) + 1, len(lead))
+    at = 0
+    while at < len(lead):
+        fits = ends[(ends > at) & (ends <= at + SORTED)]
+        end = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, at, side="right")])
+        place = np.sort(by_lead[at:end])
+        longest[place] = _factors(place, views[begins[owner[place]] + offset[place]])
+        at = end
+    goes = np.flatnonzero(longest >= WIDTH)
+    if not len(goes):
+        return
+    new = np.ones(len(goes), dtype=bool)
+    new[1:] = (owner[goes[1:]] != owner[goes[:-1]]) | (offset[goes[1:]] != offset[goes[:-1]] + 1)
+    runs = np.flatnonzero(new)
+    for r, length in zip(runs.tolist(), np.diff(runs, append=len(goes)).tolist(), strict=True):
+        _, key, start, *_ = cells[owner[goes[r]]]
+        yield key, start + int(offset[goes[r]]), length
+
+
+def _factors(place: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """Longest previous factors, up to ``WIDTH``, of strings given in the order of their places."""
     order = np.argsort(np.ascontiguousarray(strings).view(f"S{WIDTH}").ravel(), kind="stable")
     lined = strings[order]
     differ = lined[1:] != lined[:-1]
@@ -364,55 +411,42 @@ def _settle(cells: list[tuple], texts: list[bytes]) -> Iterator[tuple[int, int,
     common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)
     longest = np.empty(len(order), dtype=np.int64)
     longest[order] = longest_previous(place[order], common)
-    goes = np.flatnonzero(longest >= WIDTH)
-    if not len(goes):
-        return
-    offset = where[goes] - begins[owner[goes]]
-    new = np.ones(len(goes), dtype=bool)
-    new[1:] = (owner[goes[1:]] != owner[goes[:-1]]) | (offset[1:] != offset[:-1] + 1)
-    runs = np.flatnonzero(new)
-    for r, length in zip(runs.tolist(), np.diff(runs, append=len(goes)).tolist(), strict=True):
-        _, key, start, _ = cells[owner[goes[r]]]
-        yield key, start + int(offset[r]), length
+    return longest
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of a range of anchors: those that go, as ``key, start, strings``."""
-    heads, bodies = [], []
-    for batch in batches:
-        for data in batch.column("data"):
-            head, body = _parted(zstandard.ZstdDecompressor().decompress(data.as_py()), 2)
-            heads.append(np.frombuffer(head, np.int64).reshape(-1, 6))
-            bodies.append(body)
-    if not heads:
-        return
-    head = np.concatenate(heads)
-    body = b"".join(bodies)
-    ends = np.cumsum(head[:, 5])
-    order = np.lexsort((head[:, 3], head[:, 2], head[:, 1], head[:, 0]))
+    """All segments of ranges of anchors: those that go, as ``key, start, strings``."""
     gone: list[tuple[int, int, int]] = []
-    cuts = np.flatnonzero(np.diff(head[order, 0])) + 1
 
     def rows() -> pa.RecordBatch:
         table = np.array(gone, dtype=np.int64).reshape(-1, 3)
         gone.clear()
         return pa.record_batch([pa.array(table[:, c]) for c in range(3)], names=["key", "start", "strings"])
 
-    for group in np.split(order, cuts):
-        if len(group) < 2:
-            continue
-        firsts: dict[bytes, tuple] = {}
-        for i in group.tolist():  # in order of doc, key and start
-            _, doc, key, start, count, size = head[i].tolist()
-            piece = body[ends[i] - size : ends[i]]
-            if piece in firsts:
-                gone.append((key, start, count))
-            else:
-                firsts[piece] = (doc, key, start, count)
-        if len(firsts) > 1:
-            gone.extend(_settle(list(firsts.values()), list(firsts)))
-        if len(gone) > 1 << 16:
-            yield rows()
+    for packed in _by_bucket(batches):
+        squeeze = zstandard.ZstdDecompressor()
+        parts = [_parted(squeeze.decompress(data), 2) for _, data in packed]
+        head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 7) for h, _ in parts])
+        body = b"".join(b for _, b in parts)
+        del parts
+        ends = np.cumsum(head[:, 6])
+        order = np.lexsort((head[:, 3], head[:, 2], head[:, 1], head[:, 0]))
+        cuts = np.flatnonzero(np.diff(head[order, 0])) + 1
+        for group in np.split(order, cuts):
+            if len(group) < 2:
+                continue
+            firsts: dict[bytes, tuple] = {}
+            for i in group.tolist():  # in order of doc, key and start
+                _, doc, key, start, count, lead, size = head[i].tolist()
+                piece = body[ends[i] - size : ends[i]]
+                if piece in firsts:
+                    gone.append((key, start, count))
+                else:
+                    firsts[piece] = (doc, key, start, count, lead)
+            if len(firsts) > 1:
+                gone.extend(_settle(list(firsts.values()), list(firsts)))
+            if len(gone) > 1 << 16:
+                yield rows()
     yield rows()
 
 
@@ -420,7 +454,11 @@ def cut_out(texts: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
     """``key, n_removed, n_spans, kept, kept_sha256`` of each text that loses bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs, (keys, starts, counts) = _read(batches, 3)
+        for rows in _by_bucket(batches):
+            yield from cut_bucket(rows)
+
+    def cut_bucket(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        packs, (keys, starts, counts) = _read(rows, 3)
         seen: set[int] = set()
         for data in packs:
             out = []
@@ -451,7 +489,7 @@ def cut_out(texts: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
             )
 
     both = texts.union(gone)
-    return both.repartition(buckets, "bucket").mapInArrow(
+    return _dealt(both, buckets).mapInArrow(
         cut, "key long, n_removed long, n_spans long, removed array<array<long>>, kept_sha256 string"
     )
 
@@ -476,7 +514,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     ``removed`` has the ``[start, end)`` byte ranges that go.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    buckets = partitions(docs)
+    buckets = FINE * partitions(docs)
     thin = pin(docs.mapInArrow(_thin, "doc_id long, key long, n_bytes long, sha string"))
     firsts = thin.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
     marks = repeated_anchors(docs).join(firsts, "key")
@@ -484,8 +522,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # Written, because two stages start from the segments.
     cut = pin(segments(texts, marks, buckets))
     owned = (
-        cut.where("kind = 0")
-        .repartition(buckets, "bucket")
+        _dealt(cut.where("kind = 0"), buckets)
         .mapInArrow(_own, "key long, start long, strings long")
     )
     gone = packed_arrays(owned, buckets, ["key", "start", "strings"]).union(cut.where("kind = 1"))
