@@ -48,7 +48,7 @@ SPREAD = WIDTH - GRAM + 1
 #: Bytes of text, and entries, that a task packs together before it sends them.
 PACK = 4 << 20
 #: Buckets per task; a task holds the data of one bucket at a time.
-FINE = 6
+FINE = 2
 #: Strings of different segments that are sorted at a time.
 SORTED = 1 << 16
 LAST = (1 << 63) - 1
@@ -280,14 +280,8 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
-            yield from cut_bucket(rows)
-
-    def cut_bucket(found_rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        packs, (keys, firsts, marked) = _read(found_rows, 3)
         first_of: dict[bytes, tuple] = {}
-        seen: set[int] = set()
         gone: list[tuple[int, int, int]] = []
         held = 0
 
@@ -312,33 +306,36 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
             gone.clear()
             return _rows(rows)
 
-        for data in packs:
-            wanted = []
-            for key, text in _unpack_texts(data):
-                own = _of(keys, key)
-                if own.start < own.stop and key not in seen:
-                    seen.add(key)
-                    wanted.append((key, text, own))
-            found = anchors([t for _, t, _ in wanted])
-            for (key, text, own), (hashes, starts, counts, leads) in zip(wanted, found, strict=True):
-                mine = np.isin(hashes.view(np.int64), marked[own])
-                doc = int(firsts[own.start])
-                columns = (hashes[mine].view(np.int64), starts[mine], counts[mine], leads[mine])
-                for anchor, start, count, lead in zip(*(c.tolist() for c in columns), strict=True):
-                    piece = text[start : start + count + WIDTH - 1]
-                    new = (doc, key, start, anchor, count, lead)
-                    old = first_of.get(piece)
-                    if old is None:
-                        first_of[piece] = new
-                        held += len(piece)
-                    elif new[:3] < old[:3]:
-                        first_of[piece] = new
-                        gone.append((old[1], old[2], old[4]))
-                    else:
-                        gone.append((key, start, count))
-                if held > 4 * PACK:
-                    yield flush()
-                    held = 0
+        for found_rows in _by_bucket(batches):
+            packs, (keys, firsts, marked) = _read(found_rows, 3)
+            seen: set[int] = set()
+            for data in packs:
+                wanted = []
+                for key, text in _unpack_texts(data):
+                    own = _of(keys, key)
+                    if own.start < own.stop and key not in seen:
+                        seen.add(key)
+                        wanted.append((key, text, own))
+                found = anchors([t for _, t, _ in wanted])
+                for (key, text, own), (hashes, starts, counts, leads) in zip(wanted, found, strict=True):
+                    mine = np.isin(hashes.view(np.int64), marked[own])
+                    doc = int(firsts[own.start])
+                    columns = (hashes[mine].view(np.int64), starts[mine], counts[mine], leads[mine])
+                    for anchor, start, count, lead in zip(*(c.tolist() for c in columns), strict=True):
+                        piece = text[start : start + count + WIDTH - 1]
+                        new = (doc, key, start, anchor, count, lead)
+                        old = first_of.get(piece)
+                        if old is None:
+                            first_of[piece] = new
+                            held += len(piece)
+                        elif new[:3] < old[:3]:
+                            first_of[piece] = new
+                            gone.append((old[1], old[2], old[4]))
+                        else:
+                            gone.append((key, start, count))
+                    if held > 4 * PACK:
+                        yield flush()
+                        held = 0
         yield flush()
 
     both = texts.union(packed_arrays(marks, buckets, ["key", "first", "anchor"]))
