@@ -157,3 +157,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     return measured.withColumns({"base_failed": base, "broken_rules": compiled(rules)}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)
     )
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that keep all rules, with their own columns."""
+    # A filter on a plain projection is pushed below it, and the measures would be
+    # written out anew for every use in it. A column that is no pure function of
+    # the row holds the filter above the measures, so they are computed once.
+    judged = judge(docs, rules, text).withColumn("_task", F.spark_partition_id())
+    return judged.where(F.col("kept") & (F.col("_task") >= 0)).select(docs.columns)
