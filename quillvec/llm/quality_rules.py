@@ -164,5 +164,6 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     # A filter on a plain projection is pushed below it, and the measures would be
     # written out anew for every use in it. A column that is no pure function of
     # the row holds the filter above the measures, so they are computed once.
-    judged = judge(docs, rules, text).withColumn("_task", F.spark_partition_id())
-    return judged.where(F.col("kept") & (F.col("_task") >= 0)).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    judged = judge(rows, rules, "_text").withColumn("_task", F.spark_partition_id())
+    return judged.where(F.col("kept") & (F.col("_task") >= 0)).select("_row.*")
