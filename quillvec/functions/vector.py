@@ -76,6 +76,7 @@ def fingerprint(v: Column) -> Column:
     """MD5 of the little-endian float32 bytes, so 0.0 and -0.0 differ.
 
     Spark has no function from floats to bytes, and going through text inside
-    the JVM takes more than twice as long at 1024 dimensions.
+    the JVM takes more than twice as long at 1024 dimensions. Other numbers are
+    read as float32 first; a null vector has a null fingerprint.
     """
-    return _md5_of_bytes(v)
+    return F.when(v.isNotNull(), _md5_of_bytes(v.cast("array<float>")))

@@ -51,7 +51,7 @@ _LOWEST = -np.finfo(np.float64).max
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Vectors of an Arrow list column as a float32 matrix; wrong lengths fail."""
+    """Vectors of an Arrow list column as a float32 matrix; wrong lengths and values that are not finite fail."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -59,6 +59,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
         column.value_lengths().to_numpy(zero_copy_only=False) == dim
     ).all():
         raise ValueError(f"every vector must have {dim} values")
+    if not np.isfinite(flat).all():
+        raise ValueError("vectors must be finite; one has a NaN or an infinite value")
     return flat.reshape(-1, dim).astype(np.float32, copy=False)
 
 

@@ -77,7 +77,7 @@ def parse_jsonl(lines: DataFrame, text_key: str = "text") -> DataFrame:
     parsed = F.from_json(
         strip(F.col("value")),
         f"`{key}` string, _malformed string",
-        {"columnNameOfCorruptRecord": "_malformed"},
+        {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"},
     )
     return (
         lines.withColumn("_json", parsed)
