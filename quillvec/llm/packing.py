@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +45,44 @@ PIECE = (
     "doc_tokens long, sequence_id long, offset long"
 )
 
-_ENCODERS: dict[str, object] = {}
+#: White space of this length is left to the tokenizer file.
+LONG_BLANK = 50_000
+_BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
 
+_ENCODERS: dict[tuple[str, str], Callable[[str], list[int]]] = {}
 
-def encoder(vocabulary: str):
-    """Encodes one text with a byte-level rank file; the strings of special tokens are ordinary."""
-    if vocabulary not in _ENCODERS:
+
+def encoder(vocabulary: str, ranks: str):
+    """Encodes one text as the tokenizer file ``vocabulary`` does.
+
+    The rank file of the same vocabulary gives the same ids for a quarter of the
+    time. Texts with the string of a special token, which is one id, and texts
+    with a very long run of white space, on which its pattern matcher gives up,
+    go to the tokenizer file itself.
+    """
+    if (vocabulary, ranks) not in _ENCODERS:
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(vocabulary), "rb") as lines:
+        exact = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        special = [token.content for token in exact.get_added_tokens_decoder().values()]
+        with open(public_tokenizers.path(ranks), "rb") as lines:
             pairs = [line.split() for line in lines]
-        ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        encoding = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        merges = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        quick = tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}
         )
-        _ENCODERS[vocabulary] = encoding.encode_ordinary
-    return _ENCODERS[vocabulary]
+
+        def encode(text: str) -> list[int]:
+            if any(s in text for s in special) or (
+                len(text) > LONG_BLANK and _BLANKS.search(text)
+            ):
+                return exact.encode(text, add_special_tokens=False).ids
+            return quick.encode_ordinary(text)
+
+        _ENCODERS[vocabulary, ranks] = encode
+    return _ENCODERS[vocabulary, ranks]
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -156,7 +178,8 @@ class _Packer:
 
 def pack(
     docs: DataFrame,
-    vocabulary: str = "byte_bpe_50k.tiktoken",
+    vocabulary: str = "byte_bpe_50k.json",
+    ranks: str = "byte_bpe_50k.tiktoken",
     capacity: int = CAPACITY,
     max_piece: int = MAX_PIECE,
     block: int = BLOCK,
@@ -165,7 +188,7 @@ def pack(
     """One row per piece; ``ids`` are its ids as unsigned little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, ranks)
         first = TaskContext.get().partitionId() * PER_PARTITION
         packer = _Packer(first, capacity, max_piece, block)
         for batch in batches:

@@ -137,6 +137,25 @@ def test_packing_cuts_every_id_once(edges):
         assert at <= 2048
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "before <|endoftext|> after<|endoftext|>",
+        " " * 1_000_000 + "x",
+        "\n" * 1_000_000,
+        "a" * 200_000,
+        "\u0085\u00a0\u2003 z\U0001f600\u0301",
+    ],
+)
+def test_encoder_gives_the_ids_of_the_tokenizer_file(text):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    encode = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+
+
 def brute_repeats(texts):
     seen, out = set(), []
     for text in texts:
