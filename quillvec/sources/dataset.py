@@ -15,6 +15,7 @@ from quillvec.sources.manifest import (
     build_manifest,
     is_complete,
     read_manifest,
+    remove_manifest,
     validate_dataset,
     write_manifest,
 )
@@ -50,6 +51,7 @@ def write_dataset(
     total = vectors.count()
     shards = fitting_shards(total, dim) if shards is None else shards
     docs = assign_even(vectors.select("id", "embedding"), shards, total=total)
+    remove_manifest(path)  # from here to the last step the dataset is not whole
     write_vec(docs, path, dim, shards)
     queries = query_set(docs, num_queries).select(
         F.col("qid").alias("id"), F.lit(0).alias("shard"), "embedding"

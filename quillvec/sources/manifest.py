@@ -100,6 +100,14 @@ def write_manifest(manifest: DataFrame, dataset_dir: str) -> None:
         sink.write(line.encode("utf-8"))
 
 
+def remove_manifest(dataset_dir: str) -> None:
+    """Delete ``meta.json`` if there is one, so that the dataset no longer counts as complete."""
+    path = posixpath.join(dataset_dir, MANIFEST_FILE)
+    if _is(path, pafs.FileType.File):
+        fs, where = _filesystem(path)
+        fs.delete_file(where)
+
+
 def read_manifest(spark: SparkSession, dataset_dir: str) -> DataFrame:
     path = posixpath.join(dataset_dir, MANIFEST_FILE)
     return spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)

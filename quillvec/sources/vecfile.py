@@ -143,28 +143,36 @@ class VecWriter(DataSourceArrowWriter):
         fs, where = _filesystem(self.path)
         fs.create_dir(where, recursive=True)
         files, sink, current = [], None, None
-        for batch in batches:
-            shards = np.asarray(batch.column("shard"))
-            column = batch.column("embedding")
-            if column.null_count or not (np.asarray(column.value_lengths()) == self.dim).all():
-                raise ValueError(f"every vector must have {self.dim} values")
-            values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
-            cuts = np.flatnonzero(np.diff(shards)) + 1
-            for rows in np.split(np.arange(len(shards)), cuts):
-                if len(rows) == 0:
-                    continue
-                shard = int(shards[rows[0]])
-                if shard != current:
-                    if sink is not None:
-                        sink.close()
-                    final = self.file_name or f"docs-shard-{shard}.vec"
-                    temporary = f"_{final}.{uuid.uuid4().hex}.tmp"
-                    sink = fs.open_output_stream(posixpath.join(where, temporary))
-                    files.append((temporary, final))
-                    current = shard
-                sink.write(values[rows].astype(FLOAT).tobytes())
-        if sink is not None:
-            sink.close()
+        try:
+            for batch in batches:
+                shards = np.asarray(batch.column("shard"))
+                column = batch.column("embedding")
+                if column.null_count or not (np.asarray(column.value_lengths()) == self.dim).all():
+                    raise ValueError(f"every vector must have {self.dim} values")
+                values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
+                cuts = np.flatnonzero(np.diff(shards)) + 1
+                for rows in np.split(np.arange(len(shards)), cuts):
+                    if len(rows) == 0:
+                        continue
+                    shard = int(shards[rows[0]])
+                    if shard != current:
+                        if sink is not None:
+                            sink.close()
+                        final = self.file_name or f"docs-shard-{shard}.vec"
+                        temporary = f"_{final}.{uuid.uuid4().hex}.tmp"
+                        sink = fs.open_output_stream(posixpath.join(where, temporary))
+                        files.append((temporary, final))
+                        current = shard
+                    sink.write(values[rows].astype(FLOAT).tobytes())
+            if sink is not None:
+                sink.close()
+        except BaseException:
+            # A failed task sends no message, so nobody else knows these names.
+            if sink is not None and not sink.closed:
+                sink.close()
+            for temporary, _ in files:
+                fs.delete_file(posixpath.join(where, temporary))
+            raise
         return ShardsWritten(files)
 
     def commit(self, messages: list[ShardsWritten | None]) -> None:

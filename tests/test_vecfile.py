@@ -70,7 +70,19 @@ def test_wrong_dimension_fails_and_leaves_no_files(spark, tmp_path):
     df = spark.createDataFrame([(0, 0, [1.0] * DIM), (1, 0, [1.0])], "id long, shard int, embedding array<float>")
     with pytest.raises(Exception, match="values"):
         write_vec(df, str(tmp_path / "out"), DIM, 1)
-    assert not (tmp_path / "out" / "docs.vec").exists()
+    assert os.listdir(tmp_path / "out") == []
+
+
+def test_failed_rewrite_is_not_complete(spark, mock, tmp_path):
+    path = str(tmp_path / "set")
+    write_dataset(mock, path, DIM, shards=2, num_queries=10, **FIELDS)
+    assert is_complete(path)
+    short = mock.selectExpr("id", "slice(embedding, 1, 3) AS embedding")
+    with pytest.raises(Exception, match="values"):
+        write_dataset(short, path, DIM, shards=2, num_queries=10, skip_complete=False, **FIELDS)
+    assert not is_complete(path)
+    write_dataset(mock, path, DIM, shards=2, num_queries=10, **FIELDS)
+    validate_dataset(spark, path)
 
 
 def test_overwrite_removes_old_shards(spark, mock, tmp_path):
