@@ -40,7 +40,7 @@ class HyperplaneHash:
         """``(tables, rows)`` bucket numbers."""
         weights = 1 << np.arange(self.bits)
         flat = self.planes.reshape(-1, self.dim)
-        side = np.round(vectors @ flat.T, 9) >= 0
+        side = vectors @ flat.T >= 0
         return (side.reshape(len(vectors), self.tables, self.bits) @ weights).T
 
     query_keys = codes
@@ -64,7 +64,7 @@ class NearestCells:
     probes: int
 
     def _ranked(self, vectors: np.ndarray, count: int) -> np.ndarray:
-        scores = np.round(vectors @ self.centroids.T, 9)
+        scores = vectors @ self.centroids.T
         return np.argsort(-scores, axis=1, kind="stable")[:, :count]
 
     def query_keys(self, vectors: np.ndarray) -> np.ndarray:

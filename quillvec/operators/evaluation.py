@@ -12,7 +12,7 @@ from quillvec.operators import quality, search
 
 @dataclass(frozen=True)
 class Evaluation:
-    """Frames of one run; nothing is computed until one of them is used."""
+    """Frames of one run, computed when used; only a search for score floors runs before."""
 
     hits: DataFrame  # (qid, rank, id, score) at the largest K
     per_query: DataFrame  # overlap and recall per (k, qid)
@@ -33,26 +33,27 @@ def evaluate(
     max_queries: int | None = None,
     run_log: DataFrame | None = None,
     total: int | None = None,
+    metric: str = "dot",
 ) -> Evaluation:
     """Search ``docs(id, shard, embedding)`` and compare with exact results.
 
     Hits, truth and savings are one scan of the documents each, whatever the
     number of Ks. The hits are those of full-K searches of every shard, merged,
-    which needs no ranking per shard. Large document sets are searched with a
-    score floor, which leaves the results as they are.
+    which needs no ranking per shard. Where it saves enough, a score floor is used,
+    which leaves the results as they are.
     """
     k, dim = max(ks), queries.dim
     if max_queries is not None:
         some = queries.frame.where(F.col("qid") < max_queries)
         queries = search.load_queries(some, dim, queries.max_broadcast_bytes)
     n = docs.count() if total is None else total
-    if n >= search.FLOOR_FROM_ROWS:
+    if search.floor_repays(n, k):
         part = search.floor_part(docs, n)
-        hits = search.floor_pruned_top_k(docs, queries, k, dim, rule, part)
-        exact = search.floor_pruned_top_k(docs, queries, k, dim, floor_docs=part)
+        hits = search.floor_pruned_top_k(docs, queries, k, dim, rule, part, metric=metric)
+        exact = search.floor_pruned_top_k(docs, queries, k, dim, floor_docs=part, metric=metric)
     else:
-        hits = search.top_k(docs, queries, k, dim, rule)
-        exact = search.top_k(docs, queries, k, dim)
+        hits = search.top_k(docs, queries, k, dim, rule, metric=metric)
+        exact = search.top_k(docs, queries, k, dim, metric=metric)
     per_query = quality.overlaps(hits, exact, queries.frame, ks)
     saved = search.lookups_saved(docs, queries, dim, shards, rule)
     report = quality.search_report(per_query, saved, n, shards, run_log)

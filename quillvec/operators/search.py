@@ -4,14 +4,15 @@ The query set is small by design (5000 vectors unless the caller says more), the
 documents are not. So documents stay where they are: every task multiplies its
 Arrow batches with the query matrix, keeps the best K per query and shard, and
 only those rows are shuffled for the final ranking. A query set too large to
-broadcast is cut into blocks that meet blocks of documents through an ordinary
-key-partitioned cogroup instead.
-
-Scores are inner products in double precision, rounded to nine decimals, which
-is finer than float32 resolves on unit vectors and makes the result independent
-of summation order. Equal scores rank by ascending id. Blocks are first scored in
-single precision; whatever could be among the best K within the error bound of
-that is scored again in double, so the shortcut never shows in the result.
+broadcast is stored in groups of that size in the shared folder, and the documents
+are scanned once per group, each task reading the group from there.
+
+Scores are inner products or cosines in double precision, summed in the order of
+the dimensions and not rounded; a vector without length has cosine 0 with all.
+Equal scores rank by ascending id. Blocks are first scored in single precision on
+vectors scaled to length 1 at most, so that neither very small nor very large ones
+leave its range; whatever could be among the best K within the error bound of that
+is scored again in double, so the shortcut never shows in the result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,23 +34,25 @@ from pyspark.sql.types import LongType
 
 from quillvec.operators.candidates import NearestCells
 from quillvec.operators.sharding import shard_sizes
+from quillvec.session import scratch_path
+from quillvec.sources.paths import filesystem, qualified
 
-SCORE_DIGITS = 9
+METRICS = ("dot", "cosine")
 HITS = "qid long, shard int, id long, score double"
 SCORED = "qid long, shard int, scored long"
 DEFAULT_QUERIES = 5000
 DEFAULT_KS = (10, 100, 1000, 10000)
 
 MAX_BROADCAST_BYTES = 256 << 20  # query matrix held by driver and executors
-GRID_BLOCK_BYTES = 64 << 20  # one side of a block pair when the matrix is larger
 TILE_CELLS = 4 << 20  # scores computed at a time inside a task
 PAIR_CELLS = 1 << 18  # vector values gathered at a time; fits a core's cache
 HELD_ROWS = 8 << 20  # hits a task may hold before it hands them on
 SALT_FROM_PARTITIONS = 64
 ROWS_PER_TASK = 32_768  # about 128 MB of vectors at 1024 dimensions
-FLOOR_FROM_ROWS = 10_000_000  # documents from which a floor repays its own search
+FLOOR_GAIN = 4  # a floor repays its own search if it divides the hits shuffled by this
 
 _LOWEST = -np.finfo(np.float64).max
+_HUGE = 1e300
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -64,13 +69,30 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float32, copy=False)
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    wide = vectors.astype(np.float64)
+    return np.sqrt(np.einsum("ij,ij->i", wide, wide))
+
+
+def _powers(lengths: np.ndarray) -> np.ndarray:
+    """Powers of two that bring vectors of these lengths to length 1 at most, without rounding."""
+    return np.ldexp(1.0, -np.frexp(lengths)[1])
+
+
+def _inverse(lengths: np.ndarray) -> np.ndarray:
+    return np.divide(1.0, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+
+
 class QueryBlock:
     """Query ids, matrix, optional score floors and candidate keys, as numpy arrays."""
 
-    def __init__(self, table: pa.Table, dim: int, rule=None):
+    def __init__(self, table: pa.Table, dim: int, rule=None, metric: str = "dot"):
         self.ids = table["qid"].to_numpy()
         self.vectors = _matrix(table["embedding"], dim)
-        self.norms = np.linalg.norm(self.vectors.astype(np.float64), axis=1)
+        self.cosine = metric == "cosine"
+        self.lengths = _lengths(self.vectors)
+        self.scale = _inverse(self.lengths) if self.cosine else _powers(self.lengths)
+        self.scaled = (self.vectors * self.scale[:, None]).astype(np.float32)
         self.floors = np.full(len(self.ids), _LOWEST)
         if "floor" in table.column_names:
             given = table["floor"].to_numpy()
@@ -85,25 +107,43 @@ class QueryBlock:
         return self.rule.matches(self.keys[:, rows], document_keys)
 
 
+class DocumentBlock:
+    """Documents of one shard in a batch, with a scaled copy for the first look."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cosine: bool):
+        self.ids, self.vectors = ids, vectors
+        self.lengths = _lengths(vectors)
+        # One factor for all inner products, so that they stay comparable.
+        self.scale = (
+            _inverse(self.lengths) if cosine else _powers(self.lengths.max(initial=0.0, keepdims=True))
+        )
+        self.scaled = (vectors * self.scale[:, None]).astype(np.float32)
+
+
 def _tiles(queries: int, documents: int) -> Iterator[slice]:
     step = max(1, TILE_CELLS // max(1, documents))
     for start in range(0, queries, step):
         yield slice(start, min(start + step, queries))
 
 
-def _pair_scores(queries: np.ndarray, documents: np.ndarray, q, d) -> np.ndarray:
-    """Double-precision scores of single (query, document) pairs, rounded."""
+def _pair_scores(block: QueryBlock, docs: DocumentBlock, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Double-precision scores of single (query, document) pairs, summed dimension by dimension."""
     out = np.empty(len(q))
-    step = max(1, PAIR_CELLS // queries.shape[1])
+    step = max(1, PAIR_CELLS // block.vectors.shape[1])
     for at in range(0, len(q), step):
         some = slice(at, at + step)
-        out[some] = np.einsum("ij,ij->i", queries[q[some]], documents[d[some]], dtype=np.float64)
-    return np.round(out, SCORE_DIGITS)
+        # Products of two float32 are exact in double; only the order of the sum matters.
+        products = block.vectors[q[some]].astype(np.float64) * docs.vectors[d[some]]
+        out[some] = np.add.reduce(np.ascontiguousarray(products.T), axis=0)
+    if block.cosine:
+        lengths = block.lengths[q] * docs.lengths[d]
+        out = np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
+    return out
 
 
-def _above(scores: np.ndarray, floor: np.ndarray, k: int, slack: np.ndarray):
+def _above(scores: np.ndarray, floor: np.ndarray, k: int, slack: float):
     """Cells that reach the floor and can be among the row's best ``k``; ties included."""
-    reach = scores >= np.maximum(floor - slack, _LOWEST)[:, None]
+    reach = scores >= (floor - slack)[:, None]
     if scores.shape[1] > k and np.count_nonzero(reach) > 2 * k * len(scores):
         kth = scores.shape[1] - k
         best = np.partition(scores, kth, axis=1)[:, kth]
@@ -121,39 +161,25 @@ class _Best:
         self.rows = 0
 
     def offer(
-        self,
-        block: QueryBlock,
-        rows: np.ndarray,
-        ids: np.ndarray,
-        vectors: np.ndarray,
-        wanted: np.ndarray | None,
+        self, block: QueryBlock, rows: np.ndarray, docs: DocumentBlock, wanted: np.ndarray | None
     ) -> None:
         """Score the queries numbered ``rows`` against one block of documents."""
-        queries, floor = block.vectors[rows], self.floors[rows]
         if wanted is not None and np.count_nonzero(wanted) * 4 <= wanted.size:
             q, d = np.nonzero(wanted)  # few candidates: score just those
-            score = _pair_scores(queries, vectors, q, d)
-            reach = score >= floor[q]
-            q, d, score = q[reach], d[reach], score[reach]
-        elif self.k * 4 >= len(ids):  # most of the block will be kept
-            exact = queries.astype(np.float64) @ vectors.T.astype(np.float64)
-            exact = np.round(exact, SCORE_DIGITS)
-            if wanted is not None:
-                exact[~wanted] = -np.inf
-            q, d = _above(exact, floor, self.k, np.zeros(len(queries)))
-            score = exact[q, d]
         else:
-            rough = queries @ vectors.T
+            rough = block.scaled[rows] @ docs.scaled.T
             if wanted is not None:
                 rough[~wanted] = -np.inf
-            # Twice the float32 error bound of an inner product, plus the rounding.
-            longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0.0))
-            error = vectors.shape[1] * 2.0**-23 * block.norms[rows] * longest
-            slack = 2 * error + 2 * 10.0**-SCORE_DIGITS
-            q, d = _above(rough, floor, self.k, slack)
-            score = _pair_scores(queries, vectors, q, d)
-        self.parts.append((rows[q], ids[d], score))
-        self.rows += len(q)
+            # Twice the float32 error bound of an inner product of vectors of length 1.
+            slack = 2 * (block.vectors.shape[1] + 8) * 2.0**-23
+            floor = self.floors[rows]
+            if not block.cosine:
+                floor = np.maximum(floor, -_HUGE) * block.scale[rows] * docs.scale
+            q, d = _above(rough, np.where(self.floors[rows] > _LOWEST, floor, -_HUGE), self.k, slack)
+        score = _pair_scores(block, docs, rows[q], d)
+        reach = score >= self.floors[rows[q]]
+        self.parts.append((rows[q[reach]], docs.ids[d[reach]], score[reach]))
+        self.rows += int(np.count_nonzero(reach))
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cut to K per query and raise the floors accordingly."""
@@ -206,6 +232,7 @@ def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iter
     for batch in batches:
         for shard, ids, vectors, keys in _per_shard(batch, dim, queries.rule):
             mine = best.setdefault(shard, _Best(k, queries.floors))
+            docs = DocumentBlock(ids, vectors, queries.cosine)
             for tile in _tiles(len(queries), len(ids)):
                 rows, wanted = np.arange(tile.start, tile.stop), None
                 if keys is not None:
@@ -213,7 +240,7 @@ def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iter
                     visiting = wanted.any(axis=1)  # others skip the block altogether
                     rows, wanted = rows[visiting], wanted[visiting]
                 if len(rows):
-                    mine.offer(queries, rows, ids, vectors, wanted)
+                    mine.offer(queries, rows, docs, wanted)
                 if mine.rows > HELD_ROWS:
                     mine.settle()
             if mine.rows > settle_from:
@@ -252,24 +279,42 @@ def _scan_counts(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> It
 
 @dataclass(frozen=True)
 class QuerySet:
-    """Queries ready for scanning: broadcast once if small, else kept as a frame."""
+    """Queries ready for scanning: broadcast once if small, else stored in ``groups`` folders."""
 
     frame: DataFrame
     dim: int
     shared: Broadcast | None
     max_broadcast_bytes: int
+    stored: str = ""
+    groups: int = 0
 
 
 def load_queries(
     queries: DataFrame, dim: int, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> QuerySet:
-    """Prepare ``(qid, embedding[, floor])``; reads at most one row more than may be broadcast."""
+    """Prepare ``(qid, embedding[, floor])``; reads at most one row more than may be broadcast.
+
+    A larger set is stored by a hash of its ids, in groups of about half that size.
+    """
+    spark = queries.sparkSession
     frame = queries.select("qid", "embedding", *(c for c in ("floor",) if c in queries.columns))
     fits = max(1, max_broadcast_bytes // (dim * 8))
     table = frame.limit(fits + 1).toArrow()
-    small = table.num_rows <= fits
-    shared = frame.sparkSession.sparkContext.broadcast(table) if small else None
-    return QuerySet(frame, dim, shared, max_broadcast_bytes)
+    if table.num_rows <= fits:
+        return QuerySet(frame, dim, spark.sparkContext.broadcast(table), max_broadcast_bytes)
+    groups = -(-2 * frame.count() // fits)
+    path = qualified(spark, scratch_path(spark, "queries"))
+    grouped = frame.withColumn("_group", F.pmod(F.xxhash64("qid"), F.lit(groups)))
+    grouped.repartition("_group").write.partitionBy("_group").parquet(path)
+    return QuerySet(frame, dim, None, max_broadcast_bytes, path, groups)
+
+
+def _stored_group(path: str) -> pa.Table | None:
+    """A group of stored queries; none if no query has its hash."""
+    fs, where = filesystem(path)
+    if fs.get_file_info(where).type == pafs.FileType.NotFound:
+        return None
+    return pads.dataset(where, filesystem=fs, format="parquet").to_table()
 
 
 def _doc_columns(docs: DataFrame, by_shard: bool, rule) -> DataFrame:
@@ -288,72 +333,39 @@ def _scan(
     schema: str,
     by_shard: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    metric: str = "dot",
 ) -> DataFrame:
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
     docs = _doc_columns(docs, by_shard, rule)
     if not isinstance(queries, QuerySet):
         queries = load_queries(queries, dim, max_broadcast_bytes)
-    if queries.shared is None:
-        return _grid(docs, queries, k, rule, body, schema)
-    shared = queries.shared
+    shared, stored = queries.shared, queries.stored
 
-    def scan_for(start: int, count: int) -> DataFrame:
+    def scan_for(find) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return body(batches, QueryBlock(shared.value.slice(start, count), dim, rule), k, dim)
+            asked = find()
+            if asked is not None:
+                yield from body(batches, QueryBlock(asked, dim, rule, metric), k, dim)
 
         return docs.mapInArrow(scan, schema)
 
-    # A task holds K hits per query. Where that is too much for all queries at
-    # once, the documents are scanned once per group of queries; reading again
-    # costs little next to the arithmetic, which stays the same.
-    group = max(1, HELD_ROWS // (2 * k))
-    starts = range(0, max(1, shared.value.num_rows), group)
-    return reduce(DataFrame.unionByName, (scan_for(start, group) for start in starts))
-
-
-def _grid(docs: DataFrame, asked: QuerySet, k: int, rule, body, schema: str) -> DataFrame:
-    """Block pairs for query sets beyond the broadcast bound.
-
-    Both sides are spread by a hash of their unique ids, so no cell can grow
-    beyond about one block of each, and each cell emits at most K rows per
-    query and shard.
-    """
-    queries, dim = asked.frame, asked.dim
-    block_bytes = min(GRID_BLOCK_BYTES, asked.max_broadcast_bytes)
-    block_rows = max(1, block_bytes // (dim * 8))
-    query_rows = max(1, min(block_rows, HELD_ROWS // max(1, min(k, block_rows))))
-    q_blocks = max(1, math.ceil(queries.count() / query_rows))
-    d_blocks = max(1, math.ceil(docs.count() / block_rows))
-
-    def block(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = docs.withColumn("d_block", block("id", d_blocks)).withColumn("q_block", every(q_blocks))
-    # Renamed, because queries are often rows of the same table as the documents
-    # and a cogroup does not tell equal columns of its two sides apart.
-    right = (
-        queries.withColumnRenamed("embedding", "query_vector")
-        .withColumn("q_block", block("qid", q_blocks))
-        .withColumn("d_block", every(d_blocks))
-    )
+    def some(start: int, count: int):
+        return lambda: shared.value.slice(start, count)
 
-    def cell(some_docs: pa.Table, some_queries: pa.Table) -> pa.Table:
-        fields = _arrow_schema(schema)
-        if some_docs.num_rows == 0 or some_queries.num_rows == 0:
-            return fields.empty_table()
-        some_queries = some_queries.rename_columns({"query_vector": "embedding"})
-        found = body([some_docs.combine_chunks()], QueryBlock(some_queries, dim, rule), k, dim)
-        return pa.Table.from_batches(list(found), schema=fields)
+    def group(number: int):
+        return lambda: _stored_group(f"{stored}/_group={number}")
 
-    keys = ["q_block", "d_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
-
-
-def _arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ddl.split(", "))])
+    # Documents stay where they are, whatever the number of queries. A task holds
+    # K hits per query; where that is too much for all queries at once, the
+    # documents are scanned once per group of queries. Reading again costs little
+    # next to the arithmetic, which stays the same.
+    if shared is None:
+        finds = [group(n) for n in range(queries.groups)]
+    else:
+        count = max(1, HELD_ROWS // (2 * k))
+        finds = [some(start, count) for start in range(0, max(1, shared.value.num_rows), count)]
+    return reduce(DataFrame.unionByName, map(scan_for, finds))
 
 
 def query_set(vectors: DataFrame, n: int = DEFAULT_QUERIES, id_col: str = "id") -> DataFrame:
@@ -425,6 +437,7 @@ def floor_pruned_top_k(
     rule=None,
     floor_docs: DataFrame | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    metric: str = "dot",
 ) -> DataFrame:
     """Same answer as :func:`top_k`, with a shared score floor.
 
@@ -435,12 +448,22 @@ def floor_pruned_top_k(
     if isinstance(queries, QuerySet):
         queries, max_broadcast_bytes = queries.frame, queries.max_broadcast_bytes
     part = docs.where(F.col("shard") == 0) if floor_docs is None else floor_docs
-    options = {"max_broadcast_bytes": max_broadcast_bytes}
+    options = {"max_broadcast_bytes": max_broadcast_bytes, "metric": metric}
     first = top_k(part, queries, k, dim, rule, **options)
     with_floor = queries.join(kth_scores(first, k), "qid", "left")
     return top_k(docs, with_floor, k, dim, rule, **options)
 
 
+def floor_repays(total: int, k: int) -> bool:
+    """Whether a floor saves enough of the hits that tasks hand on to pay for finding it.
+
+    Without one every task hands on K hits per query. With the floor of
+    :func:`floor_part` both searches hand on about K per square root of the tasks.
+    """
+    tasks = max(1.0, total / ROWS_PER_TASK)
+    return min(total, k * tasks) > FLOOR_GAIN * 2 * k * math.sqrt(tasks)
+
+
 def floor_part(docs: DataFrame, total: int) -> DataFrame:
     """A part of densely numbered documents whose K-th scores make good floors.
 

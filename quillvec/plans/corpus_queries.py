@@ -157,7 +157,7 @@ def _searched_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def knn_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: texts, chunks, vectors, the first 5000 as queries, exact top K."""
     _, hits = _searched_corpus(spark, sf_dir)
-    return longs(hits.select("qid", "rank", "id", "score"), "rank")
+    return longs(hits.select("qid", "rank", "id", rounded("score", 9).alias("score")), "rank")
 
 
 def knn_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ vecs AS (
     SELECT doc_id, pos, map_from_entries(list((d, value))) AS m FROM emb GROUP BY ALL
   ) e USING (doc_id, pos)),
 scored AS (
-  SELECT q.id AS qid, x.id, round(list_inner_product(q.v, x.v), 9) AS s
+  SELECT q.id AS qid, x.id, list_inner_product(q.v, x.v) AS s
   FROM vecs q, vecs x WHERE q.id < 5000),
 ranked AS (
   SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank
@@ -199,7 +199,7 @@ FROM emb JOIN ids USING (doc_id, pos) WHERE id < 5000""",
     "embedding_sets": f"""
 WITH RECURSIVE {SENTENCES}, {PARAGRAPHS}, {_words('sentence')}, {_words('paragraph')}
 {" UNION ALL ".join(_set_profile(d, g) for d in (1024, 384) for g in ("sentence", "paragraph"))}""",
-    "knn_corpus": f"{NEAREST} SELECT qid, rank, id, s AS score FROM ranked",
+    "knn_corpus": f"{NEAREST} SELECT qid, rank, id, round(s, 9) AS score FROM ranked",
     "knn_with_text": f"""
 {NEAREST} SELECT qid, rank, id, doc_id, text FROM ranked JOIN vecs USING (id)""",
     "stream_equals_batch": f"WITH {SENTENCES} SELECT doc_id, pos, text FROM sentences",

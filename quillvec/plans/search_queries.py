@@ -38,7 +38,7 @@ def lsh() -> HyperplaneHash:
 
 
 def _shown(hits: DataFrame, *columns: str) -> DataFrame:
-    out = hits.select(*columns, "rank", "id", (F.col("score") + 0.0).alias("score"))
+    out = hits.select(*columns, "rank", "id", rounded("score", 9).alias("score"))
     return longs(out, *(c for c in ("k", "shard", "rank") if c in out.columns))
 
 
@@ -68,6 +68,29 @@ def knn_multi_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.at_each_k(_exact(spark, sf_dir), KS), "k", "qid")
 
 
+def knn_small_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors a hundred thousand times shorter have the same neighbours."""
+    short = F.transform("embedding", lambda x: (x.cast("double") * 1e-5).cast("float"))
+    docs = vectors(spark, sf_dir).withColumn("embedding", short)
+    hits = search.top_k(docs, search.query_set(docs), TOP, DIM)
+    return _shown(hits.withColumn("score", F.col("score") * 1e10), "qid")
+
+
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of different lengths, ranked by cosine."""
+    longer = F.transform(
+        "embedding", lambda x: (x.cast("double") * (F.col("id") % 7 + 1)).cast("float")
+    )
+    docs = vectors(spark, sf_dir).withColumn("embedding", longer)
+    return _shown(search.top_k(docs, search.query_set(docs), TOP, DIM, metric="cosine"), "qid")
+
+
+def knn_stored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search with a query set beyond the broadcast bound, set low here."""
+    asked = search.load_queries(queries(spark, sf_dir), DIM, max_broadcast_bytes=DIM * 8 * 150)
+    return _shown(search.top_k(vectors(spark, sf_dir), asked, TOP, DIM), "qid")
+
+
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_approximate(spark, sf_dir, TOP), "qid")
 
@@ -207,7 +230,7 @@ def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     floors = search.snapshot_floor(_pushes(spark, sf_dir), MAX_K)
-    return floors.withColumn("floor", F.col("floor") + 0.0)
+    return floors.withColumn("floor", rounded("floor", 9))
 
 
 def stream_snapshot_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +240,7 @@ def stream_snapshot_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(inbox)
     keep_latest(arriving, slots, scratch_path(spark, "slots-state")).awaitTermination()
     latest = latest_snapshots(spark.read.parquet(slots))
-    return search.snapshot_floor(latest, MAX_K).withColumn("floor", F.col("floor") + 0.0)
+    return search.snapshot_floor(latest, MAX_K).withColumn("floor", rounded("floor", 9))
 
 
 def _run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +280,9 @@ QUERIES = {
     "knn_per_shard": knn_per_shard,
     "knn_merge": knn_merge,
     "knn_multi_k": knn_multi_k,
+    "knn_small_norms": knn_small_norms,
+    "knn_cosine": knn_cosine,
+    "knn_stored_queries": knn_stored_queries,
     "knn_lsh": knn_lsh,
     "knn_ivf": knn_ivf,
     "knn_ivf_stored": knn_ivf_stored,

@@ -11,7 +11,7 @@ SCORED = f"""
 vecs AS (
   SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, {evenly(8)} AS shard FROM embeddings),
 scored AS (
-  SELECT q.id AS qid, x.id, x.shard, round(list_inner_product(q.v, x.v), 9) AS s
+  SELECT q.id AS qid, x.id, x.shard, list_inner_product(q.v, x.v) AS s
   FROM vecs q, vecs x WHERE q.id < 5000)"""
 
 
@@ -31,7 +31,7 @@ parts AS (
   SELECT vec_id AS id, CAST(unnest(embedding) AS DOUBLE) AS x,
          generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
 sides AS (
-  SELECT id, t, b, round(sum(x * sign), 9) >= 0 AS up FROM parts JOIN planes USING (d) GROUP BY ALL),
+  SELECT id, t, b, sum(x * sign) >= 0 AS up FROM parts JOIN planes USING (d) GROUP BY ALL),
 codes AS (SELECT id, t, sum(CASE WHEN up THEN 1 << b ELSE 0 END) AS code FROM sides GROUP BY ALL),
 hash_pairs AS (
   SELECT DISTINCT q.id AS qid, x.id FROM codes q JOIN codes x USING (t, code) WHERE q.id < 5000),
@@ -45,7 +45,7 @@ means AS (
           FROM embeddings) GROUP BY ALL) GROUP BY label),
 near AS (
   SELECT id, label, row_number() OVER (
-           PARTITION BY id ORDER BY round(list_inner_product(v, c), 9) DESC, label) AS place
+           PARTITION BY id ORDER BY list_inner_product(v, c) DESC, label) AS place
   FROM vecs, means),
 cell_scored AS (
   SELECT s.* FROM scored s
@@ -104,30 +104,51 @@ WITH {SCORED}, {ranked('hits', 'scored', MAX_K, 'qid, shard')},
 latest AS (SELECT * EXCLUDE (rank) FROM hits WHERE rank <= CASE WHEN shard % 2 = 0 THEN 100 ELSE 10 END),
 {ranked('merged', 'latest', MAX_K)}
 SELECT qid, (SELECT count(DISTINCT shard) FROM latest l WHERE l.qid = m.qid) AS shards,
-       count(*) AS merged, min(s) + 0.0 AS floor
+       count(*) AS merged, round(min(s), 9) + 0.0 AS floor
 FROM merged m GROUP BY qid"""
 
 PLAIN_TOP = f"""
 WITH {SCORED}, {ranked('exact', 'scored', 10)}
-SELECT qid, rank, id, s + 0.0 AS score FROM exact"""
+SELECT qid, rank, id, round(s, 9) + 0.0 AS score FROM exact"""
+
+
+
+def rescaled(factor: str, score: str, unit: str) -> str:
+    """The ten best after a change of lengths, by another score."""
+    return f"""
+WITH vecs AS (
+  SELECT vec_id AS id, CAST(list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * {factor} AS FLOAT))
+         AS DOUBLE[]) AS v FROM embeddings),
+scored AS (SELECT q.id AS qid, x.id, {score} AS s FROM vecs q, vecs x WHERE q.id < 5000),
+{ranked('exact', 'scored', 10)}
+SELECT qid, rank, id, round(s * {unit}, 9) + 0.0 AS score FROM exact"""
+
+
+COSINE = (
+    "list_inner_product(q.v, x.v)"
+    " / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(x.v, x.v)))"
+)
 
 CELL_TOP = f"""
 WITH {SCORED}, {CELL_CANDIDATES}, {ranked('hits', 'cell_scored', 10)}
-SELECT qid, rank, id, s + 0.0 AS score FROM hits"""
+SELECT qid, rank, id, round(s, 9) + 0.0 AS score FROM hits"""
 
 ORACLES = {
     "knn_exact": PLAIN_TOP,
     "knn_per_shard": f"""
 WITH {SCORED}, {ranked('hits', 'scored', 10, 'qid, shard')}
-SELECT qid, shard, rank, id, s + 0.0 AS score FROM hits""",
+SELECT qid, shard, rank, id, round(s, 9) + 0.0 AS score FROM hits""",
     "knn_merge": PLAIN_TOP,
+    "knn_small_norms": rescaled("1e-5", "list_inner_product(q.v, x.v)", "1e10"),
+    "knn_cosine": rescaled("(vec_id % 7 + 1)", COSINE, "1.0"),
+    "knn_stored_queries": PLAIN_TOP,
     "knn_multi_k": f"""
 WITH {SCORED}, {ranked('exact', 'scored', MAX_K)}
-SELECT CAST(k AS BIGINT) AS k, qid, rank, id, s + 0.0 AS score
+SELECT CAST(k AS BIGINT) AS k, qid, rank, id, round(s, 9) + 0.0 AS score
 FROM exact JOIN {KS_TABLE} ON rank <= k""",
     "knn_lsh": f"""
 WITH {SCORED}, {HASH_CANDIDATES}, {ranked('hits', 'hash_scored', 10)}
-SELECT qid, rank, id, s + 0.0 AS score FROM hits""",
+SELECT qid, rank, id, round(s, 9) + 0.0 AS score FROM hits""",
     "knn_ivf": CELL_TOP,
     "knn_ivf_stored": CELL_TOP,
     "knn_floor_pruned": PLAIN_TOP,

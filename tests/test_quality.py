@@ -98,7 +98,7 @@ def test_evaluation_with_floors_is_the_same(spark, sf_dir, monkeypatch):
     asked = search.load_queries(search.query_set(docs, 50), 64)
     run = lambda: evaluate(docs, asked, (5, 20), 8, HyperplaneHash(4, 4, 64))
     plain = run()
-    monkeypatch.setattr(search, "FLOOR_FROM_ROWS", 10)
+    monkeypatch.setattr(search, "FLOOR_GAIN", 0)
     monkeypatch.setattr(search, "ROWS_PER_TASK", 30)
     floored = run()
     key = lambda r: (r.qid, r["rank"])

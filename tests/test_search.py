@@ -183,3 +183,43 @@ def test_snapshot_floor(spark):
     )
     floors = {r.qid: (r.merged, r.floor) for r in search.snapshot_floor(snapshots, 2).collect()}
     assert floors == {0: (2, 0.6), 1: (1, 0.1), 2: (0, float("-inf"))}
+
+
+@pytest.mark.parametrize("factor", [1e-30, 1e-5, 1e4, 1e25])
+@pytest.mark.parametrize("k", [10, 150])
+def test_lengths_do_not_change_the_neighbours(spark, factor, k):
+    rng = np.random.default_rng(5)
+    m = (rng.normal(size=(N, DIM)) * factor).astype("float32")
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    wide = m.astype("float64")
+    scores = wide[:60] @ wide.T
+    want = {q: np.argsort(-scores[q], kind="stable")[:k].tolist() for q in range(60)}
+    assert ids(search.top_k(docs, search.query_set(docs, 60), k, DIM)) == want
+
+
+def test_cosine(spark):
+    rng = np.random.default_rng(6)
+    m = (rng.normal(size=(N, DIM)) * 10.0 ** rng.integers(-12, 12, size=(N, 1))).astype("float32")
+    m[7] = 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    unit = m.astype("float64")
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    scores = unit[:60] @ unit.T
+    want = {q: np.argsort(-scores[q], kind="stable")[:10].tolist() for q in range(60)}
+    found = search.top_k(docs, search.query_set(docs, 60), 10, DIM, metric="cosine")
+    assert ids(found) == want  # the vector of zeros included: cosine 0 with all, so by id
+    with pytest.raises(ValueError, match="metric"):
+        search.top_k(docs, search.query_set(docs, 60), 10, DIM, metric="euclid")
+
+
+def test_documents_are_not_shuffled_for_stored_queries(docs, asked):
+    hits = search.shard_hits(docs, asked, 10, DIM, by_shard=False, max_broadcast_bytes=DIM * 8 * 7)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 18 and "CoGroup" not in plan
+
+
+def test_floor_where_it_saves_enough():
+    assert not search.floor_repays(100_000, 10)
+    assert search.floor_repays(10_000_000, 10) and search.floor_repays(2_144_577, 10_000)
