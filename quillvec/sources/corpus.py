@@ -7,13 +7,15 @@ input split or per file; the texts themselves are never sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions.text import is_blank, strip
 from quillvec.operators.ids import dense_ids, running_offsets
 from quillvec.session import pin
-
+from quillvec.sources.paths import qualified
 
 # Up to this many documents a sorted limit is the cheapest way to the first ones.
 SORTED_LIMIT = 10_000
@@ -71,19 +73,50 @@ def first_docs(docs: DataFrame, max_docs: int | None) -> DataFrame:
     return docs.join(places.where(F.col("_place") < max_docs).select("doc_id"), "doc_id", "left_semi")
 
 
+def _falsy(json: Column, key: str) -> Column:
+    """Whether the value of ``key`` is a bare zero, ``false`` or an empty list or object."""
+
+    def read(kind: str) -> Column:
+        return F.from_json(json, f"`{key}` {kind}")[key.replace("``", "`")]
+
+    # Strings are none of these types, so "0" and "false" in quotes stay.
+    return (
+        F.coalesce(~read("boolean"), F.lit(False))
+        | F.coalesce(read("double") == 0, F.lit(False))
+        | F.coalesce(F.size(read("array<string>")) == 0, F.lit(False))
+        | F.coalesce(F.size(read("map<string, string>")) == 0, F.lit(False))
+    )
+
+
 def parse_jsonl(lines: DataFrame, text_key: str = "text") -> DataFrame:
-    """``text`` of each JSON line; blank, malformed, keyless and empty ones drop out."""
+    """``text`` of each JSON line.
+
+    Lines that are blank or not one whole JSON object, that lack the key, or whose
+    value is null, empty, zero or false drop out.
+    """
     key = text_key.replace("`", "``")
+    strict = {"allowSingleQuotes": "false"}
+    line = strip(F.col("value"))
+    # A parser stops at the end of the first value. In a list that must go on to
+    # a mark no line knows, whatever follows an object shows.
+    mark = F.md5(line.cast("binary"))
+    whole = F.from_json(F.concat(F.lit("["), line, F.lit(',"'), mark, F.lit('"]')), "array<string>", strict)
     parsed = F.from_json(
-        strip(F.col("value")),
+        F.col("_object"),
         f"`{key}` string, _malformed string",
-        {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"},
+        {"columnNameOfCorruptRecord": "_malformed", **strict},
     )
+    # Only short values can be falsy; the others are not parsed again.
+    doubtful = F.col("text").rlike(r"^(-?[0.]+([eE][-+]?\d+)?|false|\[\s*\]|\{\s*\})$")
     return (
-        lines.withColumn("_json", parsed)
+        lines.withColumn("_list", whole)
+        .where((F.size("_list") == 2) & (F.element_at("_list", -1) == mark))
+        .withColumn("_object", F.element_at("_list", 1))
+        .withColumn("_json", parsed)
         .where(F.col("_json._malformed").isNull() & (F.length(F.col("_json")[text_key]) > 0))
         .withColumn("text", F.col("_json")[text_key])
-        .drop("value", "_json")
+        .where(~F.when(doubtful, _falsy(F.col("_object"), key)).otherwise(F.lit(False)))
+        .drop("value", "_list", "_object", "_json")
     )
 
 
@@ -115,16 +148,34 @@ def read_messages(
     return _up_to(_number_lines(parse_messages(_lines(spark, path, encoding))), max_docs)
 
 
+def glob_pattern(glob: str) -> str:
+    """A path glob as a regular expression: ``**/`` is any folders or none, ``*`` and ``?`` stay in one."""
+    out = ""
+    for part in re.findall(r"\*\*/|\*|\?|\[!?[^]]+\]|.", glob):
+        known = {"**/": "(?:[^/]+/)*", "*": "[^/]*", "?": "[^/]"}.get(part)
+        if known is None:
+            known = part.replace("[!", "[^") if len(part) > 1 else re.escape(part)
+        out += known
+    return f"^{out}$"
+
+
 def text_files(
-    spark: SparkSession, path: str, glob: str = "*.txt", encoding: str = "UTF-8"
+    spark: SparkSession, path: str, glob: str = "**/*.txt", encoding: str = "UTF-8"
 ) -> DataFrame:
-    """``(path, text)``: one row per readable, non-blank file below ``path``."""
+    """``(path, text)``: one row per readable, non-blank file below ``path`` that matches ``glob``.
+
+    A glob without a folder holds for file names at any depth.
+    """
+    root = qualified(spark, path).rstrip("/")
+    wanted = glob if "/" in glob else f"**/{glob}"
+    below = F.substr(F.col("path"), F.lit(len(root) + 2))
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", glob.rpartition("/")[2])
         .option("ignoreCorruptFiles", "true")
-        .load(path)
+        .load(root)
+        .where(below.rlike(glob_pattern(wanted)))
         .select("path", "content")
     )
     if _is_utf8(encoding):
@@ -136,12 +187,14 @@ def text_files(
 def read_text_dir(
     spark: SparkSession,
     path: str,
-    glob: str = "*.txt",
+    glob: str = "**/*.txt",
     max_docs: int | None = None,
     encoding: str = "UTF-8",
 ) -> DataFrame:
     files = text_files(spark, path, glob, encoding)
-    numbered = dense_ids(files.select("path"), ["path"], "doc_id")
+    # By folder and name, not by the characters of the whole path: "/" sorts after "-".
+    parts = files.select("path", F.split("path", "/").alias("_parts"))
+    numbered = dense_ids(parts, ["_parts"], "doc_id").drop("_parts")
     return files.join(_up_to(numbered, max_docs), "path").select("doc_id", "text")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.operators.dedup import dedup_vectors
-from quillvec.operators.search import DEFAULT_QUERIES, query_set
+from quillvec.operators.evaluation import Evaluation, evaluate
+from quillvec.operators.search import DEFAULT_KS, DEFAULT_QUERIES, load_queries, query_set
 from quillvec.operators.sharding import assign_even, regroup, shard_sizes
 from quillvec.session import scratch_path
 from quillvec.sources.manifest import (
@@ -58,7 +59,11 @@ def write_dataset(
     )
     write_queries(queries, path, dim)
     manifest = build_manifest(
-        shard_sizes(docs, shards), dim=dim, num_query_vectors=num_queries, **manifest_fields
+        shard_sizes(docs, shards),
+        dim=dim,
+        num_query_vectors=num_queries,
+        location=path,
+        **manifest_fields,
     )
     write_manifest(manifest, path)
 
@@ -72,6 +77,22 @@ def queries_path(path: str) -> str:
     return posixpath.join(path, "queries.vec")
 
 
+def read_queries(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """``(qid, embedding)`` of the query file of a dataset."""
+    stored = read_vec(spark, queries_path(path), dim)
+    return stored.select(F.col("id").alias("qid"), "embedding")
+
+
+def evaluate_dataset(
+    spark: SparkSession, path: str, shards: int, ks: tuple[int, ...] = DEFAULT_KS, rule=None, **options
+) -> Evaluation:
+    """Evaluate a stored dataset by its own queries: documents, queries and manifest to report."""
+    docs = build_shards(spark, path, shards)
+    row = read_manifest(spark, path).select("dim", "num_docs").first()
+    asked = load_queries(read_queries(spark, path, row["dim"]), row["dim"])
+    return evaluate(docs, asked, ks, shards, rule, total=row["num_docs"], **options)
+
+
 def build_shards(spark: SparkSession, path: str, shards: int) -> DataFrame:
     """``(id, shard, embedding)`` of a dataset, cut for searching.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 
@@ -9,7 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillvec.sources.vecfile import _filesystem, dataset_files
+from quillvec.sources.paths import filesystem, qualified
+from quillvec.sources.vecfile import FLOAT, dataset_files
 
 # Manifest fields, in file order.
 MANIFEST_SCHEMA = (
@@ -48,8 +50,13 @@ def build_manifest(
     created_at: str,
     dataset_name: str | None = None,
     output_dir: str = DEFAULT_OUTPUT_DIR,
+    location: str | None = None,
 ) -> DataFrame:
-    """One manifest row from ``(shard, size, first_id)``, which has a row per shard."""
+    """One manifest row from ``(shard, size, first_id)``, which has a row per shard.
+
+    ``location`` is the folder the files are in; without it they are named as they
+    would be below ``output_dir``.
+    """
     per_shard = F.array_sort(F.collect_list(F.struct("shard", "size", "first_id")))
     row = sizes.agg(
         F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("num_docs"),
@@ -64,7 +71,9 @@ def build_manifest(
     }
     row = row.withColumns({name: F.lit(value) for name, value in text.items()})
     row = row.withColumn("dim", F.lit(dim).cast("long"))
-    if dataset_name:
+    if location is not None:
+        base = F.lit(location.rstrip("/") + "/")
+    elif dataset_name:
         base = F.lit(f"{output_dir}/{dataset_name.strip()}/")
     else:
         stem = output_stem(*(F.col(c) for c in ("source", "source_path", "granularity",
@@ -91,10 +100,14 @@ def build_manifest(
     )
 
 
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return filesystem(qualified(SparkSession.active(), path))
+
+
 def write_manifest(manifest: DataFrame, dataset_dir: str) -> None:
     """Write the one manifest row as ``meta.json``; absent optional fields are left out."""
     (line,) = manifest.toJSON().collect()
-    fs, where = _filesystem(dataset_dir)
+    fs, where = _opened(dataset_dir)
     fs.create_dir(where, recursive=True)
     with fs.open_output_stream(posixpath.join(where, MANIFEST_FILE)) as sink:
         sink.write(line.encode("utf-8"))
@@ -104,7 +117,7 @@ def remove_manifest(dataset_dir: str) -> None:
     """Delete ``meta.json`` if there is one, so that the dataset no longer counts as complete."""
     path = posixpath.join(dataset_dir, MANIFEST_FILE)
     if _is(path, pafs.FileType.File):
-        fs, where = _filesystem(path)
+        fs, where = _opened(path)
         fs.delete_file(where)
 
 
@@ -114,16 +127,26 @@ def read_manifest(spark: SparkSession, dataset_dir: str) -> DataFrame:
 
 
 def _is(path: str, kind: pafs.FileType) -> bool:
-    fs, where = _filesystem(path)
+    fs, where = _opened(path)
     return fs.get_file_info(where).type == kind
 
 
 def is_complete(dataset_dir: str) -> bool:
-    """Queries, manifest and at least the first document file are there."""
-    docs = ("docs.vec", "docs-shard-0.vec")
-    there = {n: _is(posixpath.join(dataset_dir, n), pafs.FileType.File)
-             for n in ("queries.vec", MANIFEST_FILE, *docs)}
-    return there["queries.vec"] and there[MANIFEST_FILE] and any(there[d] for d in docs)
+    """Queries and manifest are there, and the document files are as long as it says."""
+    if not all(
+        _is(posixpath.join(dataset_dir, n), pafs.FileType.File) for n in ("queries.vec", MANIFEST_FILE)
+    ):
+        return False
+    fs, where = _opened(dataset_dir)
+    with fs.open_input_stream(posixpath.join(where, MANIFEST_FILE)) as source:
+        manifest = json.loads(source.read())
+    try:
+        files = dataset_files(qualified(SparkSession.active(), dataset_dir))
+    except FileNotFoundError:
+        return False
+    record = manifest["dim"] * FLOAT.itemsize
+    counted = [manifest["num_docs"]] if manifest.get("shard_sizes") is None else manifest["shard_sizes"]
+    return [size for _, _, size in files] == [rows * record for rows in counted]
 
 
 def resolve_dataset(spark: SparkSession, ref: str, base: str | None = None) -> tuple[str, DataFrame]:
@@ -150,7 +173,7 @@ def validate_dataset(spark: SparkSession, dataset_dir: str) -> None:
     row = read_manifest(spark, dataset_dir).select("dim", "num_docs").first()
     record = row["dim"] * 4
     held = 0
-    for file, _, size in dataset_files(dataset_dir):
+    for file, _, size in dataset_files(qualified(spark, dataset_dir)):
         if size % record:
             raise ValueError(f"{file}: {size} bytes is not a multiple of {record}")
         held += size // record

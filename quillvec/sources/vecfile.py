@@ -31,6 +31,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from quillvec.sources.paths import filesystem, qualified
+
 # The file format.
 FLOAT = np.dtype("<f4")
 SINGLE_FILE = "docs.vec"
@@ -41,13 +43,9 @@ RANGE_BYTES = 64 << 20
 BATCH_ROWS = 4096
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-
-
 def dataset_files(path: str) -> list[tuple[str, int, int]]:
     """``(file, shard, bytes)`` of a vector file or dataset directory, in id order."""
-    fs, where = _filesystem(path)
+    fs, where = filesystem(path)
     info = fs.get_file_info(where)
     if info.type == pafs.FileType.File:
         return [(info.path, 0, info.size)]
@@ -98,7 +96,7 @@ class VecReader(DataSourceReader):
     def read(self, part: VecRange) -> Iterator[pa.RecordBatch]:
         if part.rows == 0:
             return
-        fs, _ = _filesystem(self.path)
+        fs, _ = filesystem(self.path)
         with fs.open_input_file(part.file) as source:
             source.seek(part.first_row * self.dim * FLOAT.itemsize)
             done = 0
@@ -137,10 +135,11 @@ class VecWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.dim = int(options["dim"])
         self.file_name = options.get("filename", "")
+        self.shards = int(options.get("shards", 0))
         self.overwrite = overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> ShardsWritten:
-        fs, where = _filesystem(self.path)
+        fs, where = filesystem(self.path)
         fs.create_dir(where, recursive=True)
         files, sink, current = [], None, None
         try:
@@ -176,7 +175,7 @@ class VecWriter(DataSourceArrowWriter):
         return ShardsWritten(files)
 
     def commit(self, messages: list[ShardsWritten | None]) -> None:
-        fs, where = _filesystem(self.path)
+        fs, where = filesystem(self.path)
         if self.overwrite:
             old = fs.get_file_info(pafs.FileSelector(where, allow_not_found=True))
             for entry in old:
@@ -186,9 +185,17 @@ class VecWriter(DataSourceArrowWriter):
         for message in messages:
             for temporary, final in message.files if message else ():
                 fs.move(posixpath.join(where, temporary), posixpath.join(where, final))
+        # A shard without rows had no task output, but is a file all the same.
+        written = {final for message in messages if message for _, final in message.files}
+        names = [self.file_name] if self.file_name else map("docs-shard-{}.vec".format, range(self.shards))
+        for name in names:
+            path = posixpath.join(where, name)
+            if name not in written and fs.get_file_info(path).type == pafs.FileType.NotFound:
+                fs.create_dir(where, recursive=True)
+                fs.open_output_stream(path).close()
 
     def abort(self, messages: list[ShardsWritten | None]) -> None:
-        fs, where = _filesystem(self.path)
+        fs, where = filesystem(self.path)
         for message in messages:
             for temporary, _ in message.files if message else ():
                 fs.delete_file(posixpath.join(where, temporary))
@@ -218,7 +225,7 @@ def read_vec(
     """
     spark.dataSource.register(VecDataSource)
     reader = spark.read.format("vec").option("dim", dim).option("onPartial", on_partial)
-    return reader.options(**options).load(path)
+    return reader.options(**options).load(qualified(spark, path))
 
 
 def write_vec(
@@ -240,7 +247,7 @@ def write_vec(
         .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "id")
     )
-    writer = placed.write.format("vec").option("dim", dim)
+    writer = placed.write.format("vec").option("dim", dim).option("shards", shards)
     if shards == 1:
         writer = writer.option("fileName", file_name)
-    writer.mode(mode).save(path)
+    writer.mode(mode).save(qualified(spark, path))

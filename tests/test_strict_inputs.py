@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillvec.functions.vector import fingerprint
 from quillvec.operators.search import _matrix
-from quillvec.sources.corpus import parse_jsonl
+from quillvec.sources.corpus import parse_jsonl, read_text_dir
 
 
 @pytest.mark.parametrize("bad", [float("nan"), float("inf")])
@@ -28,3 +28,33 @@ def test_fingerprint_of_doubles_and_nulls(spark):
 def test_single_quotes_are_malformed(spark):
     lines = spark.createDataFrame([("{'text': 'x'}",), ('{"text": "y"}',)], "value string")
     assert [r.text for r in parse_jsonl(lines).collect()] == ["y"]
+
+
+def test_only_whole_objects_with_a_value_are_kept(spark):
+    kept = [
+        ('{"text": "a"}', "a"), ('{"text": "0"}', "0"), ('{"text": "false"}', "false"),
+        ('{"text": "[]"}', "[]"), ('{"text": "{}"}', "{}"), ('  {"x": {"y": [1]}, "text": "b"} ', "b"),
+        ('{"text": "q\\"uote ] } , \\u00e4"}', 'q"uote ] } , \u00e4'), ('{"text": 5}', "5"), ('{"text": true}', "true"),
+    ]
+    dropped = [
+        '{"text": 0}', '{"text": 0.0}', '{"text": -0}', '{"text": false}', '{"text": []}', '{"text": {}}',
+        '{"text": null}', '{"text": ""}', '{"text": "a"} trailing', '{"text": "a"}{"text": "b"}',
+        '{"text": "a"},{"text": "b"}', '{"text": "a"}] x', '{"text": "a"', '["text"]', '"text"', "5", "",
+    ]
+    lines = spark.createDataFrame([(v,) for v, _ in kept] + [(v,) for v in dropped], "value string")
+    assert sorted(r.text for r in parse_jsonl(lines).collect()) == sorted(t for _, t in kept)
+
+
+def test_text_files_by_path_glob_in_path_order(spark, tmp_path):
+    for name in ("a-b.txt", "a/b.txt", "a/c/d.txt", "a/c/e.md", "z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+
+    def found(**options):
+        return [r.text for r in read_text_dir(spark, str(tmp_path), **options).orderBy("doc_id").collect()]
+
+    assert found() == ["a/b.txt", "a/c/d.txt", "a-b.txt", "z.txt"]
+    assert found(glob="a/**/*.md") == ["a/c/e.md"]
+    assert found(glob="a/*.txt") == ["a/b.txt"]
+    assert found(glob="**/[!az].txt") == ["a/b.txt", "a/c/d.txt"]
+    assert found(max_docs=1) == ["a/b.txt"]

@@ -5,7 +5,13 @@ import numpy as np
 import pytest
 
 from quillvec.operators.sharding import assign_even
-from quillvec.sources.dataset import build_shards, dedup_dataset, fitting_shards, write_dataset
+from quillvec.sources.dataset import (
+    build_shards,
+    dedup_dataset,
+    evaluate_dataset,
+    fitting_shards,
+    write_dataset,
+)
 from quillvec.sources.manifest import (
     is_complete,
     read_manifest,
@@ -109,7 +115,7 @@ def test_dataset_with_manifest(spark, mock, tmp_path):
     assert row.shard_sizes == [251, 251, 251, 250]
     assert row.shard_doc_offsets == [0, 251, 502, 753]
     assert row.granularity == "message" and row.dataset_name is None
-    assert row.output_queries_vec == "data/embeddings/chat-log-message-m-x-16d-queries.vec"
+    assert row.output_queries_vec == f"{path}/queries.vec"
     assert "dataset_name" not in json.load(open(f"{path}/meta.json"))
     assert np.array_equal(on_disk(f"{path}/queries.vec"), expected(10))
 
@@ -127,7 +133,7 @@ def test_single_file_dataset(spark, mock, tmp_path):
     write_dataset(mock, path, DIM, shards=1, dataset_name=" one ", **FIELDS)
     row = resolve_dataset(spark, "one", str(tmp_path))[1].first()
     assert row.num_shards is None and row.shard_sizes is None and row.dataset_name == "one"
-    assert row.output_docs_vec == "data/embeddings/one/docs.vec"
+    assert row.output_docs_vec == f"{path}/docs.vec"
     with pytest.raises(ValueError, match="not found"):
         resolve_dataset(spark, "two", str(tmp_path))
 
@@ -163,3 +169,38 @@ def test_shards_grow_with_the_data():
     assert fitting_shards(1000, 1024) == 16
     assert fitting_shards(25_000_000_000, 1024) % 16 == 0
     assert fitting_shards(25_000_000_000, 1024) >= 25_000_000_000 * 4096 / 2**30
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_empty_shards_are_files(spark, mock, tmp_path, rows):
+    path = str(tmp_path / "few")
+    write_dataset(mock.where(f"id < {rows}"), path, DIM, shards=8, **FIELDS)
+    assert sum(n.startswith("docs-shard-") for n in os.listdir(path)) == 8
+    assert is_complete(path)
+    assert read_vec(spark, path, DIM).count() == rows
+
+
+def test_documents_rewritten_alone_are_not_complete(spark, mock, tmp_path):
+    path = str(tmp_path / "set")
+    write_dataset(mock, path, DIM, shards=2, num_queries=10, **FIELDS)
+    write_vec(assign_even(mock.limit(60), 2), path, DIM, 2)
+    assert not is_complete(path)
+
+
+def test_relative_paths(spark, mock, tmp_path):
+    path = os.path.relpath(tmp_path / "set")
+    write_dataset(mock, path, DIM, shards=2, num_queries=10, **FIELDS)
+    assert is_complete(path) and os.path.exists(tmp_path / "set" / "meta.json")
+    assert read_vec(spark, path, DIM).count() == 1003
+
+
+def test_stored_dataset_in_one_call(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, DIM)).astype("float32"))]
+    path = str(tmp_path / "set")
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    write_dataset(vectors, path, DIM, shards=4, num_queries=20, **FIELDS)
+    report = evaluate_dataset(spark, path, 2, (1, 10)).report.collect()
+    assert {(r.k, r.merged_recall, r.num_queries, r.num_docs) for r in report} == {
+        (1, 1.0, 20, 200), (10, 1.0, 20, 200)
+    }
