@@ -43,6 +43,23 @@ def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def src_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents among lines that must drop out, and a text that only looks empty."""
+    path, kind = scratch_path(spark, "lines"), F.col("doc_id") % 8
+    whole = F.to_json(F.struct("text"))
+    line = (
+        F.when(kind == 0, F.concat(whole, F.lit(" trailing")))
+        .when(kind == 1, F.concat(whole, whole))
+        .when(kind == 2, '{"text": 0}')
+        .when(kind == 3, '{"text": "0"}')
+        .when(kind == 4, '{"text": []}')
+        .when(kind == 5, "{'text': 'single quotes'}")
+        .otherwise(whole)
+    )
+    table(spark, sf_dir, "documents").orderBy("doc_id").select(line.alias("value")).write.text(path)
+    return read_jsonl(spark, path).select("doc_id", "text")
+
+
 def src_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "messages")
     messages(spark, sf_dir).orderBy("conv_id", "turn").select("text").write.text(path)
@@ -188,6 +205,7 @@ def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "src_jsonl": src_jsonl,
+    "src_jsonl_strict": src_jsonl_strict,
     "src_text_dir": src_text_dir,
     "src_messages": src_messages,
     "message_chunks": message_chunks,

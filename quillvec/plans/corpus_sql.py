@@ -143,6 +143,10 @@ ORACLES = {
     "src_jsonl": """
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, length(text) AS n_chars, text
 FROM documents WHERE text <> ''""",
+    "src_jsonl_strict": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id,
+       CASE WHEN doc_id % 8 = 3 THEN '0' ELSE text END AS text
+FROM documents WHERE doc_id % 8 IN (3, 6, 7) AND (doc_id % 8 = 3 OR text <> '')""",
     "src_text_dir": f"""
 SELECT row_number() OVER (ORDER BY 'doc_id=' || doc_id || '/') - 1 AS doc_id,
        length(text) + 1 AS n_chars, text || chr(10) AS text

@@ -167,6 +167,7 @@ SELECT k, qid,
   round(CASE WHEN relevant = 0 THEN 0 ELSE overlap / relevant END, 6) + 0.0 AS recall_at_k
 FROM hash_overlap""",
     "search_report": f"{HASH_REPORT} SELECT * FROM hash_report",
+    "dataset_report": f"{HASH_REPORT} SELECT * FROM hash_report",
     "summary_lines": f"""
 {HASH_REPORT}
 SELECT k, concat_ws(chr(9), 'SUMMARY', 'embeddings', k, 'N/A', 'N/A', 'N/A',

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.functions import vector as V
+from quillvec.operators.candidates import HyperplaneHash
 from quillvec.operators.dedup import dedup_vectors, duplicate_counts
 from quillvec.operators.embedding import mean_pool
 from quillvec.operators.sharding import (
@@ -17,6 +18,9 @@ from quillvec.operators.sharding import (
 from quillvec.plans.tables import (
     CREATED_AT,
     DIM,
+    KS,
+    LSH_BITS,
+    LSH_TABLES,
     SHARDS,
     VEC_SHARDS,
     longs,
@@ -25,7 +29,7 @@ from quillvec.plans.tables import (
     vectors,
 )
 from quillvec.session import scratch_path
-from quillvec.sources.dataset import write_dataset
+from quillvec.sources.dataset import build_shards, dedup_dataset, evaluate_dataset, write_dataset
 from quillvec.sources.manifest import build_manifest, resolve_dataset, validate_dataset
 from quillvec.sources.vecfile import read_vec, write_vec
 
@@ -145,8 +149,8 @@ def shard_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "single")
-    write_vec(sharded(spark, sf_dir, 1), path, DIM, shards=1)
+    path = scratch_path(spark, "written")
+    write_vec(sharded(spark, sf_dir), path, DIM, shards=SHARDS)
     return values(read_vec(spark, path, DIM), "id")
 
 
@@ -177,7 +181,32 @@ def manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {**MANIFEST_FIELDS, "dataset_name": "given"}
     write_dataset(vectors(spark, sf_dir), path, DIM, shards=SHARDS, **fields)
     validate_dataset(spark, path)
-    return _flat_manifest(resolve_dataset(spark, "given", base)[1])
+    found = _flat_manifest(resolve_dataset(spark, "given", base)[1])
+    # The manifest names its files by the scratch folder, which differs from run to run.
+    named = F.replace("output_queries_vec", F.lit(f"{base}/"), F.lit("data/"))
+    return found.withColumn("output_queries_vec", named)
+
+
+def dataset_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored dataset in which every third vector has a copy, without the copies."""
+    given, path = vectors(spark, sf_dir), scratch_path(spark, "copied")
+    count = given.count()
+    copies = given.where("id % 3 = 0").withColumn("id", (F.col("id") / 3 + count).cast("long"))
+    both = given.select("id", "embedding").union(copies.select("id", "embedding"))
+    write_dataset(both, path, DIM, shards=VEC_SHARDS, **MANIFEST_FIELDS)
+    out = scratch_path(spark, "unique-set")
+    dedup_dataset(spark, path, out)
+    kept = longs(build_shards(spark, out, SHARDS), "shard")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return kept.select("id", "shard", total.alias("total")).withColumn("total", rounded("total"))
+
+
+def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored dataset evaluated by its own query file, regrouped into fewer shards."""
+    path = scratch_path(spark, "evaluated")
+    write_dataset(vectors(spark, sf_dir), path, DIM, shards=VEC_SHARDS, **MANIFEST_FIELDS)
+    rule = HyperplaneHash(LSH_TABLES, LSH_BITS, DIM)
+    return evaluate_dataset(spark, path, SHARDS, KS, rule).report
 
 
 QUERIES = {
@@ -200,4 +229,6 @@ QUERIES = {
     "vec_dataset_scan": vec_dataset_scan,
     "manifest": manifest,
     "manifest_read": manifest_read,
+    "dataset_dedup": dataset_dedup,
+    "dataset_report": dataset_report,
 }

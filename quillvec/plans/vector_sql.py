@@ -103,4 +103,7 @@ SELECT vec_id AS id, {evenly(16)} AS shard,
        round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings""",
     "manifest": manifest(None),
     "manifest_read": manifest("given"),
+    "dataset_dedup": f"""
+SELECT vec_id AS id, ({evenly(16)}) // 2 AS shard,
+       round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings""",
 }
