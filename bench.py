@@ -30,12 +30,14 @@ HEADLINE = (
     "knn_per_shard",
     "knn_merge",
     "knn_multi_k",
+    "knn_cosine",
     "knn_lsh",
     "knn_ivf",
     "knn_floor_pruned",
     "lookups_saved",
     "knn_recall",
     "search_report",
+    "dataset_report",
     "shard_sweep",
     "snapshot_floor",
     "run_log_report",
