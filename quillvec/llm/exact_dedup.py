@@ -31,6 +31,8 @@ KEY_BITS = 64
 #: Buckets per shuffle partition, about, and the least capacity in bytes.
 BUCKETS_PER_PARTITION = 4
 LEAST_CAPACITY = 1 << 18
+#: Key bits by which full buckets may be deeper than the first histogram.
+MORE_BITS = 6
 
 ENTRY = "key long, norm binary, n_chars long, doc_id long, members long"
 INDEX = "bucket int, key long, chain int, text_sha256 string, keep_id long, group_size long"
@@ -120,39 +122,45 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def directory(sizes: DataFrame, capacity: int, start_bits: int) -> tuple[int, list[tuple[int, int]]]:
     """Global depth and ``(slot, bucket)`` pairs, from rows ``(key, bytes)`` of distinct keys.
 
-    The histogram is counted ``start_bits`` deep and refined only below buckets
-    that are still too full there. It and the directory have a number of entries
-    bounded by total bytes / capacity, whatever the number of rows.
+    A bucket is full if it is over the capacity without its largest key, as no
+    split makes a key smaller: a bucket of one key is never full, nor is a long
+    text among short ones. The histogram is counted ``start_bits`` deep and refined
+    only below full buckets, ``MORE_BITS`` deeper at most, which bounds it and the
+    directory by ``2 ** (start_bits + MORE_BITS)`` entries whatever the rows. Depth
+    decides on balance alone: a bucket that is full down there has one owner too.
     """
-    depth = start_bits
-    weights = {
-        (depth, r["p"]): r["b"]
-        for r in sizes.groupBy(_prefix("key", depth).alias("p")).agg(F.sum("bytes").alias("b")).collect()
-    }
-    while depth < KEY_BITS:
-        full = [p for (d, p), b in weights.items() if d == depth and b > capacity]
-        if not full:
+    depth, deepest = start_bits, min(start_bits + MORE_BITS, KEY_BITS)
+
+    def histogram(rows: DataFrame, bits: int) -> dict[tuple[int, int], tuple[int, int]]:
+        counted = rows.groupBy(_prefix("key", bits).alias("p")).agg(
+            F.sum("bytes").alias("b"), F.max("bytes").alias("m")
+        )
+        return {(bits, r["p"]): (r["b"], r["m"]) for r in counted.collect()}
+
+    def full(inside: list[tuple[int, int]]) -> bool:
+        return sum(b for b, _ in inside) - max((m for _, m in inside), default=0) > capacity
+
+    weights = histogram(sizes, depth)
+    while depth < deepest:
+        over = [p for (d, p), weight in weights.items() if d == depth and full([weight])]
+        if not over:
             break
-        deeper = min(depth + 4, KEY_BITS)
-        below = sizes.where(_prefix("key", depth).isin(full))
-        for r in below.groupBy(_prefix("key", deeper).alias("p")).agg(F.sum("bytes").alias("b")).collect():
-            weights[(deeper, r["p"])] = r["b"]
-        for p in full:
+        deeper = min(depth + 4, deepest)
+        weights |= histogram(sizes.where(_prefix("key", depth).isin(over)), deeper)
+        for p in over:
             del weights[(depth, p)]
         depth = deeper
-        if depth >= start_bits + 24:  # many equal prefixes: one long text, not many keys
-            break
-    # Doubling: split a bucket only while what it holds is over the capacity.
+    # Doubling: split a bucket only while it is full.
     buckets: list[tuple[int, int]] = []
     pending = [(0, 0, weights)]
     while pending:
         bits, prefix, inside = pending.pop()
-        if sum(inside.values()) <= capacity or all(d <= bits for d, _ in inside):
+        if not full(list(inside.values())) or all(d <= bits for d, _ in inside):
             buckets.append((bits, prefix))
             continue
         halves: tuple[dict, dict] = ({}, {})
-        for (d, p), b in inside.items():
-            halves[(p >> (d - bits - 1)) & 1][(d, p)] = b
+        for (d, p), weight in inside.items():
+            halves[(p >> (d - bits - 1)) & 1][(d, p)] = weight
         pending += [(bits + 1, prefix * 2 + side, halves[side]) for side in (0, 1)]
     deepest = max(bits for bits, _ in buckets)
     slots = []

@@ -107,6 +107,24 @@ def test_directory_splits_full_buckets(spark):
     assert [s for s, _ in slots] == list(range(1 << depth)) and depth >= 6
 
 
+def test_a_long_text_does_not_deepen_the_directory(spark):
+    small = [((i * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63), 70) for i in range(500)]
+    sizes = spark.createDataFrame([*small, (12345, 1 << 20)], "key long, bytes long")
+    depth, slots = exact_dedup.directory(sizes, 1 << 18, 6)
+    assert depth == 0 and slots == [(0, 0)]
+    # Several long keys with one prefix: the depth stays bounded.
+    close = spark.createDataFrame([(5 + i, 1 << 20) for i in range(3)], "key long, bytes long")
+    depth, slots = exact_dedup.directory(close, 1 << 18, 6)
+    assert [s for s, _ in slots] == list(range(1 << depth)) and depth <= 12
+
+
+def test_exact_groups_of_a_very_long_text(spark):
+    texts = ["word " * 200_000, *(f"text {i % 20}" for i in range(40)), " word" * 200_000]
+    rows = exact_dedup.exact_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == 42 and {r.doc_id for r in rows if r.kept} == set(range(21))
+    assert {r.group_size for r in rows} == {2}
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(3)
     sizes = [rng.randint(1, 512) for _ in range(600)]
