@@ -398,3 +398,35 @@ def test_pipeline_keeps_one_of_each_class(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == kept
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality_rules"
+
+
+def test_sets_without_an_id_link_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    step = [" ".join(["x"] * k + base[k:]) for k in (0, 9, 18)]  # neighbours are similar, the ends are not
+    texts = [(1, step[0]), (None, step[1]), (None, step[1]), (3, step[2]), (None, "some other words of its own here")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = shingle_join.similar_classes(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 1), (0, 1), (1, 1), (3, 1)]
+
+
+def test_stages_keep_rows_without_an_id(spark, edges):
+    other = "another text of quite different words that nobody else has " * 2
+    near = " ".join(f"v{i}" for i in range(100))
+    more = [(None, t, "en", "s", 0, "w", 1, 2, "k") for t in (other, near, near + " z", "  " + EDGE[6], near + " z ")]
+    docs = edges.union(spark.createDataFrame(more, SCHEMA)).repartition(3)
+    distinct = corpus_pipeline.distinct_texts(spark, docs, SF)
+    texts = Counter((r.doc_id, r.text) for r in distinct.collect())
+    lone = "no id at all, still a text of some words"
+    assert Counter((None, t) for t in (other, near, near + " z ", "  " + EDGE[6], lone)) <= texts
+    groups = {re.sub(r"\s", "", r.text or "") for r in docs.collect()}
+    assert sorted(re.sub(r"\s", "", t or "") for _, t in texts.elements()) == sorted(groups)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.dissimilar_texts(spark, distinct, SF).collect()]
+    assert (None, other) in left and (None, lone) in left and (None, "  " + EDGE[6]) in left
+    assert len([t for _, t in left if t and t.startswith(near)]) == 1
+    assert len(left) == len(texts) - 2  # LONG and LONG + "x", and the two of near
+    # The other stages lose no row for want of an id; the rules reject the other texts for their words.
+    good = corpus_pipeline.good_quality(spark, docs, SF)
+    assert [r.text for r in good.where("doc_id is null").collect()] == [lone]
+    assert corpus_pipeline.without_private_data(spark, docs.drop("spans"), SF).count() == docs.count()
+    packed = corpus_pipeline.packed(spark, docs, SF)
+    assert packed.where("start = 0").count() == docs.count()
