@@ -337,6 +337,28 @@ def test_site_tree_drops_what_every_page_repeats(spark):
     assert site_tree.main_texts(df.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["article", "div"])
+def test_copies_of_a_page_erase_no_text(spark, mark):
+    def page(i):
+        body = f"<div class=box><p>Text {i} of {i * 7}</p><ul><li>Item {i}</li></ul></div>"
+        return f"<body><div class=top>Our site</div><{mark} class=content>{body}</{mark}></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(max(i, 899))) for i in range(1000)]
+    rows += [(1000 + i, f"http://copies.example/{i}", page(0)) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.main_texts(df).collect()}
+    want = {i: f"Text {k} of {k * 7}\n\nItem {k}" for i in range(1020) for k in [0 if i >= 1000 else max(i, 899)]}
+    assert {i: got[i].removeprefix("Our site\n\n") for i in got} == want
+    assert all(not got[i].startswith("Our site") for i in range(1000))
+
+
+def test_an_article_is_not_judged_by_importance():
+    page = "<body><article><section class=s><ul><li>one</ul><table><tr><td>two</table></section></article></body>"
+    path = "/body/article/section.s"
+    low = frozenset((path, f"{path}/ul", f"{path}/table", f"{path}/table/tr"))
+    assert site_tree.Page(page, low).text() == "one\n\ntwo"
+
+
 class _Tiny(sampled_pieces.Lattice):
     def __init__(self):
         self.weight = {p: (i, w) for i, (p, w) in enumerate([("▁", -1.0), ("a", -1.0), ("b", -1.5), ("ab", -1.2), ("▁a", -0.7)])}
