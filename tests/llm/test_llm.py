@@ -359,6 +359,29 @@ def test_an_article_is_not_judged_by_importance():
     assert site_tree.Page(page, low).text() == "one\n\ntwo"
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='layout with-sidebar'><article>{0}</article></div>",
+        "<div class='content no-sidebar'>{0}</div>",
+        "<div id='site-header-fixed'>{0}</div>",
+        "<div class=sidebar><article>{0}</article></div>",
+        "<div class=sidebar>gone<article>{0}</article>gone</div>",
+        "<article><div class='article-header'><h1>Title</h1></div><p>Text</p></article>",
+        "<article><div class='entry-header'><h1>Title</h1></div><div class=share>gone</div><p>Text</p></article>",
+        "<article><h1>Title</h1><section class=related-work><p>Text</p></section></article>",
+        "<article><h1>Title</h1><div class=tags-and-text><p>Text</p></div></article>",
+        "<article><h1>Title</h1><div class=notice-text><p>Text</p></div></article>",
+        "<article>{0}</article><div class=comments><article>gone</article></div>"
+        "<div class=related><article>gone</article></div>",
+        "{0}<aside><article>gone</article></aside><div class='box cookie-notice siteFooter'>gone</div>",
+    ],
+)
+def test_words_of_a_class_do_not_drop_text(body):
+    page = body.format("<h1>Title</h1><p>Text</p>")
+    assert site_tree.Page(f"<body>{page}</body>").text() == "Title\n\nText"
+
+
 class _Tiny(sampled_pieces.Lattice):
     def __init__(self):
         self.weight = {p: (i, w) for i, (p, w) in enumerate([("▁", -1.0), ("a", -1.0), ("b", -1.5), ("ab", -1.2), ("▁a", -0.7)])}
