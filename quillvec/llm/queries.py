@@ -12,10 +12,12 @@ from quillvec.llm import (
     private_spans,
     quality_rules,
     sampled_pieces,
+    secret_scan,
     sharding,
     shingle_join,
     site_tree,
     suffix_dedup,
+    token_alignment,
 )
 from quillvec.llm.common import table
 
@@ -101,6 +103,24 @@ def op10_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.col("groups")
+    return token_alignment.align(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.when(groups == "", groups).otherwise(F.sha2(groups, 256)).alias("groups_sha256"),
+    )
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,5 +134,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_shingle_join,
         op10_sampled_pieces,
+        op11_token_alignment,
+        op13_secret_scan,
     )
 }
