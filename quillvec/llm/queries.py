@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.llm import (
+    conversation_trie,
     exact_dedup,
     language_id,
     packing,
@@ -117,6 +118,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_trie.trie(*conversation_trie.rebuilt_conversations(turns))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -135,6 +141,7 @@ QUERIES = {
         op9_shingle_join,
         op10_sampled_pieces,
         op11_token_alignment,
+        op12_conversation_trie,
         op13_secret_scan,
     )
 }

@@ -58,4 +58,48 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
 """
 
-ORACLES = {"op6_quality_rules": OP6, "op8_exact_dedup": OP8}
+# The 32-bit cyclic redundancy check of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(
+  list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+  lambda acc, ch: list_reduce(
+    [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)), xor(acc, ch)),
+  4294967295::BIGINT), 4294967295::BIGINT)"""
+
+OP12 = rf"""
+WITH own AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), listed AS (
+  SELECT conv_id, list(said ORDER BY pos) AS turns, {_CRC} % 6 AS h FROM own GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id,
+         list_concat(coalesce(list_slice(f.turns, 1, c.h), []), coalesce(list_slice(c.turns, c.h + 1, len(c.turns)), [])) AS turns
+  FROM listed c LEFT JOIN listed f ON f.conv_id = c.conv_id - c.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, d AS depth, list_slice(turns, 1, d) AS prefix, d = len(turns) AS ends,
+         CASE WHEN d > 0 THEN list_slice(turns, 1, d - 1) END AS up
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT prefix, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, depth
+), kids AS (
+  SELECT up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up
+), counted AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+         CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.prefix[n.depth].t) ELSE 0 END AS own_saved
+  FROM nodes n LEFT JOIN kids k ON k.up = n.prefix
+), above AS (
+  SELECT list_slice(prefix, 1, d) AS prefix, n_children = 0 AS leaf, own_saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted)
+), subtrees AS (
+  SELECT prefix, count(*) FILTER (leaf) AS n_leaves, sum(own_saved)::BIGINT AS saved_tokens
+  FROM above GROUP BY prefix
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees s ON s.prefix = n.prefix LEFT JOIN nodes p ON p.prefix = n.up
+"""
+
+ORACLES = {"op6_quality_rules": OP6, "op8_exact_dedup": OP8, "op12_conversation_trie": OP12}
