@@ -9,8 +9,9 @@ of a smaller doc_id or before it in the same text.
    anchors, so strings are dealt to owners by anchor; about one stretch in thirty
    is one. Owners of anchor ranges first find which anchors stand in two places.
 3. Around those anchors only, the segments holding their strings are cut out.
-   Equal segments are settled by place: the first stays. Of the different
-   segments at one anchor the owner builds the suffix order of the strings, the
+   Equal segments are settled by place: the first stays. Segments at an anchor
+   that more than ``HOT`` texts share are first cut into their strings, which are
+   dealt by their own hash. Of the different segments at one anchor the owner builds the suffix order of the strings, the
    common prefix lengths of neighbours in it, and from previous and next smaller
    places the longest previous factor of each; ``WIDTH`` or more means it goes.
 4. The bytes to go are joined with the texts once more and cut out.
@@ -51,6 +52,13 @@ PACK = 4 << 20
 FINE = 2
 #: Strings of different segments that are sorted at a time.
 SORTED = 1 << 16
+#: Repeated anchors that a task gathers before it sends them on.
+MARKS = 1 << 18
+#: Texts with one anchor beyond which its strings are dealt one by one.
+HOT = 1 << 11
+#: Bytes of segments, each with ``CELL`` bytes for its entry, that a task gathers.
+HELD = 8 << 20
+CELL = 256
 LAST = (1 << 63) - 1
 PACKED = "bucket int, kind int, data binary"
 
@@ -149,7 +157,11 @@ def _parted(data: bytes, n: int) -> list[bytes]:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``key, anchor``: the anchors of each text that stand in two places."""
+    """The anchors of each text that stand in two places, packed by bucket of the text.
+
+    Rows of kind 1 hold ``key, anchor, hot``; an anchor is hot if more than
+    ``HOT`` texts have it.
+    """
     buckets = FINE * partitions(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +178,14 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
             yield _rows(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            marks = [np.concatenate([f[c] for f in found]) for c in range(3)]
+            found.clear()
+            return _rows(_by_text(marks, buckets, 1))
+
         for rows in _by_bucket(batches):
             hashes, keys = [], []
             for _, data in rows:
@@ -173,21 +193,31 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 hashes.append(np.frombuffer(h, dtype=np.uint64))
                 keys.append(np.frombuffer(k, dtype=np.int64)[np.frombuffer(place, dtype="<u4")])
             anchor, key = np.concatenate(hashes), np.concatenate(keys)
+            del hashes, keys
             order = np.argsort(anchor, kind="stable")
             anchor, key = anchor[order], key[order]
-            same = anchor[1:] == anchor[:-1]
-            often = np.zeros(len(anchor), dtype=bool)
-            often[1:] |= same
-            often[:-1] |= same
-            anchor, key = anchor[often].view(np.int64), key[often]
-            for at in range(0, len(anchor), 1 << 16):
-                yield pa.record_batch(
-                    [pa.array(key[at : at + (1 << 16)]), pa.array(anchor[at : at + (1 << 16)])],
-                    names=["key", "anchor"],
-                )
+            first = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]))
+            times = np.diff(first, append=len(anchor))
+            times = np.repeat(times, times)
+            often = times > 1
+            found.append((key[often], anchor[often].view(np.int64), (times[often] > HOT).astype(np.int64)))
+            held += int(often.sum())
+            if held >= MARKS:
+                yield flush()
+                held = 0
+        if found:
+            yield flush()
 
     sent = docs.mapInArrow(send, PACKED)
-    return _dealt(sent, buckets).mapInArrow(meet, "key long, anchor long")
+    return _dealt(sent, buckets).mapInArrow(meet, PACKED)
+
+
+def _by_text(columns: list[np.ndarray], buckets: int, kind: int) -> list[tuple[int, int, bytes]]:
+    """Rows of ``kind`` for arrays of which the first holds keys of texts."""
+    bucket = ((columns[0] >> 17) % buckets).astype(np.int32)
+    return [
+        (b, kind, _joined(*(p.tobytes() for p in parts))) for b, parts in _split(bucket, *columns)
+    ]
 
 
 def packed_texts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -220,18 +250,14 @@ def _unpack_texts(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def packed_arrays(rows: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
-    """Rows of longs with a ``key`` as arrays by the bucket of the key, of kind 1."""
+def packed_arrays(rows: DataFrame, buckets: int, columns: list[str], kind: int = 1) -> DataFrame:
+    """Rows of longs with a ``key`` as arrays by the bucket of the key."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = [np.asarray(batch.column(c)).astype(np.int64) for c in columns]
-            if not len(arrays[0]):
-                continue
-            bucket = ((arrays[0] >> 17) % buckets).astype(np.int32)
-            yield _rows(
-                [(b, 1, _joined(*(p.tobytes() for p in parts))) for b, parts in _split(bucket, *arrays)]
-            )
+            if len(arrays[0]):
+                yield _rows(_by_text(arrays, buckets, kind))
 
     return rows.select(*columns).mapInArrow(send, PACKED)
 
@@ -256,58 +282,83 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, by
         yield rows
 
 
-def _read(rows: list[tuple[int, bytes]], width: int) -> tuple[list[bytes], list[np.ndarray]]:
-    """The packed texts of a bucket, still compressed, and its arrays sorted by key."""
-    packs = [data for kind, data in rows if not kind]
-    parts = [[np.frombuffer(p, np.int64) for p in _parted(data, width)] for kind, data in rows if kind]
+def _read(rows: list[tuple[int, bytes]], width: int, kind: int = 1) -> list[np.ndarray]:
+    """The arrays of ``kind`` in a bucket, sorted by key."""
+    parts = [[np.frombuffer(p, np.int64) for p in _parted(d, width)] for k, d in rows if k == kind]
     columns = [
         np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)
         for c in range(width)
     ]
     order = np.argsort(columns[0], kind="stable")
-    return packs, [c[order] for c in columns]
+    return [c[order] for c in columns]
+
+
+def _packs(rows: list[tuple[int, bytes]]) -> list[bytes]:
+    """The packed texts of a bucket, still compressed."""
+    return [data for kind, data in rows if not kind]
 
 
 def _of(keys: np.ndarray, key: int) -> slice:
     return slice(int(np.searchsorted(keys, key)), int(np.searchsorted(keys, key, side="right")))
 
 
-def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
+def _strings(pieces: dict[bytes, tuple], hot: set[int], gone: list) -> dict[bytes, tuple]:
+    """``pieces`` with those at hot anchors replaced by their strings, the first of equal ones."""
+    out: dict[bytes, tuple] = {}
+    for piece, (doc, key, start, anchor, count, lead) in pieces.items():
+        if anchor not in hot:
+            out[piece] = (doc, key, start, anchor, count, lead)
+            continue
+        for i in range(count):
+            string = piece[i : i + WIDTH]
+            new = (doc, key, start + i, text_key(string), 1, 0)
+            old = out.get(string)
+            if old is None or new[:3] < old[:3]:
+                out[string] = new
+            else:
+                old = new
+            # The later of two equal strings goes; a piece of one string may be the other one.
+            if old is not None:
+                gone.append((old[1], old[2], old[4]))
+    return out
+
+
+def segments(texts: DataFrame, marks: DataFrame, firsts: DataFrame, buckets: int) -> DataFrame:
     """The segments at repeated anchors, packed by bucket of the anchor (kind 0), and what is settled.
 
     Of equal segments in one task the first goes on; the others are rows of kind
-    1 in the bucket of their text: ``key, start, strings`` that go.
+    1 in the bucket of their text: ``key, start, strings`` that go. Segments at a hot
+    anchor go on as single strings, dealt by what they say, so that no owner meets
+    all texts that hold one line.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         first_of: dict[bytes, tuple] = {}
         gone: list[tuple[int, int, int]] = []
+        hot: set[int] = set()
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
+            cells = list((_strings(first_of, hot, gone) if hot else first_of).items())
+            first_of.clear()
             rows = []
-            if first_of:
-                cells = list(first_of.items())
-                anchor = np.array([c[1][3] for c in cells], dtype=np.int64)
-                bucket = ((anchor.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-                for b, (place,) in _split(bucket, np.arange(len(cells))):
-                    own = [cells[i] for i in place.tolist()]
-                    heads = np.array(
-                        [(c[1][3], *c[1][:3], *c[1][4:], len(c[0])) for c in own], dtype=np.int64
-                    )
-                    rows.append((b, 0, squeeze.compress(_joined(heads.tobytes(), b"".join(c[0] for c in own)))))
+            if cells:
+                heads = np.array([(c[3], *c[:3], *c[4:], len(piece)) for piece, c in cells], dtype=np.int64)
+                bucket = ((heads[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+                for b, (place, head) in _split(bucket, np.arange(len(cells)), heads):
+                    body = b"".join(cells[i][0] for i in place.tolist())
+                    rows.append((b, 0, squeeze.compress(_joined(head.tobytes(), body))))
             if gone:
                 table = np.array(gone, dtype=np.int64)
-                bucket = ((table[:, 0] >> 17) % buckets).astype(np.int32)
-                for b, (part,) in _split(bucket, table):
-                    rows.append((b, 1, _joined(*(part[:, c].tobytes() for c in range(3)))))
-            first_of.clear()
-            gone.clear()
-            return _rows(rows)
+                gone.clear()
+                rows += _by_text([table[:, c] for c in range(3)], buckets, 1)
+            yield _rows(rows)
 
         for found_rows in _by_bucket(batches):
-            packs, (keys, firsts, marked) = _read(found_rows, 3)
+            packs = _packs(found_rows)
+            keys, marked, often = _read(found_rows, 3)
+            owners, first_docs = _read(found_rows, 2, kind=2)
             seen: set[int] = set()
             for data in packs:
                 wanted = []
@@ -319,7 +370,8 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
                 found = anchors([t for _, t, _ in wanted])
                 for (key, text, own), (hashes, starts, counts, leads) in zip(wanted, found, strict=True):
                     mine = np.isin(hashes.view(np.int64), marked[own])
-                    doc = int(firsts[own.start])
+                    hot.update(marked[own][often[own] > 0].tolist())
+                    doc = int(first_docs[np.searchsorted(owners, key)])
                     columns = (hashes[mine].view(np.int64), starts[mine], counts[mine], leads[mine])
                     for anchor, start, count, lead in zip(*(c.tolist() for c in columns), strict=True):
                         piece = text[start : start + count + WIDTH - 1]
@@ -327,18 +379,20 @@ def segments(texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
                         old = first_of.get(piece)
                         if old is None:
                             first_of[piece] = new
-                            held += len(piece)
-                        elif new[:3] < old[:3]:
-                            first_of[piece] = new
-                            gone.append((old[1], old[2], old[4]))
+                            held += len(piece) * (count if anchor in hot else 1) + CELL
                         else:
-                            gone.append((key, start, count))
-                    if held > 4 * PACK:
-                        yield flush()
-                        held = 0
-        yield flush()
-
-    both = texts.union(packed_arrays(marks, buckets, ["key", "first", "anchor"]))
+                            held += CELL
+                            if new[:3] < old[:3]:
+                                first_of[piece] = new
+                                gone.append((old[1], old[2], old[4]))
+                            else:
+                                gone.append((key, start, count))
+                        if held > HELD:
+                            yield from flush()
+                            held = 0
+        yield from flush()
+
+    both = texts.union(marks).union(packed_arrays(firsts, buckets, ["key", "first"], kind=2))
     return _dealt(both, buckets).mapInArrow(cut, PACKED)
 
 
@@ -455,7 +509,8 @@ def cut_out(texts: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
             yield from cut_bucket(rows)
 
     def cut_bucket(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        packs, (keys, starts, counts) = _read(rows, 3)
+        packs = _packs(rows)
+        keys, starts, counts = _read(rows, 3)
         seen: set[int] = set()
         for data in packs:
             out = []
@@ -514,10 +569,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     buckets = FINE * partitions(docs)
     thin = pin(docs.mapInArrow(_thin, "doc_id long, key long, n_bytes long, sha string"))
     firsts = thin.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
-    marks = repeated_anchors(docs).join(firsts, "key")
     texts = packed_texts(docs, buckets)
     # Written, because two stages start from the segments.
-    cut = pin(segments(texts, marks, buckets))
+    cut = pin(segments(texts, repeated_anchors(docs), firsts, buckets))
     owned = (
         _dealt(cut.where("kind = 0"), buckets)
         .mapInArrow(_own, "key long, start long, strings long")
