@@ -13,12 +13,20 @@ Equal scores rank by ascending id. Blocks are first scored in single precision o
 vectors scaled to length 1 at most, so that neither very small nor very large ones
 leave its range; whatever could be among the best K within the error bound of that
 is scored again in double, so the shortcut never shows in the result.
+
+A scan may have several arms, for example a rule, the exact search that it is
+measured by, and the counts of both; they share the reading and the documents'
+side of the work. Where a query has a score floor, documents are looked at zone by zone: no
+document of a zone can score above the query's length times the largest length in
+it, nor above the score of its centroid plus the query's length times its radius. A
+zone below the floor is not multiplied.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,14 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from quillvec.operators.candidates import NearestCells
+from quillvec.operators.candidates import HyperplaneHash, NearestCells
+from quillvec.operators.ids import dense_ids
 from quillvec.operators.sharding import shard_sizes
 from quillvec.session import scratch_path
 from quillvec.sources.paths import filesystem, qualified
 
 METRICS = ("dot", "cosine")
-HITS = "qid long, shard int, id long, score double"
-SCORED = "qid long, shard int, scored long"
+ARMS = "arm int, qid long, shard int, id long, score double, scored long"
+SIZES_ARM = -1  # rows of a scan that say how many documents a shard has
 DEFAULT_QUERIES = 5000
 DEFAULT_KS = (10, 100, 1000, 10000)
 
@@ -48,6 +57,8 @@ TILE_CELLS = 4 << 20  # scores computed at a time inside a task
 PAIR_CELLS = 1 << 18  # vector values gathered at a time; fits a core's cache
 HELD_ROWS = 8 << 20  # hits a task may hold before it hands them on
 SALT_FROM_PARTITIONS = 64
+ZONE_ROWS = 512  # documents that a score bound is taken over
+ZONE_SLACK = 1e-6  # of the largest possible score, added to a bound
 ROWS_PER_TASK = 32_768  # about 128 MB of vectors at 1024 dimensions
 FLOOR_GAIN = 4  # a floor repays its own search if it divides the hits shuffled by this
 
@@ -64,9 +75,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
         column.value_lengths().to_numpy(zero_copy_only=False) == dim
     ).all():
         raise ValueError(f"every vector must have {dim} values")
+    with np.errstate(over="ignore"):
+        flat = flat.astype(np.float32, copy=False)
     if not np.isfinite(flat).all():
-        raise ValueError("vectors must be finite; one has a NaN or an infinite value")
-    return flat.reshape(-1, dim).astype(np.float32, copy=False)
+        raise ValueError("vectors must be finite in single precision; one has a NaN or too large a value")
+    return flat.reshape(-1, dim)
 
 
 def _lengths(vectors: np.ndarray) -> np.ndarray:
@@ -83,35 +96,66 @@ def _inverse(lengths: np.ndarray) -> np.ndarray:
     return np.divide(1.0, lengths, out=np.zeros_like(lengths), where=lengths > 0)
 
 
+@dataclass(frozen=True)
+class Arm:
+    """One way of searching in a scan.
+
+    ``rule`` says which documents a query looks at, none means all. ``floor`` names a
+    column of the queries with scores below which nothing counts; a query without one
+    has no floor. Without ``zones`` every document is multiplied, without
+    ``hits`` they are only counted. ``fixed`` skips zones by the given floors alone
+    and not by what has been found since, so that counts depend on the zones only.
+    Without ``by_shard`` the arm searches all shards as one.
+    """
+
+    rule: HyperplaneHash | NearestCells | None = None
+    floor: str = "floor"
+    zones: bool = True
+    hits: bool = True
+    fixed: bool = False
+    by_shard: bool = True
+
+
 class QueryBlock:
-    """Query ids, matrix, optional score floors and candidate keys, as numpy arrays."""
+    """Query ids and matrix, and for one arm score floors and candidate keys, as numpy arrays."""
 
-    def __init__(self, table: pa.Table, dim: int, rule=None, metric: str = "dot"):
+    def __init__(self, table: pa.Table, dim: int, metric: str = "dot"):
+        self.table = table
         self.ids = table["qid"].to_numpy()
         self.vectors = _matrix(table["embedding"], dim)
         self.cosine = metric == "cosine"
         self.lengths = _lengths(self.vectors)
         self.scale = _inverse(self.lengths) if self.cosine else _powers(self.lengths)
         self.scaled = (self.vectors * self.scale[:, None]).astype(np.float32)
-        self.floors = np.full(len(self.ids), _LOWEST)
-        if "floor" in table.column_names:
-            given = table["floor"].to_numpy()
-            self.floors = np.where(np.isnan(given), _LOWEST, given)
-        self.rule = rule
-        self.keys = rule.query_keys(self.vectors.astype(np.float64)) if rule else None
+
+    def of(self, arm: Arm) -> QueryBlock:
+        """The same queries with the floors and keys of an arm."""
+        mine = copy(self)
+        mine.arm, mine.rule = arm, arm.rule
+        mine.floors = np.full(len(self.ids), _LOWEST)
+        if arm.floor in self.table.column_names:
+            given = self.table[arm.floor].to_numpy()
+            mine.floors = np.where(np.isnan(given), _LOWEST, given)
+        if arm.rule is not None:
+            mine.keys = arm.rule.query_keys(self.vectors.astype(np.float64))
+            mine.lists = arm.rule.query_lists(mine.keys)
+        return mine
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def candidates(self, rows: slice, document_keys: np.ndarray) -> np.ndarray:
-        return self.rule.matches(self.keys[:, rows], document_keys)
-
 
 class DocumentBlock:
-    """Documents of one shard in a batch, with a scaled copy for the first look."""
+    """Documents of one shard in a batch, with a scaled copy for the first look.
+
+    ``reach`` is the largest length in the stored block of each document, if
+    documents are stored so.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cosine: bool):
-        self.ids, self.vectors = ids, vectors
+    def __init__(
+        self, ids: np.ndarray, vectors: np.ndarray, cosine: bool, reach: np.ndarray | None = None
+    ):
+        self.ids, self.vectors, self.reach, self.cosine = ids, vectors, reach, cosine
         self.lengths = _lengths(vectors)
         # One factor for all inner products, so that they stay comparable.
         self.scale = (
@@ -119,6 +163,39 @@ class DocumentBlock:
         )
         self.scaled = (vectors * self.scale[:, None]).astype(np.float32)
 
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def part(self, rows: np.ndarray) -> DocumentBlock:
+        mine = copy(self)
+        mine.ids, mine.vectors, mine.lengths = self.ids[rows], self.vectors[rows], self.lengths[rows]
+        mine.scaled = self.scaled[rows]
+        mine.scale = self.scale[rows] if self.cosine else self.scale
+        mine.reach = None if self.reach is None else self.reach[rows]
+        return mine
+
+    def zones(self) -> list[np.ndarray]:
+        """Stored blocks, or else documents of about the same length."""
+        if self.reach is not None:
+            order = np.argsort(self.reach, kind="stable")
+            return np.split(order, np.flatnonzero(np.diff(self.reach[order])) + 1)
+        order = np.argsort(-self.lengths, kind="stable")
+        return [order[at : at + ZONE_ROWS] for at in range(0, len(order), ZONE_ROWS)]
+
+    def bounds(self, zones: list[np.ndarray], block: QueryBlock) -> np.ndarray:
+        """``(queries, zones)``: no document of the zone scores higher."""
+        lengths = np.ones(len(block)) if block.cosine else block.lengths
+        if self.reach is not None and not self.cosine:
+            reach = np.array([self.reach[rows[0]] for rows in zones])
+            return np.outer(lengths, reach) * (1 + ZONE_SLACK)
+        wide = (self.scaled if self.cosine else self.vectors).astype(np.float64)
+        asked = (block.scaled if self.cosine else block.vectors).astype(np.float64)
+        centres = np.array([wide[rows].mean(axis=0) for rows in zones])
+        radius = np.array([_lengths(wide[rows] - c).max() for rows, c in zip(zones, centres)])
+        reach = np.array([_lengths(wide[rows]).max() for rows in zones])
+        largest = np.outer(lengths, reach)
+        return np.minimum(largest, asked @ centres.T + np.outer(lengths, radius)) + ZONE_SLACK * largest
+
 
 def _tiles(queries: int, documents: int) -> Iterator[slice]:
     step = max(1, TILE_CELLS // max(1, documents))
@@ -176,9 +253,13 @@ class _Best:
             if not block.cosine:
                 floor = np.maximum(floor, -_HUGE) * block.scale[rows] * docs.scale
             q, d = _above(rough, np.where(self.floors[rows] > _LOWEST, floor, -_HUGE), self.k, slack)
-        score = _pair_scores(block, docs, rows[q], d)
-        reach = score >= self.floors[rows[q]]
-        self.parts.append((rows[q[reach]], docs.ids[d[reach]], score[reach]))
+        self.offer_pairs(block, docs, rows[q], d)
+
+    def offer_pairs(self, block: QueryBlock, docs: DocumentBlock, q: np.ndarray, d: np.ndarray) -> None:
+        """Score single pairs of query and document rows."""
+        score = _pair_scores(block, docs, q, d)
+        reach = score >= self.floors[q]
+        self.parts.append((q[reach], docs.ids[d[reach]], score[reach]))
         self.rows += int(np.count_nonzero(reach))
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,83 +279,136 @@ class _Best:
         return q, ids, score
 
 
-def _per_shard(batch: pa.RecordBatch | pa.Table, dim: int, rule):
-    """The batch cut by shard: ``(shard, ids, vectors, candidate keys)``."""
+def _per_shard(batch: pa.RecordBatch | pa.Table, dim: int, cosine: bool):
+    """The batch cut by shard: ``(shard, documents, stored cells or none)``."""
     vectors = _matrix(batch.column("embedding"), dim)
     ids = np.asarray(batch.column("id"))
     shards = np.asarray(batch.column("shard"))
-    stored = np.asarray(batch.column("cell")) if "cell" in batch.schema.names else None
+    cells, reach = (
+        np.asarray(batch.column(c)) if c in batch.schema.names else None for c in ("cell", "reach")
+    )
     for shard in np.unique(shards):
         rows = shards == shard
-        some, keys = vectors[rows], None
-        if stored is not None:
-            keys = stored[rows][None, :]
-        elif rule is not None:
-            keys = rule.document_keys(some.astype(np.float64))
-        yield int(shard), ids[rows], some, keys
-
+        docs = DocumentBlock(ids[rows], vectors[rows], cosine, None if reach is None else reach[rows])
+        yield int(shard), docs, None if cells is None else cells[rows]
+
+
+class _Search:
+    """One arm inside one task: the best hits and the documents scored, by shard."""
+
+    def __init__(self, block: QueryBlock, k: int):
+        self.block, self.k = block, k
+        self.best: dict[int, _Best] = {}
+        self.scored: dict[int, np.ndarray] = {}
+
+    def take(self, shard: int, docs: DocumentBlock, cells: np.ndarray | None) -> None:
+        block, arm = self.block, self.block.arm
+        shard = shard if arm.by_shard else 0
+        best = self.best.setdefault(shard, _Best(self.k, block.floors))
+        scored = self.scored.setdefault(shard, np.zeros(len(block), dtype=np.int64))
+        if block.rule is not None and block.rule.sparse(block.lists, len(docs)):
+            keys = block.rule.document_keys(docs.vectors.astype(np.float64))
+            for q, d in block.rule.pairs(block.keys, block.lists, keys):
+                scored += np.bincount(q, minlength=len(block))
+                for at in range(0, len(q) if arm.hits else 0, TILE_CELLS):
+                    best.offer_pairs(block, docs, q[at : at + TILE_CELLS], d[at : at + TILE_CELLS])
+                    if best.rows > HELD_ROWS:
+                        best.settle()
+        else:
+            self._take_groups(docs, cells, best, scored)
+        if best.rows > max(1 << 16, 2 * self.k * len(block)):
+            best.settle()
 
-def _hit_batch(queries: QueryBlock, shard: int, best: _Best) -> pa.RecordBatch:
-    q, ids, score = best.settle()
+    def _take_groups(
+        self, docs: DocumentBlock, cells: np.ndarray | None, best: _Best, scored: np.ndarray
+    ) -> None:
+        block, arm = self.block, self.block.arm
+        floors = block.floors if arm.fixed else best.floors
+        for rows, some, new in self._meetings(docs, cells, floors):
+            scored[rows] += len(some) if new is None else np.count_nonzero(new, axis=1)
+            if arm.hits:
+                for tile in _tiles(len(rows), len(some)):
+                    best.offer(block, rows[tile], some, None if new is None else new[tile])
+                    if best.rows > HELD_ROWS:
+                        best.settle()
+
+    def _meetings(self, docs: DocumentBlock, cells: np.ndarray | None, floors: np.ndarray):
+        """Queries, documents and the pairs among them that this arm scores."""
+        block, everyone = self.block, np.arange(len(self.block))
+        if block.rule is not None:
+            stored = cells is not None and isinstance(block.rule, NearestCells)
+            keys = cells[None, :] if stored else block.rule.document_keys(docs.vectors.astype(np.float64))
+            for rows, d, new in block.rule.meetings(block.keys, block.lists, keys):
+                yield rows, docs.part(d), new
+            return
+        if not block.arm.zones or not (floors > _LOWEST).any():
+            yield everyone, docs, None
+            return
+        zones = docs.zones()
+        needed = docs.bounds(zones, block) >= floors[:, None]
+        if needed.all():
+            yield everyone, docs, None
+            return
+        for zone, wanted in zip(zones, needed.T):
+            if wanted.any():
+                yield np.flatnonzero(wanted), docs.part(zone), None
+
+    def hits(self) -> Iterator[tuple[int, tuple]]:
+        for shard, best in self.best.items():
+            yield shard, best.settle()
+
+
+def _rows(arm: int, shard: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    types = {"qid": pa.int64(), "id": pa.int64(), "score": pa.float64(), "scored": pa.int64()}
+    given = {
+        c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()
+    }
     return pa.record_batch(
         {
-            "qid": pa.array(queries.ids[q], pa.int64()),
-            "shard": pa.array(np.full(len(q), shard), pa.int32()),
-            "id": pa.array(ids, pa.int64()),
-            "score": pa.array(score, pa.float64()),
+            "arm": pa.array(np.full(n, arm), pa.int32()),
+            "qid": given["qid"],
+            "shard": pa.array(np.full(n, shard), pa.int32()),
+            "id": given["id"],
+            "score": given["score"],
+            "scored": given["scored"],
         }
     )
 
 
-def _scan_hits(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iterator:
-    best: dict[int, _Best] = {}
-    settle_from = max(1 << 16, 2 * k * len(queries))
-    for batch in batches:
-        for shard, ids, vectors, keys in _per_shard(batch, dim, queries.rule):
-            mine = best.setdefault(shard, _Best(k, queries.floors))
-            docs = DocumentBlock(ids, vectors, queries.cosine)
-            for tile in _tiles(len(queries), len(ids)):
-                rows, wanted = np.arange(tile.start, tile.stop), None
-                if keys is not None:
-                    wanted = queries.candidates(tile, keys)
-                    visiting = wanted.any(axis=1)  # others skip the block altogether
-                    rows, wanted = rows[visiting], wanted[visiting]
-                if len(rows):
-                    mine.offer(queries, rows, docs, wanted)
-                if mine.rows > HELD_ROWS:
-                    mine.settle()
-            if mine.rows > settle_from:
-                mine.settle()
-        if sum(b.rows for b in best.values()) > HELD_ROWS:
-            for b in best.values():
-                b.settle()
-            # One shard's best K always fit, see _scan; only several may not.
-            if sum(b.rows for b in best.values()) > HELD_ROWS:
-                for shard, b in best.items():
-                    yield _hit_batch(queries, shard, b)
-                best = {}
-    for shard, b in best.items():
-        yield _hit_batch(queries, shard, b)
+def _search(
+    batches: Iterable, asked: QueryBlock, arms: tuple[Arm, ...], k: int, counts: bool, sizes: bool
+) -> Iterator[pa.RecordBatch]:
+    """All arms over the batches of a task: hits, and if wanted counts and shard sizes."""
+    searches = [_Search(asked.of(arm), k) for arm in arms]
+    held: dict[int, int] = {}
 
+    def taken() -> Iterator[pa.RecordBatch]:
+        for number, one in enumerate(searches):
+            for shard, (q, ids, score) in one.hits():
+                yield _rows(number, shard, qid=asked.ids[q], id=ids, score=score)
+            one.best = {}
 
-def _scan_counts(batches: Iterable, queries: QueryBlock, k: int, dim: int) -> Iterator:
-    scored: dict[int, np.ndarray] = {}
     for batch in batches:
-        for shard, ids, _, keys in _per_shard(batch, dim, queries.rule):
-            mine = scored.setdefault(shard, np.zeros(len(queries), dtype=np.int64))
-            if keys is None:
-                mine += len(ids)
-                continue
-            for tile in _tiles(len(queries), len(ids)):
-                mine[tile] += np.count_nonzero(queries.candidates(tile, keys), axis=1)
-    for shard, counts in scored.items():
-        yield pa.record_batch(
-            {
-                "qid": pa.array(queries.ids, pa.int64()),
-                "shard": pa.array(np.full(len(counts), shard), pa.int32()),
-                "scored": pa.array(counts, pa.int64()),
-            }
-        )
+        for shard, docs, cells in _per_shard(batch, asked.vectors.shape[1], asked.cosine):
+            held[shard] = held.get(shard, 0) + len(docs)
+            for one in searches:
+                one.take(shard, docs, cells)
+        if sum(b.rows for one in searches for b in one.best.values()) > HELD_ROWS:
+            for one in searches:
+                for best in one.best.values():
+                    best.settle()
+            # One shard's best K always fit, see _scan; only several may not.
+            if sum(b.rows for one in searches for b in one.best.values()) > HELD_ROWS:
+                yield from taken()
+    yield from taken()
+    if counts:
+        for number, one in enumerate(searches):
+            for shard, scored in one.scored.items():
+                yield _rows(number, shard, qid=asked.ids, scored=scored)
+    if sizes:
+        for shard, n in held.items():
+            yield _rows(SIZES_ARM, shard, scored=[n])
 
 
 @dataclass(frozen=True)
@@ -292,12 +426,13 @@ class QuerySet:
 def load_queries(
     queries: DataFrame, dim: int, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> QuerySet:
-    """Prepare ``(qid, embedding[, floor])``; reads at most one row more than may be broadcast.
+    """Prepare ``(qid, embedding[, floor...])``; reads at most one row more than may be broadcast.
 
     A larger set is stored by a hash of its ids, in groups of about half that size.
     """
     spark = queries.sparkSession
-    frame = queries.select("qid", "embedding", *(c for c in ("floor",) if c in queries.columns))
+    floors = (c for c in queries.columns if c.startswith("floor"))
+    frame = queries.select("qid", "embedding", *floors)
     fits = max(1, max_broadcast_bytes // (dim * 8))
     table = frame.limit(fits + 1).toArrow()
     if table.num_rows <= fits:
@@ -317,38 +452,46 @@ def _stored_group(path: str) -> pa.Table | None:
     return pads.dataset(where, filesystem=fs, format="parquet").to_table()
 
 
-def _doc_columns(docs: DataFrame, by_shard: bool, rule) -> DataFrame:
+def _doc_columns(docs: DataFrame, by_shard: bool, arms: tuple[Arm, ...]) -> DataFrame:
     shard = F.col("shard") if by_shard and "shard" in docs.columns else F.lit(0)
-    cell = ["cell"] if isinstance(rule, NearestCells) and "cell" in docs.columns else []
-    return docs.select("id", shard.cast("int").alias("shard"), "embedding", *cell)
+    used = {"cell"} if any(isinstance(a.rule, NearestCells) for a in arms) else set()
+    used |= {"reach"} if any(a.rule is None and a.zones for a in arms) else set()
+    more = [c for c in ("cell", "reach") if c in used and c in docs.columns]
+    return docs.select("id", shard.cast("int").alias("shard"), "embedding", *more)
 
 
-def _scan(
+def scan_arms(
     docs: DataFrame,
     queries: DataFrame | QuerySet,
     k: int,
     dim: int,
-    rule,
-    body,
-    schema: str,
+    arms: tuple[Arm, ...],
     by_shard: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     metric: str = "dot",
+    counts: bool = False,
 ) -> DataFrame:
+    """One scan of the documents for all ``arms``: ``(arm, qid, shard, id, score, scored)``.
+
+    Rows with an ``id`` are hits, at least the best K per arm, query and shard. With
+    ``counts``, rows without one say how many documents of a shard a query was
+    compared with, and rows of ``SIZES_ARM`` how many it has; add them up.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
-    docs = _doc_columns(docs, by_shard, rule)
+    docs = _doc_columns(docs, by_shard, arms)
     if not isinstance(queries, QuerySet):
         queries = load_queries(queries, dim, max_broadcast_bytes)
     shared, stored = queries.shared, queries.stored
 
-    def scan_for(find) -> DataFrame:
+    def scan_for(find, first: bool) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = find()
             if asked is not None:
-                yield from body(batches, QueryBlock(asked, dim, rule, metric), k, dim)
+                block = QueryBlock(asked, dim, metric)
+                yield from _search(batches, block, arms, k, counts, counts and first)
 
-        return docs.mapInArrow(scan, schema)
+        return docs.mapInArrow(scan, ARMS)
 
     def some(start: int, count: int):
         return lambda: shared.value.slice(start, count)
@@ -357,15 +500,34 @@ def _scan(
         return lambda: _stored_group(f"{stored}/_group={number}")
 
     # Documents stay where they are, whatever the number of queries. A task holds
-    # K hits per query; where that is too much for all queries at once, the
+    # K hits per query and arm; where that is too much for all queries at once, the
     # documents are scanned once per group of queries. Reading again costs little
     # next to the arithmetic, which stays the same.
     if shared is None:
         finds = [group(n) for n in range(queries.groups)]
     else:
-        count = max(1, HELD_ROWS // (2 * k))
+        count = max(1, HELD_ROWS // (2 * k * len(arms)))
         finds = [some(start, count) for start in range(0, max(1, shared.value.num_rows), count)]
-    return reduce(DataFrame.unionByName, map(scan_for, finds))
+    scans = [scan_for(find, n == 0) for n, find in enumerate(finds)]
+    return reduce(DataFrame.unionByName, scans)
+
+
+def arm_hits(scanned: DataFrame, arm: int) -> DataFrame:
+    """``(qid, shard, id, score)`` that one arm of a scan found."""
+    found = scanned.where((F.col("arm") == arm) & F.col("id").isNotNull())
+    return found.select("qid", "shard", "id", "score")
+
+
+def arm_counts(scanned: DataFrame, arm: int) -> DataFrame:
+    """``(qid, shard, scored)``: documents each query was compared with."""
+    rows = scanned.where((F.col("arm") == arm) & F.col("id").isNull())
+    return rows.groupBy("qid", "shard").agg(F.sum("scored").alias("scored"))
+
+
+def scanned_sizes(scanned: DataFrame) -> DataFrame:
+    """``(shard, size)`` of the documents a scan has read."""
+    rows = scanned.where(F.col("arm") == SIZES_ARM)
+    return rows.groupBy("shard").agg(F.sum("scored").alias("size"))
 
 
 def query_set(vectors: DataFrame, n: int = DEFAULT_QUERIES, id_col: str = "id") -> DataFrame:
@@ -395,14 +557,19 @@ def shard_hits(
     docs: DataFrame, queries: DataFrame | QuerySet, k: int, dim: int, rule=None, **options
 ) -> DataFrame:
     """Hits found by the scan: at least the best K per query and shard, unranked."""
-    return _scan(docs, queries, k, dim, rule, _scan_hits, HITS, **options)
+    return arm_hits(scan_arms(docs, queries, k, dim, (Arm(rule),), **options), 0)
 
 
 def per_shard_top_k(
     docs: DataFrame, queries: DataFrame | QuerySet, k: int, dim: int, rule=None, **options
 ) -> DataFrame:
     """``(qid, shard, rank, id, score)``: the full K on every shard."""
-    return best_k(shard_hits(docs, queries, k, dim, rule, **options), k, ("qid", "shard"))
+    return per_shard_best(shard_hits(docs, queries, k, dim, rule, **options), k)
+
+
+def per_shard_best(hits: DataFrame, k: int) -> DataFrame:
+    """The K best hits of every query on every shard, with their ``rank``."""
+    return best_k(hits, k, ("qid", "shard"))
 
 
 def merge_top_k(per_shard: DataFrame, k: int) -> DataFrame:
@@ -476,20 +643,31 @@ def floor_part(docs: DataFrame, total: int) -> DataFrame:
 def scored_counts(
     docs: DataFrame, queries: DataFrame | QuerySet, dim: int, rule=None, **options
 ) -> DataFrame:
-    """``(qid, shard, scored)``: documents each query was compared with."""
-    partial = _scan(docs, queries, 1, dim, rule, _scan_counts, SCORED, **options)
-    return partial.groupBy("qid", "shard").agg(F.sum("scored").alias("scored"))
+    """``(qid, shard, scored)``: documents each query is compared with, without scoring them."""
+    arms = (Arm(rule, zones=False, hits=False),)
+    return arm_counts(scan_arms(docs, queries, 1, dim, arms, counts=True, **options), 0)
+
+
+def saved_lookups(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(qid, shard, size, scored, saved)`` with ``saved = max(0, size - scored)``.
+
+    ``sizes`` has a row per shard.
+    """
+    return counts.join(sizes, "shard").select(
+        "shard",
+        "qid",
+        "scored",
+        "size",
+        F.greatest(F.lit(0), F.col("size") - F.col("scored")).alias("saved"),
+    )
 
 
 def lookups_saved(
     docs: DataFrame, queries: DataFrame | QuerySet, dim: int, shards: int, rule=None, **options
 ) -> DataFrame:
-    """``(qid, shard, size, scored, saved)`` with ``saved = max(0, size - scored)``."""
+    """``(qid, shard, size, scored, saved)`` of a scan that only counts."""
     sizes = shard_sizes(docs, shards).select("shard", "size")
-    counts = scored_counts(docs, queries, dim, rule, **options)
-    return counts.join(F.broadcast(sizes), "shard").withColumn(
-        "saved", F.greatest(F.lit(0), F.col("size") - F.col("scored"))
-    )
+    return saved_lookups(scored_counts(docs, queries, dim, rule, **options), F.broadcast(sizes))
 
 
 def assign_cells(docs: DataFrame, rule: NearestCells) -> DataFrame:
@@ -521,11 +699,27 @@ def visited_cells(stored: DataFrame, queries: QuerySet, rule: NearestCells) -> D
     """The part of a cell table that at least one query visits; pruned by directory."""
     if queries.shared is None:
         return stored
-    block = QueryBlock(queries.shared.value, queries.dim, rule)
+    block = QueryBlock(queries.shared.value, queries.dim).of(Arm(rule))
     visited = np.flatnonzero(block.keys.any(axis=1))
     return stored.where(F.col("cell").isin([int(c) for c in visited]))
 
 
+def by_length(docs: DataFrame, rows: int = ZONE_ROWS) -> DataFrame:
+    """Documents with ``block`` and ``reach``: runs of ``rows`` in falling order of length.
+
+    ``reach`` is the largest length in a block, which bounds every inner product with
+    it. Store the result by ``block`` so that a task reads whole blocks.
+    """
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    measured = docs.withColumn("_length", F.sqrt(square))
+    keys = measured.select("id", (-F.col("_length")).alias("_down"))
+    placed = dense_ids(keys, ["_down", "id"], "_place").select(
+        "id", F.floor(F.col("_place") / rows).alias("block"), "_down"
+    )
+    reach = placed.groupBy("block").agg((-F.min("_down")).alias("reach"))
+    return docs.join(placed.drop("_down").join(reach, "block"), "id")
+
+
 def with_text(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """Hits with the text of the document they point to."""
     return hits.join(chunks.withColumnRenamed(id_col, "id"), "id")

@@ -47,6 +47,29 @@ def assign_ceil(
     return df.withColumn("shard", F.floor(F.col(id_col) / per_shard).cast("int"))
 
 
+def even_starts(total: int, shards: int) -> list[int]:
+    """First positions of the shards of an even cut."""
+    base, longer = divmod(total, shards)
+    return [s * base + min(s, longer) for s in range(shards)]
+
+
+def assign_refined(df: DataFrame, counts: tuple[int, ...], total: int, id_col: str = "id"):
+    """``df`` with ``shard`` cut wherever one of several even splits cuts, and the way back.
+
+    Returns the frame and, per count, the even shard that each of its pieces lies in.
+    There are at most ``sum(counts)`` pieces.
+    """
+    starts = sorted({s for n in counts for s in even_starts(total, n) if s < total} | {0})
+    cuts = F.array(*(F.lit(s).cast("long") for s in starts))
+    piece = F.size(F.filter(cuts, lambda c: c <= F.col(id_col))) - 1
+    owner = {}
+    for n in counts:
+        own = even_starts(total, n)
+        # Of shards that begin at one place only the last has rows.
+        owner[n] = [max(i for i, first in enumerate(own) if first <= s) for s in starts]
+    return df.withColumn("shard", piece.cast("int")), owner
+
+
 def regroup(df: DataFrame, from_shards: int, to_shards: int) -> DataFrame:
     """Join neighbouring shards so that ``to_shards`` remain; order is kept."""
     if to_shards < 1 or to_shards > from_shards or from_shards % to_shards:

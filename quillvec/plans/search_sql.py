@@ -129,10 +129,44 @@ COSINE = (
     " / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(x.v, x.v)))"
 )
 
+# Blocks of 64 in falling order of length; a block counts unless its longest vector stays below the floor.
+AB_PRUNED = f"""
+WITH scaled AS (
+  SELECT vec_id AS id, {evenly(8)} AS shard,
+         CAST(list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * pow(vec_id % 7 + 1, 2) AS FLOAT))
+         AS DOUBLE[]) AS v FROM embeddings),
+vecs AS (SELECT *, sqrt(list_inner_product(v, v)) AS len FROM scaled),
+placed AS (SELECT *, (row_number() OVER (ORDER BY len DESC, id) - 1) // 64 AS block FROM vecs),
+blocks AS (SELECT *, max(len) OVER (PARTITION BY block) AS reach FROM placed),
+scored AS (
+  SELECT q.id AS qid, q.len * x.reach * (1 + 1e-6) AS bound, x.id, x.shard, list_inner_product(q.v, x.v) AS s
+  FROM vecs q, blocks x WHERE q.id < 5000),
+{ranked('per_shard', 'scored', 10, 'qid, shard')},
+floors AS (SELECT qid, s AS floor FROM per_shard WHERE shard = 0 AND rank = 10),
+floored AS (SELECT * FROM scored LEFT JOIN floors USING (qid) WHERE s >= coalesce(floor, -1e308)),
+{ranked('kept', 'floored', 10, 'qid, shard')},
+{ranked('best_a', '(SELECT * EXCLUDE (rank) FROM per_shard)', 10)},
+{ranked('best_b', '(SELECT * EXCLUDE (rank) FROM kept)', 10)},
+recalls AS (
+  SELECT q.qid, (SELECT count(*) FROM best_a a JOIN best_b b USING (qid, id) WHERE a.qid = q.qid)
+         / (SELECT count(*) FROM best_b b WHERE b.qid = q.qid) AS recall
+  FROM ({QUERY_IDS}) q)
+SELECT CAST(10 AS BIGINT) AS k, count(*) AS num_queries, CAST(1.0 AS DOUBLE) AS merged_recall_a,
+       round(avg(recall), 4) AS merged_recall_b,
+       (SELECT count(*) FROM scored) AS scored_a,
+       (SELECT count(*) FROM scored LEFT JOIN floors USING (qid) WHERE bound >= coalesce(floor, -1e308))
+       + count(*) * (SELECT count(*) FROM vecs WHERE shard = 0) AS scored_b,
+       (SELECT count(*) FROM per_shard) AS handed_a, (SELECT count(*) FROM kept) AS handed_b
+FROM recalls"""
+
 CELL_TOP = f"""
 WITH {SCORED}, {CELL_CANDIDATES}, {ranked('hits', 'cell_scored', 10)}
 SELECT qid, rank, id, round(s, 9) + 0.0 AS score FROM hits"""
 
+HASH_TOP = f"""
+WITH {SCORED}, {HASH_CANDIDATES}, {ranked('hits', 'hash_scored', 10)}
+SELECT qid, rank, id, round(s, 9) + 0.0 AS score FROM hits"""
+
 ORACLES = {
     "knn_exact": PLAIN_TOP,
     "knn_per_shard": f"""
@@ -141,14 +175,15 @@ SELECT qid, shard, rank, id, round(s, 9) + 0.0 AS score FROM hits""",
     "knn_merge": PLAIN_TOP,
     "knn_small_norms": rescaled("1e-5", "list_inner_product(q.v, x.v)", "1e10"),
     "knn_cosine": rescaled("(vec_id % 7 + 1)", COSINE, "1.0"),
+    "knn_zones": rescaled("pow(vec_id % 7 + 1, 2)", "list_inner_product(q.v, x.v)", "1e-3"),
+    "ab_pruned": AB_PRUNED,
     "knn_stored_queries": PLAIN_TOP,
     "knn_multi_k": f"""
 WITH {SCORED}, {ranked('exact', 'scored', MAX_K)}
 SELECT CAST(k AS BIGINT) AS k, qid, rank, id, round(s, 9) + 0.0 AS score
 FROM exact JOIN {KS_TABLE} ON rank <= k""",
-    "knn_lsh": f"""
-WITH {SCORED}, {HASH_CANDIDATES}, {ranked('hits', 'hash_scored', 10)}
-SELECT qid, rank, id, round(s, 9) + 0.0 AS score FROM hits""",
+    "knn_lsh": HASH_TOP,
+    "knn_lsh_postings": HASH_TOP,
     "knn_ivf": CELL_TOP,
     "knn_ivf_stored": CELL_TOP,
     "knn_floor_pruned": PLAIN_TOP,
