@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillvec.functions import text as T
 from quillvec.operators.chunking import chunk, corpus_profile
 from quillvec.operators.embedding import (
+    Unavailable,
     embed,
     hashed_words,
     masked_mean_pool,
@@ -34,6 +35,7 @@ from quillvec.streaming.ingest import ingest
 SETS = tuple((dim, g) for dim in (1024, 384) for g in ("sentence", "paragraph"))
 SET_SHARDS = 16
 NEAREST = 10
+FIRST = 60
 
 
 def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,46 @@ def src_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_jsonl(spark, path).select("doc_id", "text")
 
 
+def src_jsonl_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, each beside a line that must drop out."""
+    path, kind = scratch_path(spark, "mixed-lines"), F.col("doc_id") % 4
+    whole = F.to_json(F.struct("text"))
+    broken = (
+        F.when(kind == 0, F.concat(whole, F.lit(" trailing")))
+        .when(kind == 1, '{"text": 0}')
+        .when(kind == 2, "{'text': 'single quotes'}")
+        .otherwise("")
+    )
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id")
+    docs.select(F.explode(F.array(whole, broken)).alias("value")).write.text(path)
+    return read_jsonl(spark, path).select("doc_id", "text")
+
+
+def src_jsonl_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents of many files, of which few are read."""
+    path = scratch_path(spark, "many-lines")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartitionByRange(40, "doc_id").sortWithinPartitions("doc_id").write.json(path)
+    return read_jsonl(spark, path, max_docs=FIRST).select("doc_id", "text")
+
+
+def embed_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors from an embedder that turns every batch down once before it answers."""
+    plain, refused = hashed_words(DIM), set()
+
+    def moody(texts: list[str]):
+        key = hash(tuple(texts))
+        if key not in refused:
+            refused.add(key)
+            raise Unavailable("busy")
+        return plain(texts)
+
+    chunks = chunk(documents(spark, sf_dir), "sentence")
+    vecs = embed(chunks, with_retry(moody, first_wait=0.01), DIM)
+    flat = rows_of(vecs, "doc_id", "pos").withColumn("value", rounded("value"))
+    return longs(flat, "pos", "d")
+
+
 def src_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "messages")
     messages(spark, sf_dir).orderBy("conv_id", "turn").select("text").write.text(path)
@@ -206,6 +248,9 @@ def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "src_jsonl": src_jsonl,
     "src_jsonl_strict": src_jsonl_strict,
+    "src_jsonl_all": src_jsonl_all,
+    "src_jsonl_first": src_jsonl_first,
+    "embed_retried": embed_retried,
     "src_text_dir": src_text_dir,
     "src_messages": src_messages,
     "message_chunks": message_chunks,

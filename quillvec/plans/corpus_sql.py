@@ -139,10 +139,19 @@ ranked AS (
   SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank
   FROM scored QUALIFY rank <= 10)"""
 
+EMBEDDED_CHUNKS = f"""
+WITH {SENTENCES}, {embedded('sentences')}
+SELECT doc_id, pos, d, round(CAST(value AS DOUBLE), 6) AS value FROM emb"""
+
 ORACLES = {
     "src_jsonl": """
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, length(text) AS n_chars, text
 FROM documents WHERE text <> ''""",
+    "src_jsonl_all": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text FROM documents WHERE text <> ''""",
+    "src_jsonl_first": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, text FROM documents WHERE text <> ''
+ORDER BY doc_id LIMIT 60""",
     "src_jsonl_strict": """
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id,
        CASE WHEN doc_id % 8 = 3 THEN '0' ELSE text END AS text
@@ -180,9 +189,8 @@ SELECT lang, count(*) AS documents, CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS sen
        CAST(sum(coalesce(p.n, 0)) AS BIGINT) AS paragraphs,
        round(avg(length(text)), 6) AS avg_chars
 FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN p USING (doc_id) GROUP BY lang""",
-    "embed_chunks": f"""
-WITH {SENTENCES}, {embedded('sentences')}
-SELECT doc_id, pos, d, round(CAST(value AS DOUBLE), 6) AS value FROM emb""",
+    "embed_chunks": EMBEDDED_CHUNKS,
+    "embed_retried": EMBEDDED_CHUNKS,
     "doc_vectors": f"""
 WITH {SENTENCES}, {embedded('sentences')},
 kept AS (SELECT doc_id, count(*) FILTER (length(text) >= 40) AS n FROM sentences GROUP BY 1),

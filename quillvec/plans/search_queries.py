@@ -33,6 +33,8 @@ from quillvec.streaming.snapshots import keep_latest, latest_snapshots
 TOP = 10
 SWEEP = (1, 2, 4, 8)
 BLOCK_ROWS = 64
+LARGE_KS = (1000, 10000)
+FEW_QUERIES = 120
 LEARNED_CELLS, LEARNED_PROBES = 16, (1, 2, 4, 8)
 HIT_STRUCT = "array<struct<id: bigint, score: double>>"
 
@@ -72,6 +74,15 @@ def knn_multi_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(search.at_each_k(_exact(spark, sf_dir), KS), "k", "qid")
 
 
+def knn_large_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very long hit lists, summed up: how many hits, the last score, the sum of ids."""
+    found = search.at_each_k(_exact(spark, sf_dir, max(LARGE_KS)), LARGE_KS)
+    lists = found.groupBy("k", "qid").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("score").alias("last"), F.sum("id").alias("ids")
+    )
+    return longs(lists.withColumn("last", rounded("last", 9)), "k")
+
+
 def knn_small_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors a hundred thousand times shorter have the same neighbours."""
     short = F.transform("embedding", lambda x: (x.cast("double") * 1e-5).cast("float"))
@@ -165,6 +176,12 @@ def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir, _asked(spark, sf_dir))
 
 
+def search_report_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over the first queries of the set only."""
+    docs, asked = sharded(spark, sf_dir), _asked(spark, sf_dir)
+    return evaluate(docs, asked, KS, SHARDS, lsh(), max_queries=FEW_QUERIES).report
+
+
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _report(spark, sf_dir, _asked(spark, sf_dir))
     return longs(quality.summary_lines(report, "embeddings"), "k")
@@ -332,6 +349,7 @@ QUERIES = {
     "knn_per_shard": knn_per_shard,
     "knn_merge": knn_merge,
     "knn_multi_k": knn_multi_k,
+    "knn_large_k": knn_large_k,
     "knn_small_norms": knn_small_norms,
     "knn_cosine": knn_cosine,
     "knn_stored_queries": knn_stored_queries,
@@ -344,6 +362,7 @@ QUERIES = {
     "knn_overlap": knn_overlap,
     "knn_recall": knn_recall,
     "search_report": search_report,
+    "search_report_few": search_report_few,
     "summary_lines": summary,
     "topk_dump": topk_dump,
     "ab_compare": ab_compare,

@@ -182,6 +182,24 @@ SELECT qid, shard, rank, id, round(s, 9) + 0.0 AS score FROM hits""",
 WITH {SCORED}, {ranked('exact', 'scored', MAX_K)}
 SELECT CAST(k AS BIGINT) AS k, qid, rank, id, round(s, 9) + 0.0 AS score
 FROM exact JOIN {KS_TABLE} ON rank <= k""",
+    "knn_large_k": f"""
+WITH {SCORED}, {ranked('exact', 'scored', 10000)}
+SELECT CAST(k AS BIGINT) AS k, qid, count(*) AS hits, round(min(s), 9) + 0.0 AS last,
+       CAST(sum(id) AS BIGINT) AS ids
+FROM exact JOIN (VALUES (1000), (10000)) AS t(k) ON rank <= k GROUP BY k, qid""",
+    "search_report_few": f"""
+{HASH_REPORT},
+few AS (SELECT * FROM hash_overlap WHERE qid < 120),
+few_saved AS (
+  SELECT CAST(floor(avg(saved)) AS BIGINT) AS lookups_saved FROM (
+    SELECT q.qid, (SELECT count(*) FROM embeddings) - count(s.id) AS saved
+    FROM ({QUERY_IDS}) q LEFT JOIN hash_scored s USING (qid) WHERE q.qid < 120 GROUP BY q.qid))
+SELECT k, round(avg(CASE WHEN retrieved = 0 THEN 0 ELSE overlap / retrieved END), 4) AS merged_recall,
+       round(avg(CASE WHEN relevant = 0 THEN 0 ELSE overlap / relevant END), 4) AS recall_at_k,
+       (SELECT lookups_saved FROM few_saved) AS lookups_saved,
+       (SELECT count(*) FROM embeddings) AS num_docs, CAST(8 AS BIGINT) AS num_shards,
+       count(*) AS num_queries
+FROM few GROUP BY k""",
     "knn_lsh": HASH_TOP,
     "knn_lsh_postings": HASH_TOP,
     "knn_ivf": CELL_TOP,

@@ -11,6 +11,7 @@ from quillvec.operators.dedup import dedup_vectors, duplicate_counts
 from quillvec.operators.embedding import mean_pool
 from quillvec.operators.sharding import (
     assign_ceil,
+    assign_even,
     regroup,
     regroup_ladder,
     shard_sizes,
@@ -32,6 +33,7 @@ from quillvec.session import scratch_path
 from quillvec.sources.dataset import build_shards, dedup_dataset, evaluate_dataset, write_dataset
 from quillvec.sources.manifest import build_manifest, resolve_dataset, validate_dataset
 from quillvec.sources.vecfile import read_vec, write_vec
+from quillvec.streaming.vectors import append_vectors, finalize
 
 MANIFEST_FIELDS = {
     "source": "text_dir",
@@ -162,6 +164,65 @@ def vec_dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("id", "shard", total.alias("total")).withColumn("total", rounded("total"))
 
 
+def _totals(df: DataFrame) -> DataFrame:
+    """``(id, shard, total)`` of stored vectors."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    kept = longs(df, "shard").select("id", "shard", total.alias("total"))
+    return kept.withColumn("total", rounded("total"))
+
+
+def vec_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of ids of two shards; other byte ranges are not opened."""
+    path = scratch_path(spark, "ranges")
+    write_vec(sharded(spark, sf_dir, VEC_SHARDS), path, DIM, shards=VEC_SHARDS)
+    return _totals(read_vec(spark, path, DIM).where("id >= 40 and id < 400 and shard in (3, 9)"))
+
+
+def vec_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and shards from the sizes of the files alone."""
+    path = scratch_path(spark, "places")
+    write_vec(sharded(spark, sf_dir, VEC_SHARDS), path, DIM, shards=VEC_SHARDS)
+    return longs(read_vec(spark, path, DIM, vectors="false"), "shard")
+
+
+def vec_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that ends in the middle of a vector, read without that vector.
+
+    It is made by reading vectors of 63 values from a file of vectors of 64.
+    """
+    path = scratch_path(spark, "partial")
+    write_vec(assign_even(vectors(spark, sf_dir), 1), path, DIM, shards=1)
+    return values(read_vec(spark, path, DIM - 1, on_partial="ignore"), "id")
+
+
+def vec_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset published by its list, written over by other vectors, then by the given ones again."""
+    path = scratch_path(spark, "published")
+    docs = sharded(spark, sf_dir, VEC_SHARDS)
+    write_vec(docs.where("id < 100"), path, DIM, VEC_SHARDS, layout="listed")
+    write_vec(docs, path, DIM, VEC_SHARDS, layout="listed")
+    return _totals(read_vec(spark, path, DIM))
+
+
+def skip_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finished dataset is left alone by a second write of other vectors."""
+    path, given = scratch_path(spark, "finished"), vectors(spark, sf_dir)
+    write_dataset(given, path, DIM, shards=VEC_SHARDS, **MANIFEST_FIELDS)
+    write_dataset(given.where("id < 10"), path, DIM, shards=VEC_SHARDS, **MANIFEST_FIELDS)
+    return _totals(read_vec(spark, path, DIM))
+
+
+def stream_vec_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors appended by a stream in several epochs, then cut into shards."""
+    inbox, appended, out = (scratch_path(spark, n) for n in ("inbox", "appended", "finalized"))
+    vectors(spark, sf_dir).select("id", "embedding").repartition(6).write.parquet(inbox)
+    arriving = spark.readStream.schema("id long, embedding array<float>").option("maxFilesPerTrigger", 2)
+    state = scratch_path(spark, "appended-state")
+    append_vectors(arriving.parquet(inbox), appended, DIM, state).awaitTermination()
+    finalize(spark, appended, out, DIM, VEC_SHARDS)
+    return _totals(read_vec(spark, out, DIM))
+
+
 def _flat_manifest(df: DataFrame) -> DataFrame:
     listed = ("shard_sizes", "shard_doc_offsets")
     return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in listed})
@@ -227,6 +288,12 @@ QUERIES = {
     "shard_ladder": shard_ladder,
     "vec_roundtrip": vec_roundtrip,
     "vec_dataset_scan": vec_dataset_scan,
+    "vec_pushdown": vec_pushdown,
+    "vec_places": vec_places,
+    "vec_lenient": vec_lenient,
+    "vec_publish": vec_publish,
+    "skip_finished": skip_finished,
+    "stream_vec_equals_batch": stream_vec_equals_batch,
     "manifest": manifest,
     "manifest_read": manifest_read,
     "dataset_dedup": dataset_dedup,

@@ -52,6 +52,10 @@ SELECT 'text_dir' AS source, 'corpora/plain texts' AS source_path, 'sentence' AS
 FROM sizes"""
 
 
+STORED_TOTALS = f"""
+SELECT vec_id AS id, {evenly(16)} AS shard,
+       round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings"""
+
 ORACLES = {
     "vec_dot": f"SELECT id, round(list_inner_product(a, b), 6) + 0.0 AS score {NEIGHBOURS}",
     "vec_cosine": f"SELECT id, round(list_cosine_similarity(a, b), 6) + 0.0 AS score {NEIGHBOURS}",
@@ -98,9 +102,18 @@ SELECT CAST(target AS BIGINT) AS target, s // (16 // target) AS shard, count(*)
        min(id) AS first_id
 FROM fine, (VALUES (8), (4), (2), (1)) AS t(target) GROUP BY ALL""",
     "vec_roundtrip": elements("(SELECT vec_id AS id, embedding AS v FROM embeddings)", "id"),
-    "vec_dataset_scan": f"""
-SELECT vec_id AS id, {evenly(16)} AS shard,
-       round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings""",
+    "vec_dataset_scan": STORED_TOTALS,
+    "vec_publish": STORED_TOTALS,
+    "skip_finished": STORED_TOTALS,
+    "stream_vec_equals_batch": STORED_TOTALS,
+    "vec_pushdown": f"SELECT * FROM ({STORED_TOTALS}) WHERE id BETWEEN 40 AND 399 AND shard IN (3, 9)",
+    "vec_places": f"SELECT id, shard FROM ({STORED_TOTALS})",
+    "vec_lenient": """
+WITH flat AS (
+  SELECT vec_id * 64 + generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding) AS value
+  FROM embeddings)
+SELECT place // 63 AS id, place % 63 AS d, CAST(value AS DOUBLE) + 0.0 AS value FROM flat
+WHERE place // 63 < (SELECT count(*) FROM flat) // 63""",
     "manifest": manifest(None),
     "manifest_read": manifest("given"),
     "dataset_dedup": f"""

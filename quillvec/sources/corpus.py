@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec.functions.text import is_blank, strip
@@ -25,7 +25,7 @@ def _is_utf8(encoding: str) -> bool:
     return encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """Lines with the input split they come from.
 
     The text source hands on the bytes of a line as they are, so encodings that
@@ -38,6 +38,7 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
         value.alias("value"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_block_length").alias("_length"),
     )
 
 
@@ -58,6 +59,58 @@ def _number_lines(kept: DataFrame) -> DataFrame:
     return numbered.select((F.col("_base") + F.col("_row") - F.col("_first")).alias("doc_id"), "text")
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the input files in order; nothing of them is read."""
+    found = spark.read.format("binaryFile").load(path).select("_metadata.file_path")
+    return sorted(row["file_path"] for row in found.collect())
+
+
+def _first_lines(spark: SparkSession, path: str, encoding: str, parse, max_docs: int) -> DataFrame:
+    """``(doc_id, text)`` of the first ``max_docs`` lines that ``parse`` keeps.
+
+    Files are taken in order, twice as many each time, until they are known to keep
+    enough lines. An index of ``(file, start, length, kept)`` of the files needed and
+    its running sums then place every split; texts are read from those files alone
+    and stored nowhere on the way. The result is bound to those splits: should a
+    session cut the files otherwise later on, it fails instead of giving other numbers.
+    """
+    split = ["_file", "_start", "_length"]
+
+    def kept_by_split(files: list[str]) -> list[tuple]:
+        counts = parse(_lines(spark, files, encoding)).groupBy(*split).agg(F.count(F.lit(1)))
+        return sorted(tuple(row) for row in counts.collect())
+
+    files, take, counts = _files(spark, path), 1, []
+    while files:
+        counts = kept_by_split(files[:take])
+        if take >= len(files) or sum(n for *_, n in counts) >= max_docs:
+            break
+        take *= 2
+    needed, base = [], 0
+    for file in files[:take]:
+        if base < max_docs:
+            needed.append(file)
+        base += sum(n for own, _, _, n in counts if own == file)
+    if not needed:
+        return spark.createDataFrame([], "doc_id long, text string")
+    if len(needed) < min(take, len(files)):
+        counts = kept_by_split(needed)  # fewer files may be cut into other splits
+    index, base = [], 0
+    for *place, n in counts:
+        index.append((*place, base))
+        base += n
+    bases = spark.createDataFrame(index, "_file string, _start long, _length long, _base long")
+    rows = parse(_lines(spark, needed, encoding)).withColumn("_row", F.monotonically_increasing_id())
+    order = Window.partitionBy(*split).orderBy("_row")
+    known = F.when(
+        F.col("_base").isNull(), F.raise_error(F.lit("the input is cut into other splits now; read it again"))
+    ).otherwise(F.col("_base"))
+    # One row per split of the files needed.
+    placed = rows.join(F.broadcast(bases), split, "left").where(known < max_docs)
+    numbered = placed.select((known + F.row_number().over(order) - 1).alias("doc_id"), "text")
+    return _up_to(numbered, max_docs)
+
+
 def _up_to(docs: DataFrame, max_docs: int | None) -> DataFrame:
     """The first ``max_docs`` of densely numbered documents."""
     return docs if max_docs is None else docs.where(F.col("doc_id") < max_docs)
@@ -132,6 +185,14 @@ def message_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     return parse_messages(df.select(*keep, F.posexplode(lines).alias("line", "value")))
 
 
+def _read_lines(
+    spark: SparkSession, path: str, encoding: str, parse, max_docs: int | None
+) -> DataFrame:
+    if max_docs is None:
+        return _number_lines(parse(_lines(spark, path, encoding)))
+    return _first_lines(spark, path, encoding, parse, max_docs)
+
+
 def read_jsonl(
     spark: SparkSession,
     path: str,
@@ -139,13 +200,16 @@ def read_jsonl(
     max_docs: int | None = None,
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    return _up_to(_number_lines(parse_jsonl(_lines(spark, path, encoding), text_key)), max_docs)
+    def parse(lines: DataFrame) -> DataFrame:
+        return parse_jsonl(lines, text_key)
+
+    return _read_lines(spark, path, encoding, parse, max_docs)
 
 
 def read_messages(
     spark: SparkSession, path: str, max_docs: int | None = None, encoding: str = "UTF-8"
 ) -> DataFrame:
-    return _up_to(_number_lines(parse_messages(_lines(spark, path, encoding))), max_docs)
+    return _read_lines(spark, path, encoding, parse_messages, max_docs)
 
 
 def glob_pattern(glob: str) -> str:

@@ -39,13 +39,15 @@ def write_dataset(
     shards: int | None = None,
     num_queries: int = DEFAULT_QUERIES,
     skip_complete: bool = True,
+    layout: str = "plain",
     **manifest_fields,
 ) -> None:
     """``vectors`` is ``(id, embedding)`` with dense ids, best read from a table.
 
     One task writes one shard; without a number given, it follows from the size.
     The query file holds the first ``num_queries`` vectors. The manifest comes
-    last, so a dataset that has one is whole; such a dataset is left alone.
+    last, so a dataset that has one is whole; such a dataset is left alone. ``layout``
+    is how the documents are published, see ``vecfile``.
     """
     if skip_complete and is_complete(path):
         return
@@ -53,7 +55,7 @@ def write_dataset(
     shards = fitting_shards(total, dim) if shards is None else shards
     docs = assign_even(vectors.select("id", "embedding"), shards, total=total)
     remove_manifest(path)  # from here to the last step the dataset is not whole
-    write_vec(docs, path, dim, shards)
+    write_vec(docs, path, dim, shards, layout=layout)
     queries = query_set(docs, num_queries).select(
         F.col("qid").alias("id"), F.lit(0).alias("shard"), "embedding"
     )

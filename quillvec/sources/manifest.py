@@ -159,12 +159,15 @@ def resolve_dataset(spark: SparkSession, ref: str, base: str | None = None) -> t
     if found is None:
         raise ValueError(f"dataset not found: {ref}")
     if not _is(posixpath.join(found, MANIFEST_FILE), pafs.FileType.File):
-        raise ValueError(f"no {MANIFEST_FILE} in {found}")
+        raise ValueError(f"{found} has no manifest ({MANIFEST_FILE})")
     manifest = read_manifest(spark, found)
     shards = manifest.select("num_shards").first()[0] or 1
-    needed = "docs-shard-0.vec" if shards > 1 else "docs.vec"
-    if not _is(posixpath.join(found, needed), pafs.FileType.File):
-        raise ValueError(f"no {needed} in {found}")
+    try:
+        held = {shard for _, shard, _ in dataset_files(qualified(spark, found))}
+    except FileNotFoundError:
+        held = set()
+    if shards > 1 and max(held, default=0) == 0 or 0 not in held:
+        raise ValueError(f"{found} holds no vectors of the first shard")
     return found, manifest
 
 
