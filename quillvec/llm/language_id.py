@@ -3,7 +3,8 @@
 Bytes are embedded, filters of several widths run over them, each filter keeps
 its largest response in a window, and a softmax layer reads those. Training uses
 a bounded sample: at most ``PER_LANGUAGE`` texts of each language, two stretches
-of each. Prediction covers whole texts: a text is cut into windows of fixed
+of each, and with very many languages so few of each that all together stay below
+``MOST_TEXTS``; every label is learned. Prediction covers whole texts: a text is cut into windows of fixed
 length that overlap by one filter width less one, windows of many texts form one
 batch, and the log-probabilities of a text's windows are averaged by length.
 
@@ -12,7 +13,7 @@ two look-ups and a maximum per byte.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 so is every text if there is nothing to learn from; repeated rows are predicted
-alike; an empty table gives no rows.
+alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillvec.llm.common import whole
 
-#: The bounds of the training sample.
-PER_LANGUAGE, MOST_LANGUAGES = 400, 64
+#: The bounds of the training sample; a language has one text at least.
+PER_LANGUAGE, MOST_TEXTS = 400, 40_000
 STRETCH = 400
 WIDTHS = (2, 3, 4)
 REACH = max(WIDTHS)
@@ -181,35 +182,36 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(labelled: DataFrame, lang: str, text: str, key: str) -> tuple[list[bytes], list[str]]:
     """Texts and labels to learn from: bounded rows, chosen by a hash of the key, two stretches each."""
-    counts = (
-        labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
-    )
+    # A row per label: labels are the classes of the softmax layer, which holds them all.
+    counts = labelled.groupBy(lang).count().orderBy(lang).collect()
     if not counts:
         return [], []
+    each = min(PER_LANGUAGE, max(1, MOST_TEXTS // len(counts)))
     # About twice as many as wanted pass by hash; the limits below make the bound exact.
+    # A rare label lets all of its rows pass, so that none is missed.
     chance = F.create_map(
-        *(F.lit(x) for r in counts for x in (r[lang], min(1.0, 2.0 * PER_LANGUAGE / r["count"])))
+        *(
+            F.lit(x)
+            for r in counts
+            for x in (r[lang], 1.0 if r["count"] < 64 else min(1.0, (2.0 * each + 16) / r["count"]))
+        )
     )
     drawn = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 20)) / (1 << 20)
     length = F.char_length(text)
     later = F.pmod(F.xxhash64(F.lit(SEED + 1), key), F.greatest(length - STRETCH, F.lit(1)))
-    few = (
-        labelled.where(drawn < chance[F.col(lang)])
-        .select(
-            F.col(lang).alias("lang"),
-            F.xxhash64(F.lit(SEED + 2), key).alias("order"),
-            F.substring(text, 1, STRETCH).alias("a"),
-            F.substring(F.col(text), (later + 1).cast("int"), F.lit(STRETCH)).alias("b"),
-        )
-        .orderBy("order", "lang", "a")
-        .limit(3 * PER_LANGUAGE * len(counts))
+    drawn_rows = labelled.where(drawn < chance[F.col(lang)]).select(
+        F.col(lang).alias("lang"),
+        F.xxhash64(F.lit(SEED + 2), key).alias("order"),
+        F.substring(text, 1, STRETCH).alias("a"),
+        F.substring(F.col(text), (later + 1).cast("int"), F.lit(STRETCH)).alias("b"),
     )
-    texts, labels, taken = [], [], {}
-    for r in few.collect():
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= PER_LANGUAGE:
-            texts += [r["a"].encode("utf-8", "ignore"), r["b"].encode("utf-8", "ignore")]
-            labels += [r["lang"]] * 2
+    # About ``2 * each`` rows of a label, or fewer than 64, come to be ranked.
+    ranked = F.row_number().over(Window.partitionBy("lang").orderBy("order", "a"))
+    few = drawn_rows.withColumn("rank", ranked).where(F.col("rank") <= each)
+    texts, labels = [], []
+    for r in few.orderBy("lang", "rank").collect():
+        texts += [r["a"].encode("utf-8", "ignore"), r["b"].encode("utf-8", "ignore")]
+        labels += [r["lang"]] * 2
     return texts, labels
 
 

@@ -354,8 +354,9 @@ def test_copies_of_a_page_erase_no_text(spark, mark):
 
 def test_an_article_is_not_judged_by_importance():
     page = "<body><article><section class=s><ul><li>one</ul><table><tr><td>two</table></section></article></body>"
-    path = "/body/article/section.s"
-    low = frozenset((path, f"{path}/ul", f"{path}/table", f"{path}/table/tr"))
+    path = ("body", "article", "section.s")
+    below = ((), ("ul",), ("table",), ("table", "tr"))
+    low = frozenset(site_tree.path_of(*path, *more) for more in below)
     assert site_tree.Page(page, low).text() == "one\n\ntwo"
 
 
