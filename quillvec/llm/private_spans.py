@@ -2,10 +2,12 @@
 
 Candidates are what four base patterns match and what looser patterns (obfuscated
 addresses, defanged network numbers, national phone numbers, 15-digit cards) add.
-Five labelers vote for, against or not at all on each: the strict pattern, a
-validity test, a gazetteer, the words before, and the neighbouring characters.
-Votes of all documents are counted by pattern of votes, a table of a few hundred
-rows at most; expectation-maximisation on it estimates how reliable each labeler
+Seven labelers vote for, against or not at all on each: the strict pattern, a
+validity test, a gazetteer, the words on both sides, a cue of a person or an address, the
+form in which digits or names are grouped, and the neighbouring characters. Words on a side
+are those up to the next match of the same pattern.
+Votes of all documents are counted by pattern of votes, a table of at most 8748
+rows; expectation-maximisation on it estimates how reliable each labeler
 is, and a logistic classifier is trained on the resulting probabilities. The
 classifier is then a column expression over the votes. Valid base matches are
 always kept; the classifier decides on the others.
@@ -15,7 +17,7 @@ shuffled or collected.
 
 Defined results: null and empty texts have no spans; places are code points, the
 end exclusive; spans of different kinds may overlap; repeated rows are judged
-alike; an empty table gives no rows and a classifier that accepts nothing more.
+alike; columns called like those this adds (``spans``, ``_spans``) are replaced; an empty table gives no rows and a classifier that accepts nothing more.
 """
 
 from __future__ import annotations
@@ -47,8 +49,16 @@ LOOSE = {
     "phone": r"(?<![0-9A-Za-z+.)-])(?:\([0-9]{3}\)\x20?+|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
 
-# Gazetteers and context words of the four kinds.
-DOMAINS = "com org net edu gov io info biz de fr es uk eu us ca au ch at it nl".split()
+# Gazetteers and context words of the four kinds: our own choice.
+DOMAINS = (
+    "com org net edu gov mil int io info biz name pro dev app me co tv de fr es uk eu us ca au ch at it nl "
+    "be dk se no fi pl cz pt ie gr ro hu ru ua tr in jp cn kr br mx ar cl za nz sg hk"
+).split()
+PERSON = (
+    r"\b(?:my|our|your|his|her|mein|meine|unser|ihre?|mon|ma|notre|votre|mi|su|nuestro|mr|mrs|ms|dr|herr|frau|"
+    r"monsieur|madame|se[nñ]or|se[nñ]ora|name|call me|dear|signed|from|to|cc|user|customer|patient|employee|"
+    r"street|road|avenue|stra[sß]e|stra(?:ss|ß)e|rue|calle|plaza|platz|zip|city|apt)\b"
+)
 CONTEXT = {
     "email": r"e-?mail|mail|contact|kontakt|courriel|correo|write|reach",
     "ip": r"\bip\b|address|adresse|host|server|client|login",
@@ -57,7 +67,7 @@ CONTEXT = {
 }
 AGAINST = r"version|build|release|isbn|issn|sku|serial|order|invoice|price|total|figure|section"
 CONTEXT_CHARS = 24
-LABELERS = ("strict", "valid", "listed", "context", "border")
+LABELERS = ("strict", "valid", "listed", "context", "person", "form", "border")
 
 
 class Model(NamedTuple):
@@ -68,27 +78,91 @@ class Model(NamedTuple):
     reliability: dict[str, float]
 
 
-def _located(text: Column, pattern: str, guard: Column, loose: bool) -> Column:
-    """Matches with their places, by the lengths of what lies between and in them."""
-    span = "array<struct<start:int,end:int,m:string,loose:boolean>>"
-    gaps = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("found"))
+def _total(some: Column) -> Column:
+    return F.aggregate(some, F.lit(0), lambda a, x: a + x)
 
-    def add(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + F.char_length(pair["gap"])
-        last = first + F.char_length(pair["m"])
-        one = F.array(
-            F.struct(
-                first.alias("start"), last.alias("end"), pair["m"].alias("m"), F.lit(loose).alias("loose")
-            )
+
+def _located(staged: DataFrame, text: Column, wanted: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+    """Adds, by name, the matches of ``(pattern, guard, loose)`` with their places.
+
+    Places follow from the lengths of what lies between matches and in them. The
+    running sums go by stretches of about the square root of the number of matches:
+    inside a stretch and over the stretches before it, so a text with very many
+    matches costs little more per match than others. Every array is a column that later
+    steps use more than once; otherwise the optimiser would put its expression into
+    the functions that run for each element.
+    """
+    span = "array<struct<start:int,end:int,m:string,loose:boolean,before:string,after:string>>"
+
+    def add(staged: DataFrame, part: str, make) -> DataFrame:
+        # A kind without matches has no arrays at all.
+        def made(name: str) -> Column:
+            return F.when(F.coalesce(F.size(f"{name}_found"), F.lit(0)) > 0, make(name))
+
+        return staged.withColumns({f"{name}{part}": made(name) for name in wanted})
+
+    def step(name: str) -> Column:
+        return F.ceil(F.sqrt(F.size(f"{name}_sizes"))).cast("int")
+
+    def size(name: str) -> Column:
+        between = F.slice(f"{name}_gaps", F.lit(1), F.size(f"{name}_found")).alias("gap")
+        pairs = F.arrays_zip(between, F.col(f"{name}_found").alias("m"))
+        return F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["m"]))
+
+    def stretch(name: str) -> Column:
+        of = F.sequence(F.lit(0), F.floor((F.size(f"{name}_sizes") - 1) / step(name)).cast("int"))
+        return F.transform(of, lambda k: _total(F.slice(f"{name}_sizes", k * step(name) + 1, step(name))))
+
+    def before(name: str) -> Column:
+        of = F.sequence(F.lit(0), F.size(f"{name}_sums") - 1)
+        return F.transform(of, lambda k: _total(F.slice(f"{name}_sums", F.lit(1), k)))
+
+    def end(name: str) -> Column:
+        def upto(x: Column, i: Column) -> Column:
+            k = F.floor(i / step(name)).cast("int")
+            inside = _total(F.slice(f"{name}_sizes", k * step(name) + 1, i - k * step(name) + 1))
+            return F.get(F.col(f"{name}_before"), k) + inside
+
+        return F.when(F.size(f"{name}_before") > 0, F.transform(f"{name}_sizes", upto))
+
+    def placed(name: str) -> Column:
+        count = F.size(f"{name}_found")
+        pairs = F.arrays_zip(
+            F.col(f"{name}_found").alias("m"),
+            F.col(f"{name}_ends").alias("end"),
+            F.slice(f"{name}_gaps", F.lit(1), count).alias("before"),
+            F.slice(f"{name}_gaps", F.lit(2), count).alias("after"),
         )
-        return F.struct(last.alias("at"), F.concat(acc["found"], one).alias("found"))
+        return F.transform(
+            pairs,
+            lambda p: F.struct(
+                (p["end"] - F.char_length(p["m"])).alias("start"),
+                p["end"].alias("end"),
+                p["m"].alias("m"),
+                F.lit(wanted[name][2]).alias("loose"),
+                F.right(p["before"], F.lit(CONTEXT_CHARS)).alias("before"),
+                F.left(p["after"], F.lit(CONTEXT_CHARS)).alias("after"),
+            ),
+        ).cast(span)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("m"))
-    return F.when(guard, F.aggregate(pairs, start, add, lambda acc: acc["found"])).otherwise(
-        F.array().cast(span)
+    staged = staged.withColumns(
+        {
+            f"{name}_found": F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+            for name, (pattern, guard, _) in wanted.items()
+        }
     )
+    staged = add(staged, "_gaps", lambda name: F.split(text, wanted[name][0], -1))
+    for part, make in (
+        ("_sizes", size),
+        ("_sums", stretch),
+        ("_before", before),
+        ("_ends", end),
+        ("", placed),
+    ):
+        staged = add(staged, part, make)
+    parts = ("found", "gaps", "sizes", "sums", "before", "ends")
+    staged = staged.drop(*(f"{name}_{part}" for name in wanted for part in parts))
+    return staged.withColumns({name: F.coalesce(F.col(name), F.array().cast(span)) for name in wanted})
 
 
 def _guards(text: Column) -> dict[str, tuple[Column, Column]]:
@@ -130,13 +204,9 @@ def _valid_base(kind: str, m: Column) -> Column:
     return n.between(8, 15)
 
 
-def _votes(kind: str, text: Column, s: Column) -> Column:
-    """The five votes on a candidate, each -1, 0 or 1."""
-    m = s["m"]
-    before = F.lower(
-        F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-    )
-    after = F.substring(text, s["end"] + 1, 1)
+def _votes(kind: str, s: Column) -> Column:
+    """The votes on a candidate, each -1, 0 or 1."""
+    m, before, after = s["m"], F.lower(s["before"]), F.lower(s["after"])
     digits = _digits(m)
     valid = {
         "email": m.rlike(r"[A-Za-z]{2,}$"),
@@ -151,6 +221,21 @@ def _votes(kind: str, text: Column, s: Column) -> Column:
         "phone": digits.rlike("^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"),
     }[kind]
 
+    form = {
+        # Two names or initials before the sign, or a single word and no digits after it.
+        "email": m.rlike(r"^[A-Za-z]+(?:[._-][A-Za-z]+)*[0-9]{0,4}\W"),
+        "ip": m.rlike(r"^(?:10|127|172|192)\D") | ~m.rlike(r"(?:^|\D)[0-9](?:\D+[0-9]){3}$"),
+        "card": m.rlike(r"^[0-9]{4}(?:[\x20-][0-9]{4}){3}$|^[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}$|^[0-9]{16}$"),
+        "phone": m.rlike(r"^\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,5}){1,4}$")
+        | m.rlike(r"^\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[.-][0-9]{4}$"),
+    }[kind]
+    broken = {
+        "email": m.rlike(r"\.\.|^[.%+-]"),
+        "ip": m.rlike(r"(?:^|\D)0[0-9]"),
+        "card": m.rlike(r"[\x20-](?:[0-9]{1,2}[\x20-]){3}"),
+        "phone": m.rlike(r"[.-]{2}|\([^)]*$"),
+    }[kind]
+
     def vote(yes: Column, no: Column) -> Column:
         return F.when(yes, 1).when(no, -1).otherwise(0)
 
@@ -159,7 +244,11 @@ def _votes(kind: str, text: Column, s: Column) -> Column:
         vote(s["valid"], ~s["loose"] & ~s["valid"]).alias("strict"),
         vote(valid, ~valid).alias("valid"),
         vote(listed, ~listed).alias("listed"),
-        vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)).alias("context"),
+        vote(
+            before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind]), before.rlike(AGAINST)
+        ).alias("context"),
+        vote(before.rlike(PERSON) | after.rlike(PERSON), before.rlike(r"[=<>/{}\[\]|]\s*$")).alias("person"),
+        vote(form & ~broken, broken).alias("form"),
         vote(none, before.rlike(r"[\w$€£#]$") | after.rlike(r"^\w")).alias("border"),
     )
 
@@ -170,14 +259,16 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     staged = docs.withColumn("_text", raw)
     raw = F.col("_text")
     guards = _guards(raw)
-    staged = staged.withColumns(
-        {f"_b_{k}": _located(raw, BASE[k], guards[k][0], False) for k in KINDS}
-        | {f"_l_{k}": _located(raw, LOOSE[k], guards[k][1], True) for k in KINDS}
+    staged = _located(
+        staged,
+        raw,
+        {f"_b_{k}": (BASE[k], guards[k][0], False) for k in KINDS}
+        | {f"_l_{k}": (LOOSE[k], guards[k][1], True) for k in KINDS},
     )
 
     def checked(kind: str) -> Column:
         def fields(s: Column, valid: Column) -> Column:
-            return F.struct(s["start"], s["end"], s["m"], s["loose"], valid.alias("valid"))
+            return F.struct(s["start"], s["end"], s["m"], s["loose"], s["before"], s["after"], valid.alias("valid"))
 
         base = F.transform(f"_b_{kind}", lambda s: fields(s, _valid_base(kind, s["m"])))
         loose = F.transform(f"_l_{kind}", lambda s: fields(s, F.lit(False)))
@@ -204,7 +295,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 s["valid"].alias("base"),
-                _votes(kind, raw, s).alias("votes"),
+                _votes(kind, s).alias("votes"),
             ),
         )
 
@@ -214,7 +305,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vote_counts(found: DataFrame) -> list[tuple]:
-    """``(kind rank, votes, count)`` over all candidates: at most 4 * 3**5 rows."""
+    """``(kind rank, votes, count)`` over all candidates: at most ``4 * 3**7`` rows."""
     rows = (
         found.where(F.size("_spans") > 0)
         .select(F.explode("_spans").alias("s"))

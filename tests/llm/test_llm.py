@@ -287,7 +287,8 @@ def test_base_spans(spark):
 
 
 def test_votes_learn_reliability():
-    counts = [(0, (0, 1, 1, 1, 0), 900), (0, (-1, -1, -1, 0, -1), 900), (0, (0, 1, 1, 0, 0), 80)]
+    rows = [((0, 1, 1, 1), 0, 900), ((-1, -1, -1, 0), -1, 900), ((0, 1, 1, 0), 0, 80)]
+    counts = [(0, (*votes, 0, 0, border), n) for votes, border, n in rows]
     model = private_spans.fit(counts)
     assert model.reliability["valid"] > 0.9 and model.weights["valid"][1] > 0 > model.weights["listed"][0]
 
