@@ -25,13 +25,26 @@ HEADLINE = (
     "vec_dedup",
     "vec_roundtrip",
     "vec_dataset_scan",
+    "vec_pushdown",
+    "vec_publish",
+    "stream_vec_equals_batch",
+    "src_jsonl",
+    "src_jsonl_first",
+    "mean_pool",
+    "doc_vectors",
     "shard_sizes",
     "knn_exact",
     "knn_per_shard",
     "knn_merge",
     "knn_multi_k",
     "knn_cosine",
+    "knn_large_k",
+    "knn_stored_queries",
     "knn_lsh",
+    "knn_lsh_postings",
+    "knn_zones",
+    "knn_ivf_learned",
+    "ab_pruned",
     "knn_ivf",
     "knn_floor_pruned",
     "lookups_saved",

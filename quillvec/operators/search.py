@@ -682,16 +682,28 @@ def assign_cells(docs: DataFrame, rule: NearestCells) -> DataFrame:
 
 
 def write_cells(
-    docs: DataFrame, rule: NearestCells, path: str, files_per_cell: int = 1, mode: str = "error"
+    docs: DataFrame,
+    rule: NearestCells,
+    path: str,
+    files_per_cell: int | None = None,
+    mode: str = "error",
 ) -> None:
     """Store documents by cell, so that a search reads only the cells it visits.
 
-    A cell is spread over ``files_per_cell`` tasks by id, however large it is.
+    A cell is spread by id over ``files_per_cell`` tasks, or else over as many as give
+    each about ``ROWS_PER_TASK`` rows, however large the cell is.
     """
-    salted = assign_cells(docs, rule).withColumn(
-        "_file", F.pmod(F.xxhash64("id"), F.lit(files_per_cell))
-    )
-    placed = salted.repartition("cell", "_file").drop("_file")
+    assigned = assign_cells(docs, rule)
+    if files_per_cell is None:
+        # One row per cell; the centroids are on the driver anyway.
+        sizes = assigned.groupBy("cell").agg(
+            F.ceil(F.count(F.lit(1)) / ROWS_PER_TASK).cast("int").alias("_files")
+        )
+        assigned = assigned.join(F.broadcast(sizes), "cell")
+    else:
+        assigned = assigned.withColumn("_files", F.lit(files_per_cell))
+    salted = assigned.withColumn("_file", F.pmod(F.xxhash64("id"), F.col("_files")))
+    placed = salted.repartition("cell", "_file").drop("_file", "_files")
     placed.write.mode(mode).partitionBy("cell").parquet(path)
 
 

@@ -109,3 +109,27 @@ def test_fingerprint_tells_signed_zero_apart(spark):
     a, b, c = (r[0] for r in df.select(V.fingerprint(F.col("v"))).collect())
     assert a == c != b
     assert bytes(a) == hashlib.md5(np.array([0.0, 1.0], "<f4").tobytes()).digest()
+
+
+def test_batches_larger_than_those_of_arrow(spark):
+    """The embedder's batch is filled from several Arrow batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        texts = spark.range(100).coalesce(1).selectExpr("id", "cast(id as string) text")
+        rows = E.embed(texts, lambda t: np.full((len(t), 1), len(t)), 1, batch_size=30).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.embedding[0] for r in sorted(rows, key=lambda r: r.id)] == [30.0] * 90 + [10.0] * 10
+
+
+def test_hashed_words_equal_a_plain_count():
+    import hashlib
+
+    texts = ["One two  two\nthree", "", " \n ", "ÄÖ ß two"]
+    for text, found in zip(texts, E.hashed_words(16)(texts)):
+        want = np.zeros(16)
+        for word in text.lower().replace("\n", " ").split(" "):
+            if word:
+                want[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+        assert np.allclose(found, want / (np.linalg.norm(want) or 1))

@@ -155,6 +155,22 @@ def test_stored_cells_are_read_only_where_visited(spark, matrix, docs, tmp_path)
     assert ids(hits) == ids(search.top_k(docs, few, 10, DIM, rule))
 
 
+def test_full_cells_are_several_files(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "ROWS_PER_TASK", 20)
+    rule, path = NearestCells(np.eye(DIM)[:3], 1), str(tmp_path / "cells")
+    # Small tasks would be joined again here.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        search.write_cells(docs, rule, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = spark.read.parquet(path)
+    sizes = stored.groupBy("cell").count().collect()
+    assert stored.count() == N and max(r["count"] for r in sizes) > 100
+    files = stored.groupBy("cell", F.input_file_name()).count()
+    assert files.groupBy("cell").count().agg(F.max("count")).first()[0] > 1
+
+
 def test_wrong_dimension_fails(docs, asked):
     with pytest.raises(Exception, match="values"):
         search.top_k(docs, asked, 3, DIM + 1).collect()
