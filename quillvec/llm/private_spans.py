@@ -306,9 +306,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def vote_counts(found: DataFrame) -> list[tuple]:
     """``(kind rank, votes, count)`` over all candidates: at most ``4 * 3**7`` rows."""
+    # A condition on the array would be moved below the steps that make it, with all of
+    # their expressions put into one; on the exploded rows it stays where it is.
     rows = (
-        found.where(F.size("_spans") > 0)
-        .select(F.explode("_spans").alias("s"))
+        found.select(F.explode_outer("_spans").alias("s"))
+        .where("s is not null")
         .select("s.rank", *(F.col(f"s.votes.{v}").alias(v) for v in LABELERS))
         .groupBy("rank", *LABELERS)
         .count()
