@@ -387,7 +387,8 @@ def test_words_of_a_class_do_not_drop_text(body):
 class _Tiny(sampled_pieces.Lattice):
     def __init__(self):
         self.weight = {p: (i, w) for i, (p, w) in enumerate([("▁", -1.0), ("a", -1.0), ("b", -1.5), ("ab", -1.2), ("▁a", -0.7)])}
-        self.bytes, self.byte_weight, self.longest, self.words = list(range(100, 356)), -5.0, 2, {}
+        self.bytes, self.byte_weight, self.longest = list(range(100, 356)), -5.0, 2
+        self.clear()
 
 
 def test_samples_follow_the_lattice():
