@@ -133,3 +133,13 @@ def test_hashed_words_equal_a_plain_count():
             if word:
                 want[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
         assert np.allclose(found, want / (np.linalg.norm(want) or 1))
+
+
+def test_small_inputs_are_spread_and_large_ones_are_not(spark, monkeypatch):
+    from quillvec.operators import chunking
+
+    one = spark.range(10).withColumnRenamed("id", "doc_id").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert chunking.spread(one, "doc_id").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(chunking, "SPREAD_BYTES", 1)
+    assert chunking.spread(one, "doc_id").rdd.getNumPartitions() == 1
