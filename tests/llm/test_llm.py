@@ -245,6 +245,18 @@ def test_similar_classes_against_brute_force(spark, monkeypatch, fragment):
     assert [rows[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_words_of_a_regular_pattern_are_told_apart(spark):
+    # Equal under every sum of bytes times powers modulo 2**64 (Thue-Morse words).
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"one two {word} three four", f"one two {other} three four", other.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.similar_classes(df).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 90)]
     rows = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
