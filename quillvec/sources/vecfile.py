@@ -319,9 +319,9 @@ class VecDataSource(DataSource):
         return VecWriter(self.options, schema, overwrite)
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:  # noqa: N802
-        from quillvec.streaming.vectors import VecStreamWriter
+        from quillvec.streaming.vectors import VecStreamSink
 
-        return VecStreamWriter(self.options)
+        return VecStreamSink(self.options)
 
 
 def register(spark: SparkSession) -> None:

@@ -81,7 +81,7 @@ class VecStreamWriter(DataSourceStreamArrowWriter):
             self._drop(messages)
             return
         before = listed(fs, where)
-        parts = [[m.name, m.rows] for m in messages if m]
+        parts = [[m.name, m.rows] for m in messages if m and m.rows]
         rows = sum(n for _, n in parts)
         total = rows + (before["total"] if before else 0)
         publish(fs, where, {"epoch": batchId, "parts": parts, "rows": rows, "total": total}, batchId)
@@ -90,6 +90,16 @@ class VecStreamWriter(DataSourceStreamArrowWriter):
         self._drop(messages)
 
 
+class VecStreamSink(VecStreamWriter):
+    """The writer as Spark runs it: a task without rows has a message too.
+
+    Such tasks read byte ranges in which no row group begins, so large files have them.
+    """
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> PartWritten:
+        return super().write(batches) or PartWritten(posixpath.join(PARTS, uuid.uuid4().hex), 0)
+
+
 def append_vectors(
     vectors: DataFrame, path: str, dim: int, checkpoint: str, **trigger
 ) -> StreamingQuery:

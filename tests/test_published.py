@@ -141,6 +141,22 @@ def test_lenient_reading(spark, tmp_path):
     assert [tuple(r.embedding) for r in kept] == [(0, 1, 2, 3), (4, 5, 6, 7)]
 
 
+def test_stream_with_tasks_without_rows(spark, vectors, tmp_path):
+    inbox, path = (str(tmp_path / n) for n in ("in", "stream"))
+    vectors.coalesce(1).write.parquet(inbox)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "512")  # the one row group begins in one of several ranges
+        arriving = spark.readStream.schema("id long, embedding array<float>").parquet(inbox)
+        append_vectors(arriving, path, DIM, str(tmp_path / "state")).awaitTermination()
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert [len(e["parts"]) for e in epochs(spark, path)] == [1]
+    assert rows(read_appended(spark, path, DIM)) == rows(vectors)
+
+
 def test_stream_of_vectors(spark, vectors, tmp_path):
     inbox, path, out = (str(tmp_path / n) for n in ("in", "stream", "out"))
     vectors.where("id < 120").repartition(4).write.parquet(inbox)
