@@ -7,15 +7,18 @@ input split or per file; the texts themselves are never sorted.
 
 from __future__ import annotations
 
+import posixpath
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillvec.functions.text import is_blank, strip
 from quillvec.operators.ids import dense_ids, running_offsets
 from quillvec.session import pin
-from quillvec.sources.paths import qualified
+from quillvec.sources.paths import filesystem, qualified
 
 # Up to this many documents a sorted limit is the cheapest way to the first ones.
 SORTED_LIMIT = 10_000
@@ -255,13 +258,42 @@ def read_text_dir(
     max_docs: int | None = None,
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    files = text_files(spark, path, glob, encoding)
+    # A directory of many small files is read once; few tasks of many files keep the rest cheap.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = pin(text_files(spark, path, glob, encoding).coalesce(tasks))
     # By folder and name, not by the characters of the whole path: "/" sorts after "-".
     parts = files.select("path", F.split("path", "/").alias("_parts"))
     numbered = dense_ids(parts, ["_parts"], "doc_id").drop("_parts")
     return files.join(_up_to(numbered, max_docs), "path").select("doc_id", "text")
 
 
+def write_text_dir(docs: DataFrame, path: str, name: str, text: str = "text") -> int:
+    """Write a file ``name.txt`` per row, its text and a line end; returns the number of files.
+
+    Names must be different. Files lie in folders by the first three characters of
+    their names, so the reader finds them in the order of the names and no folder
+    holds more than a part. A repeated task writes the same files again.
+    """
+    where = qualified(docs.sparkSession, path)
+    named = docs.select(F.col(name).cast("string").alias("name"), F.col(text).alias("text"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(where)
+        made = set()
+        for batch in batches:
+            for own, whole in zip(*(batch.column(c).to_pylist() for c in ("name", "text")), strict=True):
+                folder = posixpath.join(root, own[:3])
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(posixpath.join(folder, f"{own}.txt")) as sink:
+                    sink.write(f"{whole or ''}\n".encode())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    written = named.mapInArrow(write, "files long")
+    return written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 READERS = {"wikipedia": read_jsonl, "text_dir": read_text_dir, "messages": read_messages}
 
 

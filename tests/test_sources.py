@@ -4,8 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quillvec.plans import corpus_queries
 from quillvec.sources import corpus
-from quillvec.sources.corpus import read_corpus, read_jsonl, read_messages, write_jsonl
+from quillvec.sources.corpus import read_corpus, read_jsonl, read_messages, write_jsonl, write_text_dir
 
 
 def texts(df):
@@ -43,6 +44,25 @@ def test_ids_follow_path_then_position_over_many_splits(spark, tmp_path):
     assert found == list(enumerate(wanted))
 
 
+def test_text_dir_is_written_in_few_folders_and_read_in_name_order(spark, tmp_path):
+    rows = [(i, f"text {i}\nö") for i in (1, 10, 100, 1000, 1001, 2, 10000, 99999)]
+    docs = spark.createDataFrame(rows, "key long, text string")
+    assert write_text_dir(docs, str(tmp_path), "key") == 8
+    assert {p.name for p in tmp_path.iterdir()} == {"1", "10", "100", "2", "999"}
+    found = read_corpus(spark, "text_dir", str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in found] == list(range(8))
+    assert [r.text for r in found] == [t + "\n" for _, t in sorted(rows, key=lambda r: str(r[0]))]
+
+
+def test_text_dir_query_makes_no_folder_per_document(spark, tmp_path, monkeypatch):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text"))
+    many.withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_queries, "scratch_path", lambda spark, label: str(tmp_path / label))
+    assert corpus_queries.src_text_dir(spark, str(tmp_path)).count() == 3000
+    folders = [p for p in (tmp_path / "texts").rglob("*") if p.is_dir()]
+    assert len(folders) == 1000
+
+
 def test_text_dir_skips_unusable_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "b.txt").write_text("second\nfile")
