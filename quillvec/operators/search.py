@@ -56,6 +56,8 @@ MAX_BROADCAST_BYTES = 256 << 20  # query matrix held by driver and executors
 TILE_CELLS = 4 << 20  # scores computed at a time inside a task
 PAIR_CELLS = 1 << 18  # vector values gathered at a time; fits a core's cache
 HELD_ROWS = 8 << 20  # hits a task may hold before it hands them on
+SETTLE_ROWS = 1 << 20  # hits of a shard from which it is cut to K per query
+SENT_ROWS = 1 << 16  # hits handed on in one batch
 SALT_FROM_PARTITIONS = 64
 ZONE_ROWS = 512  # documents that a score bound is taken over
 ZONE_SLACK = 1e-6  # of the largest possible score, added to a bound
@@ -234,6 +236,8 @@ class _Best:
     def __init__(self, k: int, floors: np.ndarray):
         self.k = k
         self.floors = floors.copy()
+        # At least half of what a full list holds is new when it is cut.
+        self.most = min(HELD_ROWS, max(SETTLE_ROWS, 2 * k * len(floors)))
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
 
@@ -312,7 +316,7 @@ class _Search:
                 scored += np.bincount(q, minlength=len(block))
                 for at in range(0, len(q) if arm.hits else 0, TILE_CELLS):
                     best.offer_pairs(block, docs, q[at : at + TILE_CELLS], d[at : at + TILE_CELLS])
-                    if best.rows > HELD_ROWS:
+                    if best.rows > best.most:
                         best.settle()
         else:
             self._take_groups(docs, cells, best, scored)
@@ -329,7 +333,7 @@ class _Search:
             if arm.hits:
                 for tile in _tiles(len(rows), len(some)):
                     best.offer(block, rows[tile], some, None if new is None else new[tile])
-                    if best.rows > HELD_ROWS:
+                    if best.rows > best.most:
                         best.settle()
 
     def _meetings(self, docs: DocumentBlock, cells: np.ndarray | None, floors: np.ndarray):
@@ -386,7 +390,9 @@ def _search(
     def taken() -> Iterator[pa.RecordBatch]:
         for number, one in enumerate(searches):
             for shard, (q, ids, score) in one.hits():
-                yield _rows(number, shard, qid=asked.ids[q], id=ids, score=score)
+                for at in range(0, len(q), SENT_ROWS):
+                    some = slice(at, at + SENT_ROWS)
+                    yield _rows(number, shard, qid=asked.ids[q[some]], id=ids[some], score=score[some])
             one.best = {}
 
     for batch in batches:
