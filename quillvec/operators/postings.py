@@ -37,6 +37,8 @@ from quillvec.operators.search import (
 
 #: Folders per table: two to this power.
 PART_BITS = 6
+#: Pairs scored at a time, and so the hits that are new when lists are cut to K.
+PAIRS = 1 << 19
 POSTINGS = "table int, part int, code long, id long"
 
 
@@ -89,6 +91,17 @@ def listed_candidates(
     )
 
 
+def _of_pairs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of documents that ``PAIRS`` queries look at, or a single document."""
+    upto = np.cumsum(np.asarray(batch.column("qids").value_lengths()))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def postings_top_k(
     docs: DataFrame,
     queries: QuerySet,
@@ -110,7 +123,7 @@ def postings_top_k(
         block = QueryBlock(shared.value, dim, metric).of(Arm())
         order = np.argsort(block.ids)
         best = _Best(k, block.floors)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _of_pairs(whole)):
             some = DocumentBlock(
                 np.asarray(batch.column("id")), _matrix(batch.column("embedding"), dim), block.cosine
             )

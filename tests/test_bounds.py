@@ -12,6 +12,15 @@ from quillvec.plans import corpus_queries
 DIM = 8
 
 
+def test_candidate_rows_are_scored_in_bounded_runs(monkeypatch):
+    monkeypatch.setattr(postings, "PAIRS", 10)
+    lists = [[1] * n for n in (4, 4, 4, 0, 25, 1, 10, 3)]
+    batch = pa.record_batch({"id": pa.array(range(8)), "qids": pa.array(lists, pa.list_(pa.int64()))})
+    runs = [part.column("qids").to_pylist() for part in postings._of_pairs(batch)]
+    assert [row for run in runs for row in run] == lists
+    assert all(sum(map(len, run)) <= 10 or len(run) == 1 for run in runs)
+
+
 @pytest.mark.parametrize("rule", [None, HyperplaneHash(4, 2, DIM)])
 def test_hits_held_by_a_task_are_cut_early(monkeypatch, rule):
     monkeypatch.setattr(search, "SETTLE_ROWS", 2000, raising=False)
