@@ -52,6 +52,14 @@ def _exact(spark: SparkSession, sf_dir: str, k: int = MAX_K) -> DataFrame:
     return search.top_k(vectors(spark, sf_dir), queries(spark, sf_dir), k, DIM)
 
 
+def _floored(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The exact search; with documents enough a score floor is guessed first."""
+    docs, asked = vectors(spark, sf_dir), queries(spark, sf_dir)
+    if docs.count() < search.FLOOR_GAIN * k:
+        return search.top_k(docs, asked, k, DIM)
+    return search.guessed_floor_top_k(docs, asked, k, DIM)
+
+
 def _approximate(spark: SparkSession, sf_dir: str, k: int = MAX_K, rule=None) -> DataFrame:
     return search.top_k(vectors(spark, sf_dir), queries(spark, sf_dir), k, DIM, rule or lsh())
 
@@ -76,7 +84,7 @@ def knn_multi_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_large_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Very long hit lists, summed up: how many hits, the last score, the sum of ids."""
-    found = search.at_each_k(_exact(spark, sf_dir, max(LARGE_KS)), LARGE_KS)
+    found = search.at_each_k(_floored(spark, sf_dir, max(LARGE_KS)), LARGE_KS)
     lists = found.groupBy("k", "qid").agg(
         F.count(F.lit(1)).alias("hits"), F.min("score").alias("last"), F.sum("id").alias("ids")
     )

@@ -40,3 +40,16 @@ def test_hits_held_by_a_task_are_cut_early(monkeypatch, rule):
     one.take(0, search.DocumentBlock(np.arange(600), vecs, False), None)
     assert max(held) <= 2000 + 50 * 600 // 4
     assert max(held) < sum(one.scored[0]) or rule is None
+
+
+def test_guessed_floors_give_the_exact_search(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=DIM).astype(float).tolist()) for i in range(800)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5).cache()
+    asked = search.query_set(docs, 20)
+    want = sorted(search.top_k(docs, asked, 100, DIM).select("qid", "rank", "id").collect())
+    assert len(want) == 2000
+    for sigmas in (4.0, 0.0, -2.0):  # the last ones guess too high
+        monkeypatch.setattr(search, "GUESS_SIGMAS", sigmas)
+        found = search.guessed_floor_top_k(docs, asked, 100, DIM)
+        assert sorted(found.select("qid", "rank", "id").collect()) == want
