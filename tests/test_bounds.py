@@ -53,3 +53,13 @@ def test_guessed_floors_give_the_exact_search(spark, monkeypatch):
         monkeypatch.setattr(search, "GUESS_SIGMAS", sigmas)
         found = search.guessed_floor_top_k(docs, asked, 100, DIM)
         assert sorted(found.select("qid", "rank", "id").collect()) == want
+
+
+def test_words_are_cut_in_bounded_runs(monkeypatch):
+    texts = ["a b c", "", "long " * 50, "x", "b a c"]
+    want = embedding.hashed_words(16)(texts)
+    sizes, plain = [], np.repeat
+    monkeypatch.setattr(embedding, "CHARACTERS", 10)
+    monkeypatch.setattr(embedding.np, "repeat", lambda a, n: sizes.append(len(a)) or plain(a, n))
+    assert (embedding.hashed_words(16)(texts) == want).all()
+    assert sizes == [2, 1, 2]
