@@ -63,3 +63,12 @@ def test_words_are_cut_in_bounded_runs(monkeypatch):
     monkeypatch.setattr(embedding.np, "repeat", lambda a, n: sizes.append(len(a)) or plain(a, n))
     assert (embedding.hashed_words(16)(texts) == want).all()
     assert sizes == [2, 1, 2]
+
+
+def test_profile_without_moving_vectors(spark, sf_dir):
+    docs = corpus_queries.documents(spark, sf_dir).where("doc_id < 20")
+    vecs = embedding.embed(chunk(docs, "sentence"), embedding.hashed_words(8), 8)
+    numbered = corpus_queries._numbered(spark, vecs, "id", "set")
+    narrow = numbered.select("id", embedding.filled_values("embedding").alias("filled"))
+    a, b = (embedding.profile_set(v, "n", "sentence", 8, 4, 10).collect() for v in (numbered, narrow))
+    assert a == b and a[0].filled > 0
