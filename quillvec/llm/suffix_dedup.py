@@ -17,8 +17,9 @@ of a smaller doc_id or before it in the same text.
 4. The bytes to go are joined with the texts once more and cut out.
 
 Texts travel packed and compressed, each text once per task however often it
-stands there; positions travel as arrays. Texts and anchors are named by 64-bit
-hashes; strings themselves are compared as bytes.
+stands there; positions travel as arrays. Texts are named by 64-bit hashes. To find
+repeated anchors, anchors and texts are named by 32 bits and their bucket: two of one
+name bring segments that match nothing, and lose none. Strings are compared as bytes.
 
 Defined results: null and empty texts have no bytes and no removals; texts
 shorter than ``WIDTH`` lose nothing; repeated rows (same doc_id and text) count
@@ -60,15 +61,30 @@ HOT = 1 << 11
 HELD = 8 << 20
 CELL = 256
 LAST = (1 << 63) - 1
+LOW = (1 << 32) - 1
 PACKED = "bucket int, kind int, data binary"
+#: Short name of the text, bucket and short name of the anchor, hot.
+MARK = ("<u4", "<u4", "<u4", "u1")
+#: Key of the text, first string, how many go.
+LOSS = ("<i8", "<u4", "<u4")
+#: Key of the text, its first doc_id.
+FIRST = ("<i8", "<i8")
+#: Short name of the anchor, doc_id, key, first string, strings, the anchor's place.
+HEAD = ("<u4", "<i8", "<i8", "<u4", "u1", "u1")
 
 
 def text_key(text: bytes) -> int:
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh3_64_intdigest(text)))[0]
 
 
-def _bucket(key: int, buckets: int) -> int:
-    return (key >> 17) % buckets
+def _bucket(key, buckets: int):
+    """The bucket of a text, from the part of its key that is its short name."""
+    return (key & LOW) % buckets
+
+
+def _anchor(hashes, buckets: int):
+    """Bucket of an anchor, in the high half, and its short name, from unsigned hashes."""
+    return (((hashes >> 32) % buckets) << 32) | (hashes & LOW)
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -159,22 +175,22 @@ def _parted(data: bytes, n: int) -> list[bytes]:
 def repeated_anchors(docs: DataFrame) -> DataFrame:
     """The anchors of each text that stand in two places, packed by bucket of the text.
 
-    Rows of kind 1 hold ``key, anchor, hot``; an anchor is hot if more than
+    Rows of kind 1 hold columns as in ``MARK``; an anchor is hot if more than
     ``HOT`` texts have it.
     """
     buckets = FINE * partitions(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _texts(batches):
-            keys = np.array([k for k, _ in pack], dtype=np.int64)
+            names = np.array([k & LOW for k, _ in pack], dtype="<u4")
             found = [h for h, *_ in anchors([t for _, t in pack])]
             owner = np.repeat(np.arange(len(pack), dtype=np.uint32), [len(h) for h in found])
-            hashes = np.concatenate(found)
-            bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-            rows = []
-            for b, (h, o) in _split(bucket, hashes, owner):
-                used, place = np.unique(o, return_inverse=True)
-                rows.append((b, 0, _joined(h.tobytes(), keys[used].tobytes(), place.astype("<u4").tobytes())))
+            named = _anchor(np.concatenate(found), buckets)
+            bucket = (named >> 32).astype(np.int32)
+            rows = [
+                (b, 0, _joined(h.tobytes(), n.tobytes()))
+                for b, (h, n) in _split(bucket, named.astype("<u4"), names[owner])
+            ]
             yield _rows(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,26 +198,23 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            marks = [np.concatenate([f[c] for f in found]) for c in range(3)]
+            marks = [np.concatenate([f[c] for f in found]) for c in range(len(MARK))]
             found.clear()
-            return _rows(_by_text(marks, buckets, 1))
-
-        for rows in _by_bucket(batches):
-            hashes, keys = [], []
-            for _, data in rows:
-                h, k, place = _parted(data, 3)
-                hashes.append(np.frombuffer(h, dtype=np.uint64))
-                keys.append(np.frombuffer(k, dtype=np.int64)[np.frombuffer(place, dtype="<u4")])
-            anchor, key = np.concatenate(hashes), np.concatenate(keys)
-            del hashes, keys
+            return _rows(_by_text(marks, MARK, buckets, 1))
+
+        for bucket, rows in _by_bucket(batches):
+            parts = [[np.frombuffer(p, "<u4") for p in _parted(data, 2)] for _, data in rows]
+            anchor, name = (np.concatenate([p[c] for p in parts]) for c in range(2))
+            del parts
             order = np.argsort(anchor, kind="stable")
-            anchor, key = anchor[order], key[order]
+            anchor, name = anchor[order], name[order]
             first = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]))
             times = np.diff(first, append=len(anchor))
             times = np.repeat(times, times)
             often = times > 1
-            found.append((key[often], anchor[often].view(np.int64), (times[often] > HOT).astype(np.int64)))
-            held += int(often.sum())
+            place = np.full(int(often.sum()), bucket, dtype="<u4")
+            found.append((name[often], place, anchor[often], times[often] > HOT))
+            held += len(place)
             if held >= MARKS:
                 yield flush()
                 held = 0
@@ -212,9 +225,12 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     return _dealt(sent, buckets).mapInArrow(meet, PACKED)
 
 
-def _by_text(columns: list[np.ndarray], buckets: int, kind: int) -> list[tuple[int, int, bytes]]:
-    """Rows of ``kind`` for arrays of which the first holds keys of texts."""
-    bucket = ((columns[0] >> 17) % buckets).astype(np.int32)
+def _by_text(
+    columns: list[np.ndarray], types: tuple[str, ...], buckets: int, kind: int
+) -> list[tuple[int, int, bytes]]:
+    """Rows of ``kind`` for arrays of which the first holds keys or short names of texts."""
+    bucket = _bucket(columns[0], buckets).astype(np.int32)
+    columns = [c.astype(t) for c, t in zip(columns, types, strict=True)]
     return [
         (b, kind, _joined(*(p.tobytes() for p in parts))) for b, parts in _split(bucket, *columns)
     ]
@@ -250,16 +266,16 @@ def _unpack_texts(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def packed_arrays(rows: DataFrame, buckets: int, columns: list[str], kind: int = 1) -> DataFrame:
-    """Rows of longs with a ``key`` as arrays by the bucket of the key."""
+def packed_firsts(firsts: DataFrame, buckets: int) -> DataFrame:
+    """``key, first`` as rows of kind 2 by the bucket of the key."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [np.asarray(batch.column(c)).astype(np.int64) for c in columns]
-            if len(arrays[0]):
-                yield _rows(_by_text(arrays, buckets, kind))
+            if batch.num_rows:
+                arrays = [np.asarray(c).astype(np.int64) for c in batch.columns]
+                yield _rows(_by_text(arrays, FIRST, buckets, 2))
 
-    return rows.select(*columns).mapInArrow(send, PACKED)
+    return firsts.select("key", "first").mapInArrow(send, PACKED)
 
 
 def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
@@ -267,27 +283,26 @@ def _dealt(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(-(-buckets // FINE), "bucket").sortWithinPartitions("bucket")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-    """The ``(kind, data)`` rows of each bucket of a task."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Each bucket of a task with its ``(kind, data)`` rows."""
     here, rows = None, []
     for batch in batches:
         columns = batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")
         for bucket, kind, data in zip(*columns, strict=True):
             if bucket != here and rows:
-                yield rows
+                yield here, rows
                 rows = []
             here = bucket
             rows.append((kind, data.as_py()))
     if rows:
-        yield rows
+        yield here, rows
 
 
-def _read(rows: list[tuple[int, bytes]], width: int, kind: int = 1) -> list[np.ndarray]:
-    """The arrays of ``kind`` in a bucket, sorted by key."""
-    parts = [[np.frombuffer(p, np.int64) for p in _parted(d, width)] for k, d in rows if k == kind]
+def _read(rows: list[tuple[int, bytes]], types: tuple[str, ...], kind: int = 1) -> list[np.ndarray]:
+    """The arrays of ``kind`` in a bucket, as longs sorted by the first."""
+    parts = [_parted(d, len(types)) for k, d in rows if k == kind]
     columns = [
-        np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)
-        for c in range(width)
+        np.frombuffer(b"".join(p[c] for p in parts), t).astype(np.int64) for c, t in enumerate(types)
     ]
     order = np.argsort(columns[0], kind="stable")
     return [c[order] for c in columns]
@@ -302,7 +317,7 @@ def _of(keys: np.ndarray, key: int) -> slice:
     return slice(int(np.searchsorted(keys, key)), int(np.searchsorted(keys, key, side="right")))
 
 
-def _strings(pieces: dict[bytes, tuple], hot: set[int], gone: list) -> dict[bytes, tuple]:
+def _strings(pieces: dict[bytes, tuple], hot: set[int], gone: list, buckets: int) -> dict[bytes, tuple]:
     """``pieces`` with those at hot anchors replaced by their strings, the first of equal ones."""
     out: dict[bytes, tuple] = {}
     for piece, (doc, key, start, anchor, count, lead) in pieces.items():
@@ -311,7 +326,7 @@ def _strings(pieces: dict[bytes, tuple], hot: set[int], gone: list) -> dict[byte
             continue
         for i in range(count):
             string = piece[i : i + WIDTH]
-            new = (doc, key, start + i, text_key(string), 1, 0)
+            new = (doc, key, start + i, _anchor(xxhash.xxh3_64_intdigest(string), buckets), 1, 0)
             old = out.get(string)
             if old is None or new[:3] < old[:3]:
                 out[string] = new
@@ -327,9 +342,12 @@ def segments(texts: DataFrame, marks: DataFrame, firsts: DataFrame, buckets: int
     """The segments at repeated anchors, packed by bucket of the anchor (kind 0), and what is settled.
 
     Of equal segments in one task the first goes on; the others are rows of kind
-    1 in the bucket of their text: ``key, start, strings`` that go. Segments at a hot
+    1 in the bucket of their text, with columns as in ``LOSS``. Segments at a hot
     anchor go on as single strings, dealt by what they say, so that no owner meets
     all texts that hold one line.
+
+    Texts are taken in order of their keys, so that a task that runs twice settles
+    the same segments, in whatever order its rows arrive.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,59 +358,64 @@ def segments(texts: DataFrame, marks: DataFrame, firsts: DataFrame, buckets: int
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cells = list((_strings(first_of, hot, gone) if hot else first_of).items())
+            cells = list((_strings(first_of, hot, gone, buckets) if hot else first_of).items())
             first_of.clear()
             rows = []
             if cells:
-                heads = np.array([(c[3], *c[:3], *c[4:], len(piece)) for piece, c in cells], dtype=np.int64)
-                bucket = ((heads[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+                heads = np.array([(c[3], *c[:3], *c[4:]) for _, c in cells], dtype=np.int64)
+                bucket = (heads[:, 0] >> 32).astype(np.int32)
+                heads[:, 0] &= LOW
                 for b, (place, head) in _split(bucket, np.arange(len(cells)), heads):
+                    columns = [head[:, c].astype(t).tobytes() for c, t in enumerate(HEAD)]
                     body = b"".join(cells[i][0] for i in place.tolist())
-                    rows.append((b, 0, squeeze.compress(_joined(head.tobytes(), body))))
+                    rows.append((b, 0, squeeze.compress(_joined(*columns, body))))
             if gone:
                 table = np.array(gone, dtype=np.int64)
                 gone.clear()
-                rows += _by_text([table[:, c] for c in range(3)], buckets, 1)
+                rows += _by_text(list(table.T), LOSS, buckets, 1)
             yield _rows(rows)
 
-        for found_rows in _by_bucket(batches):
-            packs = _packs(found_rows)
-            keys, marked, often = _read(found_rows, 3)
-            owners, first_docs = _read(found_rows, 2, kind=2)
-            seen: set[int] = set()
-            for data in packs:
-                wanted = []
+        for _, found_rows in _by_bucket(batches):
+            names, high, low, often = _read(found_rows, MARK)
+            marked = (high << 32) | low
+            owners, first_docs = _read(found_rows, FIRST, kind=2)
+            wanted: dict[int, bytes] = {}
+            for data in _packs(found_rows):
                 for key, text in _unpack_texts(data):
-                    own = _of(keys, key)
-                    if own.start < own.stop and key not in seen:
-                        seen.add(key)
-                        wanted.append((key, text, own))
-                found = anchors([t for _, t, _ in wanted])
-                for (key, text, own), (hashes, starts, counts, leads) in zip(wanted, found, strict=True):
-                    mine = np.isin(hashes.view(np.int64), marked[own])
-                    hot.update(marked[own][often[own] > 0].tolist())
-                    doc = int(first_docs[np.searchsorted(owners, key)])
-                    columns = (hashes[mine].view(np.int64), starts[mine], counts[mine], leads[mine])
-                    for anchor, start, count, lead in zip(*(c.tolist() for c in columns), strict=True):
-                        piece = text[start : start + count + WIDTH - 1]
-                        new = (doc, key, start, anchor, count, lead)
-                        old = first_of.get(piece)
-                        if old is None:
+                    own = _of(names, key & LOW)
+                    if own.start < own.stop:
+                        wanted.setdefault(key, text)
+            del found_rows
+            by_key = sorted(wanted.items())
+            del wanted
+            found = anchors([t for _, t in by_key])
+            for (key, text), (hashes, starts, counts, leads) in zip(by_key, found, strict=True):
+                own = _of(names, key & LOW)
+                named = _anchor(hashes, buckets).astype(np.int64)
+                mine = np.isin(named, marked[own])
+                hot.update(marked[own][often[own] > 0].tolist())
+                doc = int(first_docs[np.searchsorted(owners, key)])
+                columns = (named[mine], starts[mine], counts[mine], leads[mine])
+                for anchor, start, count, lead in zip(*(c.tolist() for c in columns), strict=True):
+                    piece = text[start : start + count + WIDTH - 1]
+                    new = (doc, key, start, anchor, count, lead)
+                    old = first_of.get(piece)
+                    if old is None:
+                        first_of[piece] = new
+                        held += len(piece) * (count if anchor in hot else 1) + CELL
+                    else:
+                        held += CELL
+                        if new[:3] < old[:3]:
                             first_of[piece] = new
-                            held += len(piece) * (count if anchor in hot else 1) + CELL
+                            gone.append((old[1], old[2], old[4]))
                         else:
-                            held += CELL
-                            if new[:3] < old[:3]:
-                                first_of[piece] = new
-                                gone.append((old[1], old[2], old[4]))
-                            else:
-                                gone.append((key, start, count))
-                        if held > HELD:
-                            yield from flush()
-                            held = 0
+                            gone.append((key, start, count))
+                    if held > HELD:
+                        yield from flush()
+                        held = 0
         yield from flush()
 
-    both = texts.union(marks).union(packed_arrays(firsts, buckets, ["key", "first"], kind=2))
+    both = texts.union(marks).union(packed_firsts(firsts, buckets))
     return _dealt(both, buckets).mapInArrow(cut, PACKED)
 
 
@@ -465,52 +488,60 @@ def _factors(place: np.ndarray, strings: np.ndarray) -> np.ndarray:
     return longest
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All segments of ranges of anchors: those that go, as ``key, start, strings``."""
-    gone: list[tuple[int, int, int]] = []
-
-    def rows() -> pa.RecordBatch:
-        table = np.array(gone, dtype=np.int64).reshape(-1, 3)
-        gone.clear()
-        return pa.record_batch([pa.array(table[:, c]) for c in range(3)], names=["key", "start", "strings"])
-
-    for packed in _by_bucket(batches):
-        squeeze = zstandard.ZstdDecompressor()
-        parts = [_parted(squeeze.decompress(data), 2) for _, data in packed]
-        head = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 7) for h, _ in parts])
-        body = b"".join(b for _, b in parts)
-        del parts
-        ends = np.cumsum(head[:, 6])
-        order = np.lexsort((head[:, 3], head[:, 2], head[:, 1], head[:, 0]))
-        cuts = np.flatnonzero(np.diff(head[order, 0])) + 1
-        for group in np.split(order, cuts):
-            if len(group) < 2:
-                continue
-            firsts: dict[bytes, tuple] = {}
-            for i in group.tolist():  # in order of doc, key and start
-                _, doc, key, start, count, lead, size = head[i].tolist()
-                piece = body[ends[i] - size : ends[i]]
-                if piece in firsts:
-                    gone.append((key, start, count))
-                else:
-                    firsts[piece] = (doc, key, start, count, lead)
-            if len(firsts) > 1:
-                gone.extend(_settle(list(firsts.values()), list(firsts)))
-            if len(gone) > 1 << 16:
-                yield rows()
-    yield rows()
+def settled(cut: DataFrame, buckets: int) -> DataFrame:
+    """What goes, as rows of kind 1 by bucket of the text: what ``cut`` settled, and the owners' part."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone: list[tuple[int, int, int]] = []
+
+        def rows() -> pa.RecordBatch:
+            table = np.array(gone, dtype=np.int64).reshape(-1, 3)
+            gone.clear()
+            return _rows(_by_text(list(table.T), LOSS, buckets, 1))
+
+        for bucket, packed in _by_bucket(batches):
+            yield _rows([(bucket, kind, data) for kind, data in packed if kind])
+            squeeze = zstandard.ZstdDecompressor()
+            parts = [_parted(squeeze.decompress(data), len(HEAD) + 1) for data in _packs(packed)]
+            del packed
+            head = np.column_stack(
+                [np.frombuffer(b"".join(p[c] for p in parts), t).astype(np.int64) for c, t in enumerate(HEAD)]
+            )
+            body = b"".join(p[-1] for p in parts)
+            del parts
+            ends = np.cumsum(head[:, 4] + WIDTH - 1)
+            order = np.lexsort((head[:, 3], head[:, 2], head[:, 1], head[:, 0]))
+            cuts = np.flatnonzero(np.diff(head[order, 0])) + 1
+            for group in np.split(order, cuts):
+                if len(group) < 2:
+                    continue
+                firsts: dict[bytes, tuple] = {}
+                for i in group.tolist():  # in order of doc, key and start
+                    _, doc, key, start, count, lead = head[i].tolist()
+                    piece = body[ends[i] - count - WIDTH + 1 : ends[i]]
+                    if piece in firsts:
+                        gone.append((key, start, count))
+                    else:
+                        firsts[piece] = (doc, key, start, count, lead)
+                if len(firsts) > 1:
+                    gone.extend(_settle(list(firsts.values()), list(firsts)))
+                if len(gone) > 1 << 16:
+                    yield rows()
+        yield rows()
+
+    return _dealt(cut, buckets).mapInArrow(own, PACKED)
 
 
 def cut_out(texts: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
     """``key, n_removed, n_spans, kept, kept_sha256`` of each text that loses bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
+        for _, rows in _by_bucket(batches):
             yield from cut_bucket(rows)
 
     def cut_bucket(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         packs = _packs(rows)
-        keys, starts, counts = _read(rows, 3)
+        keys, starts, counts = _read(rows, LOSS)
         seen: set[int] = set()
         for data in packs:
             out = []
@@ -570,13 +601,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     thin = pin(docs.mapInArrow(_thin, "doc_id long, key long, n_bytes long, sha string"))
     firsts = thin.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
     texts = packed_texts(docs, buckets)
-    # Written, because two stages start from the segments.
-    cut = pin(segments(texts, repeated_anchors(docs), firsts, buckets))
-    owned = (
-        _dealt(cut.where("kind = 0"), buckets)
-        .mapInArrow(_own, "key long, start long, strings long")
-    )
-    gone = packed_arrays(owned, buckets, ["key", "start", "strings"]).union(cut.where("kind = 1"))
+    gone = settled(segments(texts, repeated_anchors(docs), firsts, buckets), buckets)
     losses = cut_out(texts, gone, buckets)
     joined = thin.join(firsts, "key").join(losses, "key", "left")
     copy = (F.coalesce("doc_id", F.lit(LAST)) != F.col("first")) & (F.col("n_bytes") >= WIDTH)

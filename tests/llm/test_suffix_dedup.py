@@ -91,3 +91,42 @@ def test_a_text_of_a_megabyte(spark, rows):
     assert found[901][2:4] == (len(long), 1)
     assert found[900][2] == len(rows[0][1].encode()) and found[900][3] == 1
     assert [r for r in made(spark, rows[:5])] == sorted((found[i] for i in range(5)), key=repr)
+
+
+def test_only_thin_rows_are_written(spark, rows, monkeypatch):
+    pinned = []
+
+    def pin(df):
+        pinned.append(df.columns)
+        return df
+
+    monkeypatch.setattr(suffix_dedup, "pin", pin)
+    assert made(spark, rows) == plain(rows)
+    assert pinned == [["doc_id", "key", "n_bytes", "sha"]]
+
+
+def test_repeated_anchors_are_short(spark):
+    rng = random.Random(7)
+    text = words(rng, 30_000)
+    docs = spark.createDataFrame([(1, text + " a"), (2, text + " b")], "doc_id long, text string").coalesce(1)
+    data = [bytes(r.data) for r in suffix_dedup.repeated_anchors(docs).collect()]
+    found = sum(len(h) for h, *_ in suffix_dedup.anchors([text.encode()]))
+    # 13 bytes for each of the two texts; three longs were 24.
+    assert 2 * found * 13 <= sum(map(len, data)) < 2 * found * 15
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_segments_do_not_follow_the_order_of_rows(spark, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HELD", 20_000)
+    docs = spark.createDataFrame({t: (i, t) for i, t in rows if t and i}.values(), "doc_id long, text string")
+    buckets = suffix_dedup.FINE * suffix_dedup.partitions(docs)
+    keys = [(suffix_dedup.text_key(r.text.encode()), r.doc_id) for r in docs.collect()]
+    firsts = spark.createDataFrame(keys, "key long, first long")
+    found = []
+    for way in ("doc_id", "n"):
+        dealt = docs.selectExpr("*", "-doc_id AS n").coalesce(1).sortWithinPartitions(way).select("doc_id", "text")
+        texts, marks = suffix_dedup.packed_texts(dealt, buckets), suffix_dedup.repeated_anchors(dealt)
+        cut = suffix_dedup.segments(texts, marks, firsts, buckets).collect()
+        found.append(sorted((r.bucket, r.kind, bytes(r.data)) for r in cut))
+    assert len(found[0]) > buckets and found[0] == found[1]
