@@ -48,7 +48,7 @@ WIDTH = 100
 GRAM = 40
 SPREAD = WIDTH - GRAM + 1
 #: Bytes of text, and entries, that a task packs together before it sends them.
-PACK = 4 << 20
+PACK = 16 << 20
 #: Buckets per task; a task holds the data of one bucket at a time.
 FINE = 2
 #: Strings of different segments that are sorted at a time.
@@ -58,7 +58,7 @@ MARKS = 1 << 18
 #: Texts with one anchor beyond which its strings are dealt one by one.
 HOT = 1 << 11
 #: Bytes of segments, each with ``CELL`` bytes for its entry, that a task gathers.
-HELD = 8 << 20
+HELD = 32 << 20
 CELL = 256
 LAST = (1 << 63) - 1
 LOW = (1 << 32) - 1
