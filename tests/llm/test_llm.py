@@ -490,3 +490,36 @@ def test_stages_keep_rows_without_an_id(spark, edges):
     assert corpus_pipeline.without_private_data(spark, docs.drop("spans"), SF).count() == docs.count()
     packed = corpus_pipeline.packed(spark, docs, SF)
     assert packed.where("start = 0").count() == docs.count()
+
+
+def test_shingles_sent_to_many_owners_stay_small():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(500)]
+    keys = [shingle_join.set_key(s) for s in sets]
+    assert min(keys) < 0 < max(keys)
+    rows = sum(len(s) for s in sets)
+    wide = list(shingle_join._sent(zip(keys, sets, strict=True), 600))
+    brief = list(shingle_join._sent(zip(keys, sets, strict=True), 600, brief=True))
+    # 8 bytes of a shingle, 8 of a key and 4 of a place each before: 20 in all.
+    assert sum(b.nbytes for b in brief) < 15 * rows
+    for packs, mask in ((wide, (1 << 64) - 1), (brief, (1 << 48) - 1)):
+        token, key, new = shingle_join._met(iter(packs), brief=packs is brief)
+        pairs = {(int(t), int(k) & mask) for t, k in zip(token, key, strict=True)}
+        part = (1 << 64) - 1 if packs is wide else (1 << 32) - 1
+        assert pairs == {(int(t) & part, k & mask) for k, s in zip(keys, sets, strict=True) for t in s}
+        assert new.sum() == len({t for t, _ in pairs})
+
+
+def test_shared_shingles_of_copies_and_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, two, three = " ".join(words), " ".join(words[:40]), " ".join(f"v{i}" for i in range(50))
+    texts = [one, two, three, three.upper(), one, None]  # a copy alone shares nothing
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4).coalesce(3)
+    found = {r["name"]: r.shared for r in shingle_join.shared_counts(df.fillna("")).collect()}
+    sets = [next(shingle_join.shingle_sets([t.encode()])) for t in (one, two, three)]
+    want = {}
+    for s in sets:
+        others = set().union(*(map(int, o) for o in sets if o is not s))
+        held = len(others & set(map(int, shingle_join.sampled(s))))
+        want |= {shingle_join.set_key(s) & ((1 << 48) - 1): held} if held else {}
+    assert found == want and len(want) == 2
