@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -29,6 +30,8 @@ from quillvec.llm import (
 )
 
 SF = "/root/testdata/sf0.001"
+# The SQL of op12 reads this table; DuckDB finds it here by its name.
+conversations = pq.read_table(f"{SF}/conversations.parquet")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept int, spans int, key string"
 LONG = "the quick brown fox jumps over the lazy dog near 12 old mills and " * 400
 EDGE = [
